@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .packing import pack
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +36,10 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": op3_exact_dedup}
+    return {
+        "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
+        "op3_exact_dedup": op3_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
