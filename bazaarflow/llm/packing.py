@@ -236,5 +236,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing_id:
             sequence += 1
         if closed:
             yield _rows(closed, with_ids)
+        gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_duplicates
 from .packing import pack
+from .secret_scan import find_secrets
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP3_SQL = f"""
@@ -39,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
         "op3_exact_dedup": op3_exact_dedup,
+        "op9_secret_scan": op9_secret_scan,
     }
 
 
