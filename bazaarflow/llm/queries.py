@@ -11,6 +11,7 @@ from .common import documents
 from .exact_dedup import exact_duplicates
 from .packing import pack
 from .secret_scan import find_secrets
+from .substring_dedup import remove_repeats
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +28,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
         "op9_secret_scan": op9_secret_scan,
     }
 
