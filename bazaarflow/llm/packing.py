@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ class WordCodec:
     The memory is emptied when it holds `limit` words or `limit_bytes` bytes of them.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, limit_bytes: int = 16_000_000):
+    def __init__(self, path: str, limit: int = 700_000, limit_bytes: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -59,12 +60,13 @@ class WordCodec:
         self.bytes = 0
 
     def learn(self, fresh: list[bytes]) -> None:
-        if len(self.pieces) > self.limit:
+        if len(self.pieces) > self.limit // 2:
             self.pieces = {}
         plain, odd, texts_ = {}, [], [w.decode() for w in fresh]
         for text in texts_:
             if PLAIN.fullmatch(text) and "<|" not in text:
-                plain[text] = PIECE.findall(text.lower())
+                low = text.lower()
+                plain[text] = [low] if low.isalpha() else PIECE.findall(low)
             else:
                 odd.append(text)
         known = self.pieces
@@ -113,6 +115,14 @@ class WordCodec:
         return ids, ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
 
+def codec_of(path: str) -> WordCodec:
+    """This worker process's word memory, which outlives the task."""
+    held = sys.__dict__.setdefault("_bazaarflow_codecs", {})
+    if path not in held:
+        held[path] = WordCodec(path)
+    return held[path]
+
+
 class Packer:
     """Open sequences of one task, by fill level. A piece is (document's number, start, ids)."""
 
@@ -212,7 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing_id:
         codec, packer = None, Packer(capacity)
         sequence, closed, held = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            codec = codec or WordCodec(tokenizer)
+            codec = codec or codec_of(tokenizer)
             doc_ids = batch.column(0).to_pylist()
             for i, _, b, off in texts(batch.column(1)):
                 ids, ends = codec.encode(b, off)
