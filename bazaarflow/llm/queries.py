@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, labels
 from .exact_dedup import exact_duplicates
 from .packing import pack
 from .secret_scan import find_secrets
 from .substring_dedup import remove_repeats
+from .toxicity import toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +33,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_substring_dedup": op5_substring_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_secret_scan": op9_secret_scan,
     }
 
