@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents, labels
 from .exact_dedup import exact_duplicates
 from .packing import pack
+from .quality import quality
 from .secret_scan import find_secrets
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity
@@ -37,6 +38,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring_dedup": op5_substring_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_secret_scan": op9_secret_scan,
+        "op10_quality": op10_quality,
     }
 
 
