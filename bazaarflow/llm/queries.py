@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, labels
 from .exact_dedup import exact_duplicates
+from .language_id import identify
 from .packing import pack
 from .quality import quality
 from .secret_scan import find_secrets
@@ -26,6 +27,10 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -59,6 +64,7 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
+        "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op8_toxicity": op8_toxicity,
