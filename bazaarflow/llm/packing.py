@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textkernel import texts
+from .textkernel import texts, word_hashes, words
 
 CAPACITY, CLOSING_ID, MAX_OPEN = 4096, 2, 2000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -99,20 +99,19 @@ class WordCodec:
         """Ids of all documents, one after the other, and the number of ids before each."""
         if len(self.index) > self.limit or self.bytes > self.limit_bytes:
             self.clear()
-        raw, found, counts = b.tobytes(), [], []
-        for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            own = raw[i:j].split()
-            counts.append(len(own))
-            found += own
+        starts, stops, first = words(b, off)
+        _, at, inverse = np.unique(word_hashes(b, starts, stops), return_index=True, return_inverse=True)
+        raw = b.tobytes()
+        found = [raw[i:j] for i, j in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
         which = list(map(self.index.get, found))
         if None in which:
-            self.learn(list({w for w, k in zip(found, which, strict=True) if k is None}))
-            which = map(self.index.__getitem__, found)
-        which = np.fromiter(which, np.int64, len(found))
+            self.learn([w for w, k in zip(found, which, strict=True) if k is None])
+            which = list(map(self.index.__getitem__, found))
+        which = np.array(which, np.int64)[inverse]
         n = self.counts[which]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.at[which] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        return ids, ends[first]
 
 
 def codec_of(path: str) -> WordCodec:
