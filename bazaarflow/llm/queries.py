@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, labels
 from .exact_dedup import exact_duplicates
+from .jaccard_join import near_duplicates
 from .language_id import identify
 from .packing import pack
 from .quality import quality
@@ -35,6 +36,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False)
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
         "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_substring_dedup": op5_substring_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_secret_scan": op9_secret_scan,

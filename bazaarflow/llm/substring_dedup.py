@@ -36,7 +36,7 @@ from .textkernel import mix, sequences, texts, word_hashes, words
 
 WINDOW, ANCHOR, SLOTS = 50, 8, 1024
 #: Suffixes that a group should hold at most, and suffixes in a block.
-GROUP, BLOCK = 200_000, 500_000
+GROUP, BLOCK = 200_000, 50_000
 NO_ID = np.iinfo(np.int64).max
 
 

@@ -146,8 +146,11 @@ def shingle_sets(b: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.nda
             whole[has] = whole[has] * U(P) + h[first[short][has] + k]
         s = np.concatenate([s, mix(whole ^ (counts[short].astype(U) << U(60)) ^ U(0x5DEECE66D))])
         doc = np.concatenate([doc, short])
-    order = np.lexsort((s, doc))
-    s, doc = s[order], doc[order]
+        order = np.argsort(doc, kind="stable")
+        s, doc = s[order], doc[order]
+    cuts = np.searchsorted(doc, np.arange(len(off)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        s[i:j].sort()
     if len(s):
         fresh = np.ones(len(s), dtype=bool)
         fresh[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
