@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, the one that names it; rows without shingles all stay."""
     named = materialize(_named(docs))
-    stay = named.where("n > 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max.item())), "mark", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("__keep"), F.col("k.mark").alias("__mark"), F.lit(True).alias("__one"))
+    stay = named.where("n > 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).max))), "mark", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("__keep"), F.col("k.mark").alias("__mark"), F.lit(True).alias("__one"))
     empty = named.where("n = 0").select(F.col("doc_id").alias("__keep"), F.col("mark").alias("__mark"), F.lit(False).alias("__one")).distinct()
     keyed = docs.withColumn("__text", F.xxhash64("text"))
     met = keyed.join(stay.union(empty), F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__text") == F.col("__mark")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, labels
 from .exact_dedup import exact_duplicates
+from .fingerprints import edited_fingerprints
 from .jaccard_join import near_duplicates
 from .language_id import identify
 from .packing import pack
@@ -44,6 +45,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_fingerprints": op6_fingerprints,
         "op8_toxicity": op8_toxicity,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality": op10_quality,
