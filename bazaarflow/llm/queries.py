@@ -15,6 +15,7 @@ from .language_id import identify
 from .packing import pack
 from .quality import quality
 from .secret_scan import find_secrets
+from .sentencepieces import encode_decode
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity
 
@@ -49,6 +50,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_fingerprints": op6_fingerprints,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_toxicity": op8_toxicity,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality": op10_quality,

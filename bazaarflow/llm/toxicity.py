@@ -203,9 +203,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1
     return score(docs, model).select("doc_id", (fold(F.col("doc_id"), modulus) == held).alias("held_out"), "score", "predicted")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score at the threshold or above; all columns stay."""
-    model = fit(docs, labels, "toxic", fold(F.col("_id"), modulus) == held)
+def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, threshold: float = THRESHOLD, source: DataFrame | None = None) -> DataFrame:
+    """docs without the rows that score at the threshold or above; all columns stay. source: the labelled texts, if not docs."""
+    model = fit(docs if source is None else source, labels, "toxic", fold(F.col("_id"), modulus) == held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
