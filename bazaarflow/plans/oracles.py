@@ -211,3 +211,65 @@ ORACLES: dict[str, str] = {
     "repeated_reference_windows": "SELECT payment_ref, count(DISTINCT store_id) AS stores FROM (SELECT 'R' || CAST(user_id % 300 AS VARCHAR) AS payment_ref, 'U' || CAST(event_id % 24 AS VARCHAR) AS store_id FROM events) GROUP BY 1 HAVING count(DISTINCT store_id) > 1",
     "on_hand": "SELECT p_partkey, greatest(100 - coalesce(q, 0) + p_size, 0) AS on_hand FROM part LEFT JOIN (SELECT l_partkey, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey",
 }
+
+
+def _measures(base: str, measures: list[tuple[str, str, str]]) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{d}' AS dimension, '{m}' AS metric, CAST({v} AS DOUBLE) AS value FROM x" for d, m, v in measures)
+    return _cte(x=base) + parts
+
+
+def _pct(condition: str) -> str:
+    return f"coalesce(round(CAST(count(*) FILTER ({condition}) AS DECIMAL(20, 0)) * 100 / nullif(count(*), 0), 2), 0)"
+
+
+_FORMAT = f"""CASE WHEN {strip("phone_number")} IN ('', 'nan', 'None') THEN NULL WHEN regexp_full_match({strip("phone_number")}, '\\+2567\\d{{8}}') THEN 'e164' WHEN regexp_full_match({strip("phone_number")}, '07\\d{{8}}') THEN 'national'
+  WHEN regexp_full_match({strip("phone_number")}, '2567\\d{{8}}') THEN 'no_plus' WHEN regexp_full_match({strip("phone_number")}, '7\\d{{8}}') THEN 'no_zero' WHEN regexp_full_match({strip("phone_number")}, '[\\d\\s-]+') AND regexp_matches({strip("phone_number")}, '[\\s-]') THEN 'spaced' ELSE 'other' END"""
+_FIELDS = ["full_name", "phone_number", "email", "district", "registration_date", "gender"]
+_PROFILED = f"SELECT *, {_FORMAT} AS fmt, {date('registration_date')[0]} AS dv, {date('registration_date')[1]} AS ds, TRY_CAST(CASE WHEN {date('registration_date')[1]} NOT IN ('missing', 'unparseable') THEN {date('registration_date')[0]} END AS DATE) AS dd, {phone('phone_number')[1]} AS ps, {district('district')[1]} AS xs FROM ({plain(DIRTY_CUSTOMERS)})"
+_E164, _MAIL = f"regexp_full_match({strip('phone_number')}, '\\+2567\\d{{8}}')", f"({strip('email')} = '' OR regexp_full_match({strip('email')}, '[^@\\s]+@[^@\\s]+\\.[A-Za-z]{{2,}}'))"
+_SEX = f"{strip('gender')} IN ('M', 'F', 'Male', 'Female')"
+ORACLES["profile_customers"] = _measures(
+    _PROFILED,
+    [
+        ("Uniqueness", "unique_customer_id_pct", "round(CAST(count(DISTINCT customer_id) AS DECIMAL(20, 0)) * 100 / nullif(count(*), 0), 2)"),
+        *[("Completeness", f"present_{c}_pct", _pct(f"{strip(c)} <> ''")) for c in _FIELDS],
+        ("Completeness", "cells_pct", "round(CAST(" + " + ".join(f"count(*) FILTER ({strip(c)} <> '')" for c in _FIELDS) + " AS DECIMAL(20, 0)) * 100 / nullif(count(*) * 6, 0), 2)"),
+        ("Consistency", "phone_formats", "count(DISTINCT fmt)"),
+        ("Consistency", "date_formats", "count(DISTINCT nullif(ds, 'missing'))"),
+        ("Consistency", "iso_dates_pct", _pct("ds = '%Y-%m-%d'")),
+        ("Consistency", "district_labels", f"count(DISTINCT nullif({strip('district')}, ''))"),
+        ("Consistency", "gender_labels", f"count(DISTINCT nullif({strip('gender')}, ''))"),
+        ("Timeliness", "date_parseable_pct", _pct("dd IS NOT NULL")),
+        ("Timeliness", "not_in_future_pct", _pct("dd <= DATE '2026-10-05'")),
+        ("Timeliness", "last_four_years_pct", _pct("dd >= DATE '2026-10-05' - 1461 AND dd <= DATE '2026-10-05'")),
+        ("Accuracy", "district_official_pct", _pct("xs IN ('exact', 'exact_remapped')")),
+        ("Accuracy", "phone_plausible_pct", _pct("ps = 'valid'")),
+        ("Accuracy", "gender_canonical_pct", _pct(f"{strip('gender')} IN ('M', 'F', '')")),
+        ("Validity", "phone_e164_pct", _pct(_E164)),
+        ("Validity", "email_pct", _pct(_MAIL)),
+        ("Validity", "date_pct", _pct("dv <> ''")),
+        ("Validity", "date_strict_pct", _pct("dd IS NOT NULL")),
+        ("Validity", "gender_pct", _pct(_SEX)),
+        ("Validity", "composite_pct", _pct(f"{_E164} AND {_MAIL} AND dv <> '' AND {_SEX}")),
+    ],
+)
+_UNIT_OK, _CATEGORY_OK = f"{strip('unit_of_measure')} IN {tuple(UNITS)}", f"{strip('category')} IN {tuple(CATEGORIES)}"
+_SKU_OK = f"regexp_full_match({strip('sku')}, '[A-Z0-9]{{3,10}}')"
+ORACLES["profile_products"] = _measures(
+    f"SELECT *, {price('cost_ugx')[0]} AS cost, {price('selling_price_ugx')[0]} AS sell FROM ({plain(DIRTY_PRODUCTS)})",
+    [
+        ("Uniqueness", "product_id_present_pct", _pct(f"{strip('product_id')} NOT IN ('', 'nan')")),
+        *[("Completeness", f"present_{c}_pct", _pct(f"{strip(c)} <> ''")) for c in ("sku", "product_name", "category", "unit_of_measure", "cost_ugx", "selling_price_ugx")],
+        ("Consistency", "unit_labels", f"count(DISTINCT {strip('unit_of_measure')})"),
+        ("Consistency", "category_labels", f"count(DISTINCT {strip('category')})"),
+        ("Consistency", "currency_strings_pct", _pct("regexp_matches(selling_price_ugx, '(?i)ugx|,')")),
+        ("Timeliness", "refreshable_pct", _pct(f"product_id IS NOT NULL AND {strip('sku')} <> ''")),
+        ("Accuracy", "below_cost_pct", _pct("sell < cost")),
+        ("Accuracy", "prices_numeric_pct", _pct("sell IS NOT NULL AND cost IS NOT NULL")),
+        ("Accuracy", "prices_not_negative_pct", _pct("sell >= 0 AND cost >= 0")),
+        ("Validity", "unit_pct", _pct(_UNIT_OK)),
+        ("Validity", "category_pct", _pct(_CATEGORY_OK)),
+        ("Validity", "sku_pct", _pct(_SKU_OK)),
+        ("Validity", "composite_pct", _pct(f"{_UNIT_OK} AND {_CATEGORY_OK} AND {_SKU_OK} AND sell IS NOT NULL")),
+    ],
+)
