@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cube import money, ratio, revenue_by
@@ -44,19 +44,27 @@ def rfm(lines: DataFrame, as_of: str, bands: int = 5) -> DataFrame:
     day = F.to_date(F.lit(as_of))
     own = lines.where("customer_sk > 0").groupBy("customer_sk").agg(F.datediff(day, F.max(F.to_date("sold_at"))).alias("recency"), F.count_distinct("o_orderkey").alias("frequency"), money(F.sum("amount")).alias("money"))
     score = lambda c: F.least(F.floor(F.col(c) * bands) + 1, F.lit(bands)).cast("int")
-    for column, falling in (("recency", True), ("frequency", False), ("money", False)):
-        own = with_percent_below(own, column, f"_{column}", falling)
+    columns = (("recency", True), ("frequency", False), ("money", False))
+    cuts = own.agg(*[percentiles(c) for c, _ in columns]).first()
+    for (column, falling), bounds in zip(columns, cuts, strict=True):
+        own = with_percent_below(own, column, f"_{column}", falling, bounds)
     return own.select("customer_sk", "recency", "frequency", "money", score("_recency").alias("r"), score("_frequency").alias("f"), score("_money").alias("m"))
 
 
-def with_percent_below(df: DataFrame, column: str, out: str, falling: bool = False, buckets: int = 256) -> DataFrame:
+def percentiles(column: str, parts: int = 64) -> Column:
+    """Cut points that split a column's values into parts of about one size."""
+    return F.percentile_approx(F.col(column).cast("double"), [k / parts for k in range(1, parts)], 20 * parts)
+
+
+def range_of(value: Column, bounds: list[float] | None) -> Column:
+    """Number of the part between cut points that a value lies in."""
+    return F.size(F.filter(F.lit(sorted(set(bounds or [0.0]))), lambda b: b < value))
+
+
+def with_percent_below(df: DataFrame, column: str, out: str, falling: bool = False, bounds: list[float] | None = None) -> DataFrame:
     """df with the share of rows whose value is smaller (falling: larger): an exact rank without one window over all rows."""
     value = F.col(column).cast("double")
-    counted = df.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    points = [k / buckets for k in range(1, buckets)]
-    bounds = counted.agg(F.percentile_approx("_v", points, 20 * buckets)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds] or [F.lit(0.0)]), lambda b: b < F.col("_v")))
-    counted = counted.withColumn("_part", part)
+    counted = df.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", range_of(F.col("_v"), bounds))
     order = F.desc("_v") if falling else F.asc("_v")
     sums = counted.groupBy("_part").agg(F.sum("_n").alias("_sum"))
     before = F.sum("_sum").over(Window.orderBy(F.desc("_part") if falling else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1))
@@ -81,9 +89,8 @@ def pareto(lines: DataFrame, key: str, share: float = 0.8, cuts: tuple[float, fl
     The running sum is taken in value order inside ranges of revenue, ranges are summed apart.
     """
     sums = revenue_by(lines, key).where("revenue > 0").select(key, "revenue")
-    bounds = sums.agg(F.percentile_approx(F.col("revenue").cast("double"), [k / 64 for k in range(1, 64)], 10_000)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds] or [F.lit(0.0)]), lambda b: b < F.col("revenue").cast("double")))
-    parts = sums.withColumn("_part", part)
+    bounds = sums.agg(percentiles("revenue")).first()[0]
+    parts = sums.withColumn("_part", range_of(F.col("revenue").cast("double"), bounds))
     totals = parts.groupBy("_part").agg(F.sum("revenue").alias("_sum"))
     above = F.sum("_sum").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("_part", F.coalesce(above, F.lit(0)).alias("_above"), F.sum("_sum").over(Window.partitionBy()).alias("_total"))
