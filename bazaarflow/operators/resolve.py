@@ -31,10 +31,13 @@ def fuzzy_pairs(customers: DataFrame, least: int = 90) -> DataFrame:
     return pairs.select(F.col("customer_id").alias("a"), F.col("customer_id_b").alias("b"), outcome.alias("outcome"))
 
 
-def clusters(nodes: DataFrame, edges: DataFrame, checkpoint: bool = False) -> DataFrame:
-    """id, cluster (the smallest identifier that links reach), for every node. Rounds of minimum labels, each cut from its plan."""
+def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, cluster (the smallest identifier that links reach), for every node. Rounds of minimum labels.
+
+    Each round is checkpointed where the session names a checkpoint folder, else kept in memory with its lineage.
+    """
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    cut = (lambda d: d.checkpoint()) if checkpoint else (lambda d: d.cache())
+    cut = (lambda d: d.checkpoint()) if nodes.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.cache())
     both = cut(both)
     labels = cut(nodes.select("id", F.col("id").alias("cluster")))
     while True:
