@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .common import materialize
-from .textkernel import mix, sequences, texts, word_hashes, words
+from .textkernel import mix, sequences, texts, trim, word_hashes, words
 
 WINDOW, ANCHOR, SLOTS = 50, 8, 1024
 #: Suffixes that a group should hold at most, and suffixes in a block.
@@ -236,6 +236,7 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             for a, z in zip(cuts, [*cuts[1:], len(begins)], strict=True):
                 keys.append(int(row_keys[idx[begins[a]]]))
                 spans.append(both[a:z].tobytes())
+        trim()
         return pa.table({"key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
     marked = blocks.groupBy("block").cogroup(nodes.groupBy("block")).applyInArrow(mark, "key long, spans binary")

@@ -6,6 +6,7 @@ equal hashes, different ones collide with a chance near 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,11 +57,21 @@ def steps(offsets: np.ndarray, limit: int = STEP) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker process lives on and shares its executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def texts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each step: first and last document, its bytes, the documents' offsets in them."""
     data, offsets = buffers(col)
     for i, j in steps(offsets):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    trim()
 
 
 def words(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
