@@ -38,13 +38,17 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import materialize, shuffle_width
 from .components import components
-from .textkernel import mix, shingle_sets, texts
+from .textkernel import mix, shingle_sets, texts, trim
 
 U = np.uint64
 SMALL, SLACK, SALTS = 64, 1.2, 64
 #: Keys in a packed flush and in a bucket, documents in a flush, elements in a part of a family.
-FLUSH, BUCKET, FLUSH_DOCS, PART = 1_000_000, 2_000_000, 16_000, 1_000_000
-PIVOTS = (16, 128, 1024)
+FLUSH, BUCKET, FLUSH_DOCS, PART = 500_000, 1_000_000, 16_000, 1_000_000
+PIVOTS = (32, 1024)
+#: Bits of a set's sketch in verification.
+SKETCH = 4096
+#: Pivots that one task compares at a time with a part.
+AT_ONCE = 512
 
 _edges = [SMALL + 1]
 while _edges[-1] < 1 << 40:
@@ -192,6 +196,7 @@ def _match(table: pa.Table, with_keys: bool) -> pa.Table:
             else:
                 which, count = np.unique(ref[i:j], return_counts=True)
                 out.append((False, rows[k]["block"], which.tobytes(), count.astype(np.int32).tobytes(), None))
+    trim()
     kinds = [pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     columns = list(zip(*out, strict=True)) or [[]] * 5
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["dictionary", "block", "a", "b", "c"])
@@ -229,24 +234,40 @@ def _rarest(table: pa.Table) -> pa.Table:
     return pa.table({"key": key[keep], "sid": sids[ref[keep] // 4]})
 
 
+def _parity(elements: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """A sketch of SKETCH bits for each of n sets: every element turns one bit over."""
+    cells = np.zeros(n * SKETCH, np.uint8)
+    np.add.at(cells, owners * SKETCH + (elements >> U(64 - SKETCH.bit_length() + 1)).astype(np.int64), np.uint8(1))
+    return np.packbits((cells & 1).reshape(n, SKETCH), axis=1).view(U)
+
+
 class _Family:
-    """The sets of a family, or of a part of it, with an index from elements to sets."""
+    """The sets of a family, or of a part of it, with their sketches and an index from elements to sets."""
 
     def __init__(self, blobs: list[bytes]):
-        sets = [np.frombuffer(x, U) for x in blobs]
-        self.sizes = np.array([len(x) for x in sets], np.int64)
-        every = np.concatenate(sets)
+        self.sets = [np.frombuffer(x, U) for x in blobs]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+        every, owners = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
+        self.sketches = _parity(every, owners, len(self.sets))
         order = np.argsort(every, kind="stable")
-        self.elements, self.owners = every[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
-        self.sets = sets
+        self.elements, self.owners = every[order], owners[order]
 
     def linked(self, pivot: np.ndarray, percent: int) -> np.ndarray:
-        """Numbers of the sets that are similar enough to pivot."""
-        i, j = np.searchsorted(self.elements, pivot), np.searchsorted(self.elements, pivot, side="right")
-        n = j - i
-        hits = self.owners[np.repeat(i - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        shared = np.bincount(hits, minlength=len(self.sizes))
-        return np.flatnonzero((100 * shared >= percent * (self.sizes + len(pivot) - shared)) & (shared > 0))
+        """Numbers of the sets that are similar enough to pivot.
+
+        Two sketches differ in no more bits than their sets in elements, so most sets are ruled out by a bit count.
+        """
+        total = self.sizes + len(pivot)
+        apart = np.bitwise_count(self.sketches ^ _parity(pivot, np.zeros(len(pivot), np.int64), 1)).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(apart * (100 + percent) <= (100 - percent) * total)
+        if len(near) <= 64:
+            shared = np.array([np.isin(pivot, self.sets[k], assume_unique=True, kind="sort").sum() for k in near], np.int64)
+        else:
+            i, j = np.searchsorted(self.elements, pivot), np.searchsorted(self.elements, pivot, side="right")
+            n = j - i
+            hits = self.owners[np.repeat(i - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            shared = np.bincount(hits, minlength=len(self.sizes))[near]
+        return near[(100 * shared >= percent * (total[near] - shared)) & (shared > 0)]
 
 
 def _cluster(percent: int):
@@ -274,6 +295,7 @@ def _cluster(percent: int):
             np.minimum.at(low, group, names)
             ids += names.tolist()
             labels += low[group].tolist()
+        trim()
         return pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.int64())})
 
     return run
@@ -292,6 +314,7 @@ def _large_families(members: DataFrame, percent: int) -> DataFrame:
                 found = np.unique(labels[part.linked(np.frombuffer(blob, U), percent)])
                 a += [label] * len(found)
                 b += found.tolist()
+        trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     turn = 0
@@ -308,10 +331,15 @@ def _large_families(members: DataFrame, percent: int) -> DataFrame:
         if chosen.isEmpty() and turn >= len(PIVOTS):
             return state.select(F.col("sid").alias("id"), "label")
         turn += 1
-        sent = chosen.join(members.select("sid", "elements", "parts"), "sid").select("family", "label", "elements", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        turns = chosen.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / AT_ONCE).cast("int").alias("turns"))
+        sent = chosen.join(turns, "family").withColumn("turn", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("turns")).cast("int"))
+        sent = sent.join(members.select("sid", "elements", "parts"), "sid").select("family", "turn", "label", "elements", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         sent = sent.toDF(*sent.columns)  # both sides of the cogroup come from members
-        own = members.join(state.select("sid", "label"), "sid").select("family", "part", "label", "elements")
-        links = own.groupBy("family", "part").cogroup(sent.groupBy("family", "part")).applyInArrow(compare, "a long, b long")
+        own = members.join(state.select("sid", "label"), "sid").join(turns, "family").select("family", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "label", "elements")
+        key = ["family", "part", "turn"]
+        # many small groups with much to compute: spread them however few bytes they are
+        own, sent = (d.repartition(4 * shuffle_width(d.sparkSession), *key) for d in (own, sent))
+        links = own.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(compare, "a long, b long")
         united = components(links).select(F.col("id").alias("label"), F.col("label").alias("new"))
         state = materialize(
             state.join(chosen.select("sid", F.lit(True).alias("now")), "sid", "left").join(united, "label", "left").select("family", "sid", F.coalesce("new", "label").alias("label"), (F.col("pivoted") | F.coalesce("now", F.lit(False))).alias("pivoted"))
