@@ -44,11 +44,10 @@ U = np.uint64
 SMALL, SLACK, SALTS = 64, 1.2, 64
 #: Keys in a packed flush and in a bucket, documents in a flush, elements in a part of a family.
 FLUSH, BUCKET, FLUSH_DOCS, PART = 500_000, 1_000_000, 16_000, 1_000_000
-PIVOTS = (32, 1024)
+#: Pivots of a family in each round; the last number holds for all further rounds.
+PIVOTS = (32, 1024, 4096)
 #: Bits of a set's sketch in verification.
 SKETCH = 4096
-#: Pivots that one task compares at a time with a part.
-AT_ONCE = 512
 
 _edges = [SMALL + 1]
 while _edges[-1] < 1 << 40:
@@ -322,21 +321,18 @@ def _large_families(members: DataFrame, percent: int) -> DataFrame:
         sizes = state.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
         outside = state.join(largest, "family").where(~F.col("pivoted") & (F.col("label") != F.col("largest"))).select("family", "sid", "label")
-        # a bounded number for each family at first, later all that are left
-        if turn < len(PIVOTS):
-            left = outside.groupBy("family").agg(F.count(F.lit(1)).alias("left"))
-            chance = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 << 20)) < F.lit(float(PIVOTS[turn] << 20)) / F.col("left")
-            outside = outside.join(left, "family").where(chance).select("family", "sid", "label")
-        chosen = materialize(outside)
-        if chosen.isEmpty() and turn >= len(PIVOTS):
+        if outside.isEmpty():
             return state.select(F.col("sid").alias("id"), "label")
+        # about so many for each family and round, so what a part is compared with stays bounded
+        most = PIVOTS[min(turn, len(PIVOTS) - 1)]
+        left = outside.groupBy("family").agg(F.count(F.lit(1)).alias("left"))
+        chance = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 << 20)) < F.lit(float(most << 20)) / F.col("left")
+        chosen = materialize(outside.join(left, "family").where(chance).select("family", "sid", "label"))
         turn += 1
-        turns = chosen.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / AT_ONCE).cast("int").alias("turns"))
-        sent = chosen.join(turns, "family").withColumn("turn", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("turns")).cast("int"))
-        sent = sent.join(members.select("sid", "elements", "parts"), "sid").select("family", "turn", "label", "elements", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        sent = chosen.join(members.select("sid", "elements", "parts"), "sid").select("family", "label", "elements", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         sent = sent.toDF(*sent.columns)  # both sides of the cogroup come from members
-        own = members.join(state.select("sid", "label"), "sid").join(turns, "family").select("family", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "label", "elements")
-        key = ["family", "part", "turn"]
+        own = members.join(state.select("sid", "label"), "sid").select("family", "part", "label", "elements")
+        key = ["family", "part"]
         # many small groups with much to compute: spread them however few bytes they are
         own, sent = (d.repartition(4 * shuffle_width(d.sparkSession), *key) for d in (own, sent))
         links = own.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(compare, "a long, b long")
