@@ -42,7 +42,7 @@ from .textkernel import mix, shingle_sets, texts, trim
 
 U = np.uint64
 SMALL, SLACK, SALTS = 64, 1.2, 64
-#: Keys in a packed flush and in a bucket, documents in a flush, elements in a part of a family.
+#: Keys in a packed flush and in a bucket, sets in a flush (a reference of 16 bits names 16,384 at most), elements in a part of a family.
 FLUSH, BUCKET, FLUSH_DOCS, PART = 500_000, 1_000_000, 16_000, 1_000_000
 #: Pivots of a family in each round; the last number holds for all further rounds.
 PIVOTS = (32, 1024, 4096)
@@ -115,6 +115,8 @@ def _keyed(docs: DataFrame, buckets: int, only=None) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             key, ref = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(seen) > 1 << 14:
+                raise ValueError("more sets in a flush than a reference can name")
             order = np.argsort(key)
             key, ref = key[order], ref[order].astype(np.uint16)
             bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
@@ -142,13 +144,19 @@ def _keyed(docs: DataFrame, buckets: int, only=None) -> DataFrame:
                 keep = np.repeat(fresh, np.diff(first))
                 s, first = s[keep], np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])
                 sid = sid[fresh]
-                key, ref, need = keys(s, first)
-                held.append((key, ref + 4 * len(seen)))
-                sids.append(sid)
-                needs.append(need)
-                seen.update(dict.fromkeys(sid.tolist()))
-                n += len(key)
-                if n >= FLUSH or len(seen) >= FLUSH_DOCS - 4000:
+                for i in range(0, len(sid), FLUSH_DOCS):  # a step of short texts may hold more sets than a flush
+                    own = sid[i : i + FLUSH_DOCS]
+                    if held and (n >= FLUSH or len(seen) + len(own) > FLUSH_DOCS):
+                        yield flush()
+                        block, held, sids, needs, seen, n = block + 1, [], [], [], {}, 0
+                    cuts = first[i : i + len(own) + 1]
+                    key, ref, need = keys(s[cuts[0] : cuts[-1]], cuts - cuts[0])
+                    held.append((key, ref + 4 * len(seen)))
+                    sids.append(own)
+                    needs.append(need)
+                    seen.update(dict.fromkeys(own.tolist()))
+                    n += len(key)
+                if n >= FLUSH:
                     yield flush()
                     block, held, sids, needs, seen, n = block + 1, [], [], [], {}, 0
         if held:

@@ -100,6 +100,14 @@ def test_near_duplicates(spark, monkeypatch, part):
     assert sorted(map(tuple, got.collect()), key=NONE_FIRST) == sorted(want, key=NONE_FIRST)
 
 
+def test_near_duplicates_of_many_short_texts(spark):
+    """22,000 short texts in one partition: no batch of them may hold more sets than a reference can name."""
+    texts = [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} j{k} k{k} l{k}" for k in range(11_000)]
+    rows = [(2 * k + j, t + " tail" * j) for j in (0, 1) for k, t in enumerate(texts)]  # 8 of 9 shingles are shared
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == {(d, d - d % 2) for d, _ in rows}
+
+
 def test_drop_near_duplicates(spark):
     rows = families(5, [30, 90, 200], sizes=(4,)) + [(1, None), (2, "")]
     df = frame(spark, rows)
