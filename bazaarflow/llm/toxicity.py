@@ -4,6 +4,8 @@ Features are the presence of words and of their beginnings and ends. Sums over a
 features that tell the labels apart; a logistic model with a prior at shrunken log-odds is fitted on them. For each labelled
 text that mentions an identity term, counterfactual copies swap the term for each other one of its set, the
 neutral one included, and the squared change of the score is part of the loss: group mentions by themselves move no score.
+A copy loses all features that only the term gave it, beginnings and ends included, and gets all of the other term's; none of
+these features has a prior.
 
 Defined results: null and empty texts score as the share of label 1; rows without identifier count as held out only if
 their crc32 says so; repeated rows score alike; without usable labels all scores are 0; an empty table gives an empty table;
@@ -84,6 +86,14 @@ def term_hash(word: str) -> int:
     return int(word_hashes(b, np.array([0]), np.array([len(b)]))[0])
 
 
+def term_features() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of all features of identity terms, which of them each term has, and the place of each term's whole word."""
+    words = [t for group in IDENTITY for t in group]
+    own = [np.concatenate([h for h, _ in features(b, np.array([0, len(b)]))]) for b in (np.frombuffer(w.encode(), np.uint8) for w in words)]
+    keys = np.unique(np.concatenate(own))
+    return keys, np.stack([np.isin(keys, h) for h in own]), np.searchsorted(keys, np.array([term_hash(w) for w in words], np.uint64))
+
+
 @dataclass
 class Model:
     keys: np.ndarray  # sorted hashes of the features
@@ -110,6 +120,30 @@ class Model:
         return pairs // max(1, len(self.keys)), pairs % max(1, len(self.keys))
 
 
+def swapped(b: np.ndarray, off: np.ndarray, keys: np.ndarray, has: np.ndarray, whole: np.ndarray) -> Iterator[np.ndarray]:
+    """Changes of the term features (-1 goes, 1 comes), one line per counterfactual copy of each document.
+
+    keys, has, whole: as from term_features().
+    """
+    counts = np.zeros((len(off) - 1, len(keys)), np.int32)
+    for h, doc in features(b, off):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        hit = keys[at] == h
+        np.add.at(counts, (doc[hit], at[hit]), 1)
+    start = 0
+    for group in IDENTITY:
+        own = range(start, start + len(group))
+        start += len(group)
+        for a in own:
+            docs = np.flatnonzero(counts[:, whole[a]])
+            if not len(docs):
+                continue
+            kept = counts[docs] - counts[docs, whole[a]][:, None] * has[a] > 0  # what other words of the text give too
+            for to in own:
+                if to != a:
+                    yield (has[to] & ~kept).astype(np.int8) - (has[a] & ~kept).astype(np.int8)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers of texts of label 1 and 0 that have each feature."""
     for batch in batches:
@@ -140,14 +174,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_fi
     evidence = 2 * (part(F.col("one"), one) + rest(F.col("one"), one) + part(F.col("zero"), zero) + rest(F.col("zero"), zero))
     # many features are tried, so one must show more than chance would for the best of them
     enough = 1.6 * math.log(max(2, counts.count())) + 1
-    terms = [term_hash(t) - (1 << 64) * (term_hash(t) >> 63) for group in IDENTITY for t in group]
+    term_keys, has, whole = term_features()
+    terms = term_keys[whole].view(np.int64).tolist()
     chosen = counts.withColumn("evidence", evidence).where((F.col("evidence") > enough) & (rate < 1)).orderBy(F.desc("evidence"), "key").limit(MAX_FEATURES).select("key", "one", "zero")
     found = chosen.unionByName(counts.where(F.col("key").isin(terms)).select("key", "one", "zero")).distinct().toArrow()
     keys = found["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     keys, with_one, with_zero = keys[order], found["one"].to_numpy()[order], found["zero"].to_numpy()[order]
     prior = SHRINK * (np.log((with_one + SMOOTH) / (one + 2 * SMOOTH)) - np.log((with_zero + SMOOTH) / (zero + 2 * SMOOTH)))
-    prior[np.isin(keys, np.array(terms, np.int64).view(np.uint64))] = 0
+    prior[np.isin(keys, term_keys)] = 0
     model = Model(keys, prior, float(np.log(one / zero)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,20 +199,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_fi
     lists = rows["which"].combine_chunks()
     which = lists.flatten().to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    # one line per swap that a labelled text allows: the term that goes, the one that comes (-1: it has no feature)
-    index = {int(k): n for n, k in enumerate(keys)}
-    swaps = [(index[a], index.get(b, -1)) for group in IDENTITY for a in map(term_hash, group) if a in index for b in map(term_hash, group) if b != a]
-    uses = np.bincount(which, minlength=len(keys))
-    away, to = (np.array([s[k] for s in swaps], np.int64) for k in (0, 1))
-    strength = SWAP_WEIGHT * uses[away] if len(swaps) else np.zeros(0)
+    used = np.isin(term_keys, keys)  # the others have no weight
+
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, b, off in texts(batch.column(0)):
+                found: dict[bytes, int] = {}
+                for change in swapped(b, off, term_keys, has, whole):
+                    for line, times in zip(*np.unique(change[:, used], axis=0, return_counts=True), strict=True):
+                        if line.any():
+                            found[line.tobytes()] = found.get(line.tobytes(), 0) + int(times)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["change", "n"])
+
+    # one line per kind of swap that the labelled texts allow, with their number
+    swaps = train.mapInArrow(swap, "change binary, n long").groupBy("change").agg(F.sum("n").alias("n")).toArrow()
+    change = np.frombuffer(b"".join(swaps["change"].to_pylist()), np.int8).reshape(swaps.num_rows, -1) if swaps.num_rows else np.zeros((0, 0), np.int8)
+    line, at = np.nonzero(change)
+    sign, moved = change[line, at].astype(float), np.searchsorted(keys, term_keys[used])[at]
+    strength = SWAP_WEIGHT * swaps["n"].to_numpy().astype(float)
 
     def slope(x: np.ndarray) -> np.ndarray:
         w, bias = x[:-1], x[-1]
         error = sigmoid(bias + np.bincount(row, w[which], len(y))) - y
         g = np.bincount(which, error[row], len(w)) + RIDGE * len(y) / 100 * (w - prior)
-        if len(swaps):
-            change = 2 * strength * (w[away] - np.where(to >= 0, w[to], 0))
-            g += np.bincount(away, change, len(w)) - np.bincount(np.maximum(to, 0), np.where(to >= 0, change, 0), len(w))
+        if len(line):
+            moves = 2 * strength * np.bincount(line, sign * w[moved], len(strength))
+            g += np.bincount(moved, sign * moves[line], len(w))
         return np.append(g, error.sum()) / len(y)
 
     x = adam(slope, np.append(prior, model.bias), 300, 0.05)

@@ -328,6 +328,50 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_moves_no_score_when_a_term_is_swapped(spark):
+    """Mentions go with label 1 in the sample; beginnings and ends of the terms must carry no weight either."""
+    words = [f"w{k}" for k in range(300)]
+
+    def make(rng, k):
+        own, bad = [rng.choice(words) for _ in range(40)], k % 4 == 0
+        if bad:
+            own[3] = rng.choice(["vileword", "nastyone"]) if k % 3 else own[3]
+            own[9] = rng.choice(["muslim", "jewish"])
+        elif k % 7 == 0:
+            own[9] = rng.choice(["christian", "buddhist", "someone"])
+        return " ".join(own), int(bad)
+
+    docs, labels = labelled(spark, make)
+    model = toxicity.fit(docs, labels, "toxic", F.lit(False))
+    from bazaarflow.llm.textkernel import buffers
+
+    swapped = [f"w1 w2 the {t} family bakes bread w3" for t in toxicity.IDENTITY[2]]
+    scores = model.scores(*buffers(pa.array(swapped)))
+    logits = np.log(scores / (1 - scores))
+    assert np.ptp(logits) < 0.5 and (scores < 0.5).all()
+
+
+def test_swaps_equal_the_features_of_written_copies():
+    from bazaarflow.llm.textkernel import buffers
+
+    term_keys, has, whole = toxicity.term_features()
+    model = toxicity.Model(term_keys, np.zeros(len(term_keys)), 0.0)
+
+    def present(text):
+        out = np.zeros(len(term_keys), np.int8)
+        out[model.present(*buffers(pa.array([text])))[1]] = 1
+        return out
+
+    for text in ("a Muslim and muslims, blackish woman", "muslim muslim men", "blind old man", "nothing here"):
+        want = []
+        for group in toxicity.IDENTITY:
+            for a in group:
+                if re.search(rf"\b{a}\b", text.lower()):
+                    want += [(present(re.sub(rf"\b{a}\b", b, text.lower())) - present(text)).tolist() for b in group if b != a]
+        got = [x[0].tolist() for x in toxicity.swapped(*buffers(pa.array([text])), term_keys, has, whole)]
+        assert got == want
+
+
 def test_quality(spark):
     words = [f"word{k}" for k in range(300)]
 
