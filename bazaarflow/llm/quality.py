@@ -1,8 +1,9 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Each line is good or bad; its features are shape statistics of the line and of its neighbours. The chain is fitted on a
-bounded sample of labelled documents whose lines all carry the document's label. A document's score is a logistic function
-of its lines' forward-backward marginals, weighted by length, fitted on the same sample.
+bounded sample of labelled documents, all lines of each, which carry the document's label. A document's score is a logistic
+function of its lines' forward-backward marginals, weighted by length, fitted on the same sample. Where the sample has more
+than DRIVER_LINES lines, executors sum up the gradients.
 
 Defined results: texts without a word (null ones too) score as the share of label 1; repeated rows score alike; without
 usable labels all scores are equal; an empty table gives an empty table; other columns are ignored.
@@ -18,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, materialize
 from .labelled import MAX_FIT, adam, sigmoid, training_texts
 from .textkernel import texts, word_hashes, words
 
 THRESHOLD = 0.7
-#: Lines of one document that are fitted as one chain; longer documents give several chains.
+#: Lines of one document that are fitted as one chain; longer documents give as many chains as they need.
 CHAIN, STEPS, RIDGE = 64, 120, 1e-4
+#: Lines in a stored piece of a document (whole chains), and lines of the sample up to which the driver alone fits.
+PIECE, DRIVER_LINES = 16 * CHAIN, 200_000
 
 
 def _table(chars: str) -> np.ndarray:
@@ -145,6 +148,23 @@ class Model:
         return np.where(np.isnan(mean), self.share, sigmoid(self.slope * (np.nan_to_num(mean) - 0.5) + self.offset))
 
 
+def chain_sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Unscaled gradient of the chains' loss at p (weights and turns) over pieces of n lines and label y each."""
+    piece = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    first = np.append(np.flatnonzero(place % CHAIN == 0), len(piece))
+    gold, inner = y[piece], place % CHAIN != 0
+    turns = np.array([[(inner & (gold == 0)).sum(), 0], [0, (inner & (gold == 1)).sum()]], float)
+    good, pairs = forward_backward(x @ p[:-4], first, p[-4:].reshape(2, 2))
+    return np.concatenate([x.T @ (good - gold), (pairs - turns).ravel()])
+
+
+def _pieces(batch: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and numbers of lines of stored pieces."""
+    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(float)
+    return x, batch.column("y").to_numpy().astype(float), batch.column("n").to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_fit: int = MAX_FIT // 2) -> Model:
     train = training_texts(docs, labels, label, held_out, max_fit)
 
@@ -152,39 +172,54 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_fi
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j, b, off in texts(batch.column(0)):
-                x, size, first = lines(b, off)
-                cut = lambda k: (first[k], min(first[k + 1], first[k] + 4 * CHAIN))  # noqa: B023, E731
-                parts = [cut(k) for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([pa.array(y[i:j].astype(np.int32)), pa.array([x[a:z].astype(np.float32).tobytes() for a, z in parts], pa.binary()), pa.array([size[a:z].tobytes() for a, z in parts], pa.binary())], ["y", "x", "size"])
-
-    # the sample is bounded in documents and in lines of each: what reaches the driver is too
-    rows = train.mapInArrow(measure, "y int, x binary, size binary").toArrow()
-    y = rows["y"].to_numpy().astype(float) if rows.num_rows else np.zeros(0)
-    share = float(y.mean()) if len(y) else 0.5
-    if not len(y) or share in (0.0, 1.0):
+                x, _, first = lines(b, off)
+                for k in range(j - i):
+                    cuts = [*range(first[k], first[k + 1], PIECE), first[k + 1]]
+                    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(y[i + k])] * len(parts), pa.int32()), pa.array([x[a:z].astype(np.float32).tobytes() for a, z in parts], pa.binary()), pa.array([z - a for a, z in parts], pa.int32())], ["y", "x", "n"])
+
+    own = train.agg(F.avg("y").alias("share")).first()["share"]
+    share = 0.5 if own is None else float(own)
+    if own is None or share in (0.0, 1.0):
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))), share)
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(float)
-    size = np.frombuffer(b"".join(rows["size"].to_pylist()), np.float64)
-    n = np.array([len(s) // 8 for s in rows["size"].to_pylist()])
-    doc = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    first = np.append(np.flatnonzero(place % CHAIN == 0), len(doc))
-    gold = y[doc]
-    inner = place % CHAIN != 0
-    turns = np.array([[(inner & (gold == 0)).sum(), 0], [0, (inner & (gold == 1)).sum()]], float)
+    stored = materialize(train.mapInArrow(measure, "y int, x binary, n int"))
+    inner = F.col("n") - F.ceil(F.col("n") / CHAIN)  # every piece starts a chain
+    total, turns = (int(v or 0) for v in stored.agg(F.sum("n"), F.sum(inner)).first())
+    if total <= DRIVER_LINES:
+        pieces = _pieces(stored.toArrow())
+        sums = lambda p: chain_sums(*pieces, p)
+    else:
+
+        def sums(p: np.ndarray) -> np.ndarray:
+            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for k in range(0, batch.num_rows, 64):  # a piece has PIECE lines at most
+                        yield pa.RecordBatch.from_arrays([pa.array([chain_sums(*_pieces(batch.slice(k, 64)), p).tobytes()], pa.binary())], ["g"])
+
+            found = stored.mapInArrow(part, "g binary").toArrow()["g"].to_pylist()  # a few numbers for each 64 pieces
+            return np.sum([np.frombuffer(g, np.float64) for g in found], axis=0)
 
     def gradient(p: np.ndarray) -> np.ndarray:
-        w, turn = p[:-4], p[-4:].reshape(2, 2)
-        good, pairs = forward_backward(x @ w, first, turn)
-        return np.concatenate([x.T @ (good - gold) / len(gold) + RIDGE * w, ((pairs - turns) / max(1, inner.sum())).ravel() + 1e-2 * turn.ravel()])
+        g = sums(p)
+        return np.concatenate([g[:-4] / max(1, total) + RIDGE * p[:-4], g[-4:] / max(1, turns) + 1e-2 * p[-4:]])
 
-    p = adam(gradient, np.zeros(N_FEATURES + 4), STEPS, 0.15)
+    p = adam(gradient, np.zeros(N_FEATURES + 4), STEPS, 0.15) if total else np.zeros(N_FEATURES + 4)
     model = Model(p[:-4], p[-4:].reshape(2, 2), 1.0, 0.0, share)
-    whole = np.concatenate([[0], np.cumsum(n)])
-    good, _ = forward_backward(x @ model.weights, whole, model.turn)
-    has = n > 0
-    mean = np.bincount(doc, good * size, len(n))[has] / np.bincount(doc, size, len(n))[has]
-    own = y[has]
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = np.full(batch.num_rows, np.nan)
+            for i, j, b, off in texts(batch.column(0)):
+                means[i:j] = model.means(b, off)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(means)], ["y", "mean"])
+
+    # two numbers for each text of the sample
+    rows = train.mapInArrow(average, "y int, mean double").toArrow()
+    mean = rows["mean"].to_numpy()
+    has = ~np.isnan(mean)
+    mean, own = mean[has], rows["y"].to_numpy().astype(float)[has]
+    if not len(mean):
+        return Model(model.weights, model.turn, 0.0, 0.0, share)
 
     def logistic(q: np.ndarray) -> np.ndarray:
         error = sigmoid(q[0] * (mean - 0.5) + q[1]) - own

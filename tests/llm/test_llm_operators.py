@@ -389,6 +389,36 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("driver_lines", [10**6, 0])
+def test_quality_learns_from_all_lines_of_long_documents(spark, monkeypatch, driver_lines):
+    """In the first 300 lines junk goes with the good label, in the many lines after them with the bad one."""
+    monkeypatch.setattr(quality, "DRIVER_LINES", driver_lines)
+    words = [f"word{k}" for k in range(300)]
+
+    def make(rng, k):
+        line = lambda: " ".join(rng.choice(words) for _ in range(5))
+        junk, clean = lambda: " ".join(w + "###" for w in line().split()), lambda: line().capitalize() + "."
+        head = [junk() if k % 2 == 0 and n % 5 == 0 else clean() for n in range(300)]
+        tail = [junk() if k % 2 else clean() for _ in range(400)]
+        return "\n".join(head + tail), int(k % 2 == 0)
+
+    docs, labels = labelled(spark, make, 40)
+    model = quality.fit(docs, labels, "quality", F.lit(False))
+    from bazaarflow.llm.textkernel import buffers
+
+    good, bad = model.scores(*buffers(pa.array(["\n".join(["Word1 word2 word3 word4."] * 9), "\n".join(["word1### word2### word3###"] * 9)])))
+    assert bad < 0.3 and good > 0.7
+
+
+def test_chain_sums_add_up_over_pieces():
+    rng = np.random.default_rng(1)
+    n, y, p = np.array([5, 130, 64]), np.array([1.0, 0.0, 1.0]), rng.normal(size=quality.N_FEATURES + 4) / 9
+    x = rng.normal(size=(n.sum(), quality.N_FEATURES))
+    whole, cuts = quality.chain_sums(x, y, n, p), [0, 5, 5 + 128, 135, 199]  # pieces are whole chains
+    parts = [quality.chain_sums(x[a:z], np.array([v]), np.array([z - a]), p) for a, z, v in zip(cuts, cuts[1:], (1.0, 0.0, 0.0, 1.0), strict=False)]
+    assert np.allclose(whole, np.sum(parts, axis=0))
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     unary, turn = rng.normal(size=5), rng.normal(size=(2, 2))
