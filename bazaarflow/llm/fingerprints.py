@@ -4,7 +4,9 @@ A text is cut into words (long ones into pieces of PIECE characters, so a text w
 K words is a closed syncmer, and thereby an anchor, if the smallest hash among its runs of S words is its first or its
 last one; this depends on the run alone, so an edit elsewhere leaves the anchor and its order in place. A text of fewer
 than K words is one anchor. The fingerprint is the SIZE smallest distinct anchor hashes; two fingerprints' likeness is
-the share of the smallest hashes of their union that both have, an estimate of the anchors' Jaccard similarity.
+the share of the smallest hashes of their union that both have, an estimate of the anchors' Jaccard similarity. Beside the
+estimates stand two comparisons of all anchors: their Jaccard similarity, and the largest share of the union that is matched at
+one and the same shift of positions (each anchor at its first place), which reordering lowers.
 
 Defined results: null text is empty and has no anchors; two texts without anchors are alike (1), one with and one without are
 not (0); rows without identifier come last; rows of one identifier are ordered by a hash of the text; repeated rows follow
@@ -57,9 +59,30 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(low) > 0, both / F.size(low)).otherwise(1.0)
 
 
-def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the sketch of column text as column out."""
-    return with_anchors(df, text, f"__{out}").withColumn(out, sketch(F.col(f"__{out}"))).drop(f"__{out}")
+def compared(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with anchors_<out> and placed_<out>: all anchors of a and b compared, without and with their positions."""
+    every, firsts, shifts = f"__{out}_e", f"__{out}_f", f"__{out}_s"
+    tagged = lambda c, side: F.transform(c, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"), x["at"].alias("at")))
+    df = df.withColumn(every, F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))))
+
+    def fresh(x: Column, i: Column) -> Column:
+        before = F.get(every, i - 1)
+        return (i == 0) | (before["hash"] != x["hash"]) | (before["side"] != x["side"])
+
+    def shift(x: Column, i: Column) -> Column:
+        after = F.get(firsts, i + 1)
+        return F.when((x["side"] == 0) & (after["hash"] == x["hash"]), after["at"] - x["at"])
+
+    def longest(s: Column, x: Column) -> Column:
+        run = F.when(s["last"] == x, s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    df = df.withColumn(firsts, F.filter(every, fresh))
+    df = df.withColumn(shifts, F.sort_array(F.filter(F.transform(firsts, shift), lambda x: x.isNotNull())))
+    none = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    union = F.size(firsts) - F.size(shifts)
+    share = lambda n: F.when(union > 0, n / union).otherwise(1.0)
+    return df.withColumns({f"anchors_{out}": share(F.size(shifts)), f"placed_{out}": share(F.aggregate(shifts, none, longest)["best"])}).drop(every, firsts, shifts)
 
 
 def _chunked(df: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -100,19 +123,27 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, anchors_edited, placed_edited, anchors_next, placed_next."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    ordered = with_next(fingerprint(own, "text", "print"), ["text", "print"])
+    ordered = with_next(own, ["text"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     cut = ordered.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
-    cut = cut.select("doc_id", n.cast("long").alias("n_chars"), "edited", "print", "next_print")
-    return fingerprint(cut, "edited", "edited_print").select(
+    # anchors are made here and not before the shuffle: all of them are larger than their text
+    for text, out in (("text", "own"), ("next_text", "next"), ("edited", "cut")):
+        cut = with_anchors(cut, text, out)
+    prints = {f"{c}_print": sketch(F.col(c)) for c in ("own", "next", "cut")}
+    cut = compared(compared(cut, "own", "cut", "edited"), "own", "next", "next").withColumns(prints)
+    return cut.select(
         "doc_id",
-        "n_chars",
+        n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        written(F.col("print")).alias("fingerprint"),
-        written(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        written(F.col("own_print")).alias("fingerprint"),
+        written(F.col("cut_print")).alias("edited_fingerprint"),
+        likeness(F.col("own_print"), F.col("cut_print")).alias("near_edited"),
+        likeness(F.col("own_print"), F.col("next_print")).alias("near_next"),
+        "anchors_edited",
+        "placed_edited",
+        "anchors_next",
+        "placed_next",
     )

@@ -200,6 +200,45 @@ def test_fingerprints(spark, monkeypatch, chunk):
     assert fingerprints.edited_fingerprints(frame(spark, rows).limit(0)).count() == 0
 
 
+def anchors_brute(text):
+    """hash -> first position."""
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
+    if 0 < len(w) < 5:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 5), seed=xxhash.xxh64_intdigest(" ".join(w).encode(), seed=42))
+        return {h - (1 << 64) * (h >> 63): 0}
+    h, out = [spark_hash([x]) for x in w], {}
+    g = [spark_hash(h[i : i + 2]) for i in range(len(h) - 1)]
+    for i in range(len(h) - 4):
+        if min(g[i : i + 4]) in (g[i], g[i + 3]):
+            out.setdefault(spark_hash(h[i : i + 5]), i)
+    return out
+
+
+def test_fingerprints_compare_all_anchors_and_their_positions(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    one, two, three = ([word() for _ in range(n)] for n in (3000, 3000, 60))
+    rows = [(40, " ".join(one + two)), (39, " ".join(two + one)), (38, " ".join([*(word() for _ in range(3000)), *three])), (37, " ".join([*three, *(word() for _ in range(3000))]))]
+    rows += ODD + families(2, [6, 40])
+    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), spark_hash([x[1]])))
+    want = []
+    for k, (d, t) in enumerate(order):
+        other = order[(k + 1) % len(order)][1]
+        own, line = anchors_brute(t), [d]
+        for x in map(anchors_brute, (t[: len(t) - len(t) // 3] + other[: len(t) // 3], other)):
+            shifts = Counter(x[h] - own[h] for h in own if h in x)
+            union = len(set(own) | set(x))
+            line += [round(shifts.total() / union, 9), round(max(shifts.values(), default=0) / union, 9)] if union else [1.0, 1.0]
+        want.append(tuple(line))
+    got = fingerprints.edited_fingerprints(frame(spark, rows)).collect()
+    assert sorted([(r.doc_id, *(round(x, 9) for x in r[7:])) for r in got], key=NONE_FIRST) == sorted(want, key=NONE_FIRST)
+    by = {r.doc_id: r for r in got}
+    assert by[40].near_next == 1 > by[40].anchors_next > 0.99 and by[40].placed_next < 0.6  # reordered
+    assert by[38].anchors_next > 0.005 and by[38].placed_next == by[38].anchors_next  # one shared passage of 2 %
+
+
 def test_packing_keeps_every_token_and_pads_nothing(spark):
     from tokenizers import Tokenizer
 
