@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import standardize as S
-from ..functions.reference_data import CATEGORIES, UNITS
+from ..functions.reference_data import CATEGORIES, MOBILE_MONEY, UNITS
 
 CUSTOMER_FIELDS = ["full_name", "phone_number", "email", "district", "registration_date", "gender"]
 PRODUCT_FIELDS = ["sku", "product_name", "category", "unit_of_measure", "cost_ugx", "selling_price_ugx"]
@@ -128,6 +128,45 @@ def violations(clean: DataFrame, today: str) -> DataFrame:
     return wide.select(F.explode(F.array_compact(out)).alias("r")).select("r.*")
 
 
+def _repeats(df: DataFrame, key: str, counted: Column, missing: Column | None = None) -> DataFrame:
+    """Number of counted rows whose key another counted row has too, and of rows without a key where missing is given."""
+    groups = df.where(counted).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    bad = F.col("n") > 1 if missing is None else (F.col("n") > 1) | missing
+    return groups.agg(F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("violations"))
+
+
+def catalogue_violations(customers: DataFrame, products: DataFrame, sales: DataFrame, golden: DataFrame, today: str, reviewed: DataFrame | None = None) -> DataFrame:
+    """rule, severity, violations for the whole catalogue VR-001 to VR-012, in the reference's conditions and severities.
+
+    Cleansed customers and products, parsed sales, surviving customers; reviewed: customer_id of those in the review queue.
+    """
+    fails = lambda df, oks: df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(r) for r, ok in oks.items()])
+    own = {r: ok for r, (ok, _) in rules(today).items() if r not in ("VR-004", "VR-006")}
+    own["VR-006"] = (F.length(F.trim("full_name")) >= 2) & F.col("full_name").rlike(r"\A[A-Za-z .-]+\z")
+    ware = {
+        "VR-008": ~F.lower("sku").isin("", "nan") & ~F.col("duplicate_sku"),
+        "VR-009": F.col("unit_of_measure").isin(list(UNITS)),
+        "VR-010": F.col("category").isin(list(CATEGORIES)),
+        "VR-011": ~F.col("margin_anomaly"),
+    }
+    paid = ~F.coalesce("payment_ref", F.lit("")).isin("", "nan", "None", "PENDING_RECON") | F.coalesce(F.col("reconciliation_status") == "PENDING", F.lit(False))
+    parts = [(customers, own), (products, ware), (sales, {"VR-012": ~F.coalesce(F.col("payment_method").isin(MOBILE_MONEY), F.lit(False)) | paid})]
+    if reviewed is not None:
+        golden = golden.join(reviewed.select("customer_id").distinct(), "customer_id", "left_anti")
+    missing = F.coalesce(F.col("customer_id"), F.lit("")) == ""
+    found = _repeats(customers, "customer_id", F.lit(True), missing).select(F.lit("VR-004").alias("rule"), "violations")
+    found = found.unionByName(_repeats(golden, "phone_e164", F.col("phone_status") == "valid").select(F.lit("VR-007").alias("rule"), "violations"))
+    for df, oks in parts:
+        rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in oks])
+        found = found.unionByName(fails(df, oks).select(F.explode(rows).alias("r")).select("r.*"))
+    severity = F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])
+    return found.select("rule", severity[F.col("rule")].alias("severity"), "violations")
+
+
+#: Severity of each rule of the reference's catalogue.
+SEVERITIES = {f"VR-{k:03d}": s for k, s in enumerate(("high", "medium", "medium", "critical", "high", "medium", "critical", "critical", "high", "high", "medium", "high"), 1)}
+
+
 # Monitored measures with their alert and, where there is one, incident limits.
 LIMITS = {
     "DQC-01": (">", 1.0, 2.0),

@@ -201,6 +201,7 @@ QUERIES: dict[str, Query] = {
     "profile_customers": lambda spark, d: quality.profile_customers(raw_customers(spark, d), TODAY),
     "profile_products": lambda spark, d: quality.profile_products(load(spark, d, DIRTY_PRODUCTS)),
     "rule_violations": lambda spark, d: quality.violations(clean_customers(spark, d), TODAY),
+    "rule_catalogue": lambda spark, d: quality.catalogue_violations(clean_customers(spark, d), clean_products(spark, d), parsed_sales(spark, d).where("rule is null"), resolve.survivors(clean_customers(spark, d), phone_clusters(spark, d)), TODAY),
     "parse_sales": lambda spark, d: parsed_sales(spark, d).where("rule is null").drop("raw"),
     "quarantine_summary": lambda spark, d: sales.quarantine_summary(sales.quarantined(parsed_sales(spark, d))),
     "fact_sales": lambda spark, d: facts(spark, d)[0].select("transaction_id", "sale_sk", "customer_sk", "product_sk", "quantity", "net_amount_ugx"),

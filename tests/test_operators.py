@@ -176,3 +176,18 @@ def test_control_total_guard(spark):
 def test_single_writer(tmp_path):
     with warehouse.single_writer(str(tmp_path / "lock")), pytest.raises(BlockingIOError), warehouse.single_writer(str(tmp_path / "lock")):
         pass
+
+
+def test_rule_catalogue_counts_every_rule(spark):
+    cols = "customer_id string, full_name string, phone_e164 string, phone_status string, email string, district_status string, registration_date string"
+    good = ("valid", "a@b.co", "exact", "2024-01-01")
+    people = [("C1", "Ann Lee", "+1", *good), ("C1", "Bo Lee", "+1", *good), ("C2", "X", "+2", *good), ("C3", "R2 D2", "+3", *good), ("", "Cy Lee", "+4", "invalid", "x", "unresolved", "1999-01-01"), (None, None, "", "missing", "", "exact", "2024-01-01")]
+    customers = spark.createDataFrame(people, cols)
+    products = spark.createDataFrame([("s1", "kg", "Snacks", False, False), ("s2", "kg", "Snacks", False, True), ("s2", "box", "Toys", True, True), ("", None, "Snacks", False, False)], "sku string, unit_of_measure string, category string, margin_anomaly boolean, duplicate_sku boolean")
+    sold = spark.createDataFrame([("MTN_MOMO", "R1", "MATCHED"), ("MTN_MOMO", "", "MATCHED"), ("MTN_MOMO", "PENDING_RECON", "PENDING"), ("CASH", "", "NOT_REQUIRED")], "payment_method string, payment_ref string, reconciliation_status string")
+    got = {r.rule: r.violations for r in quality.catalogue_violations(customers, products, sold, customers, "2026-01-01").collect()}
+    assert got == {"VR-001": 1, "VR-002": 1, "VR-003": 1, "VR-004": 4, "VR-005": 1, "VR-006": 3, "VR-007": 2, "VR-008": 3, "VR-009": 2, "VR-010": 1, "VR-011": 1, "VR-012": 1}
+    queue = spark.createDataFrame([("C1",)], "customer_id string")
+    assert {r.rule: r.violations for r in quality.catalogue_violations(customers, products, sold, customers, "2026-01-01", queue).collect()}["VR-007"] == 0
+    empty = quality.catalogue_violations(*(df.limit(0) for df in (customers, products, sold, customers)), "2026-01-01").collect()
+    assert len(empty) == 12 and not any(r.violations for r in empty)
