@@ -34,19 +34,32 @@ _LETTER = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
 
 
 def grams(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that have three letters or more, and their documents. Other bytes than letters count as spaces."""
-    if len(b) < SIZE:
+    """Hashes of the n-grams that have three letters or more, of words of one or two bytes, and their documents.
+
+    Other bytes than letters count as spaces, and every text has one before and one behind it.
+    """
+    if not len(b):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    letter = _LETTER[b]
-    clean = np.where(letter, fold_case(b), 32).astype(np.uint8)
+    size = len(off) - 1
+    place = np.arange(len(b)) + 2 * np.repeat(np.arange(size), np.diff(off)) + 1
+    off = off + 2 * np.arange(size + 1)
+    known = _LETTER[b]
+    letter, clean = np.zeros(off[-1], dtype=bool), np.full(off[-1], 32, np.uint8)
+    letter[place], clean[place] = known, np.where(known, fold_case(b), 32)
     padded = np.concatenate([clean, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(clean) - SIZE + 1,), "<u8", padded.data, strides=(1,))
+    eight = np.ndarray((len(clean),), "<u8", padded.data, strides=(1,))
     sums = np.concatenate([[0], np.cumsum(letter)])
     good = sums[SIZE:] - sums[:-SIZE] >= 3
     for k in off[1:-1]:  # none across documents
         good[max(0, k - SIZE + 1) : k] = False
-    at = np.flatnonzero(good)
-    return mix(eight[at] & np.uint64((1 << 8 * SIZE) - 1)), np.searchsorted(off, at, side="right") - 1
+    found, at = [np.flatnonzero(good)], np.flatnonzero(~letter[:-1] & letter[1:])  # the space before each word
+    keys = [eight[found[0]] & np.uint64((1 << 8 * SIZE) - 1)]
+    for k in (1, 2):
+        whole = at[~letter[at + k + 1]]
+        found.append(whole)
+        keys.append(eight[whole] & np.uint64((1 << 8 * (k + 2)) - 1))
+        at = at[letter[at + k + 1]]
+    return mix(np.concatenate(keys)), np.searchsorted(off, np.concatenate(found), side="right") - 1
 
 
 @dataclass

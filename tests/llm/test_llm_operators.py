@@ -488,6 +488,16 @@ def test_language_id(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_id_of_very_short_texts(spark):
+    rng = random.Random(3)
+    words = {"xx": ["hola", "no", "y", "casa"], "yy": ["und", "im", "ü", "haus"]}
+    rows = [(k, " ".join(rng.choice(words[x]) for _ in range(12)), x) for k in range(200) for x in [("xx", "yy")[k % 2]]]
+    short = [(1000 + k, w, x) for k, (w, x) in enumerate((w, x) for x in words for w in words[x])]
+    df = spark.createDataFrame(rows + [(d, w, None) for d, w, _ in short], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score > 0.5) for r in language_id.identify(df).collect()}
+    assert {d: got[d] for d, _, _ in short} == {d: (x, True) for d, _, x in short}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
