@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where a session of one machine names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/bazaarflow"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session: spark.checkpoint.dir, or a folder of this machine where it is unset."""
+    """The shared folder of the session: spark.checkpoint.dir, or a folder of this machine where that is all there is."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(base or LOCAL_CHECKPOINTS).rstrip('/')}/bazaarflow-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
+    The shuffle files behind it are dropped with the write, as nothing reads them again.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table that this application wrote."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() made, once all that is made from them has been written."""
+    for df in tables:
+        _delete(df.sparkSession, df._stored_at)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    return [next(x for x in (f"__{w}{k or ''}" for k in itertools.count()) if x not in taken) for w in wanted]
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -2,6 +2,9 @@
 
 Rounds of contraction, each written to the shared folder, replace every node by its smallest neighbour until at most
 FINISH links are left; those, a bounded number, are united in one task. Labels are then carried back round by round.
+
+Defined results: links of a node to itself and repeated links are ignored; a link with a null end counts as none; without links
+there are no labels.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Links that one task unites at most: 16 bytes each.
 FINISH = 1_000_000
@@ -42,17 +45,20 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """id, label for every end of edges (a, b): label is the smallest id of the component. Nothing is collected."""
     ordered = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, rounds = materialize(ordered(edges)), []
+    left, rounds, spent = materialize(ordered(edges)), [], []
     while left.count() > finish:
         near = left.select("a", "b").union(left.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
         step = near.select("id", F.least("id", "near").alias("label"))
         onward = step.select(F.col("id").alias("label"), F.col("label").alias("further"))
         step = materialize(step.join(onward, "label", "left").select("id", F.coalesce("further", "label").alias("label")))
         rounds.append(step)
+        spent.append(left)
         start, end = (step.select(F.col("id").alias(k), F.col("label").alias(f"{k}_label")) for k in ("a", "b"))
         left = materialize(ordered(left.join(start, "a").join(end, "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))))
     labels = materialize(left.repartition(1).mapInArrow(_unite, "id long, label long"))
     for step in reversed(rounds):
         last = labels.select(F.col("id").alias("label"), F.col("label").alias("final"))
+        spent.append(labels)
         labels = materialize(step.join(last, "label", "left").select("id", F.coalesce("final", "label").alias("label")))
+    discard(left, *rounds, *spent)
     return labels

@@ -3,19 +3,21 @@
 Two sets of sizes a <= b with similarity 0.75 or more differ in at most (a + b) / 7 elements. Sets are banded by size, a
 set takes part in the band of its own size and, as the smaller one, in the next. In a band with at most d differences the
 hash range is cut into m > d segments and the 64-bit hashes of a set's elements are XORed by segment: each element that
-only one of two sets has changes one segment of the sketch, so of m segments m - d or more are equal, and of the
-non-empty ones at least r = m - d - (empty ones). Sets with r < 1 also send which segments are empty. Sets of up to
-SMALL elements use a segment of its own for each element: r is then 75 % of the size.
-
-1. Segments are matched over the corpus as packed keys. A set with fewer than r keys that another set has too can have
-   no partner; nearly every document without near copies leaves here.
+only one of two sets has changes one segment of the sketch, so a set of n elements, which differs from a partner in the
+band in no more than (n + the largest partner's size) / 7, finds at least r = (non-empty segments) - (those differences) of
+its segments in that partner. Sets with r < 1 also send which segments are empty. Sets of up to SMALL elements use a segment
+of its own for each element: r is then 75 % of the size.
+
+1. Segments are matched over the corpus as packed keys, each once per block of documents: a key that a third of all sets
+   have comes once from each block, and the block itself knows its other holders. A set with fewer than r keys that another
+   set has too can have no partner; nearly every document without near copies leaves here.
 2. The others' keys are matched again among themselves. A set drops its r - 1 most frequent keys: of r shared ones the
    rarest stays in both sets, whatever passages many documents share. One edge per remaining key and set, to the key's
-   smallest set, gives candidate families; no pairs are listed.
+   smallest set in the block, and from there to the smallest of all blocks, gives candidate families; no pairs are listed.
 3. Families are verified with their full sets: a pivot is compared to all sets of its family, linked sets are united, and
    the next pivot comes from outside the largest united group until every set outside it has been a pivot. Links are
-   thereby neither lost nor repeated. Families beyond PART elements are cut into parts and get their pivots, in
-   growing numbers, by a join; parts stay bounded.
+   thereby neither lost nor repeated. Families beyond PART elements or PART_SETS sets are cut into parts and get their
+   pivots, in growing numbers of bounded bytes, by a join; parts stay bounded.
 
 Sets are known by a 64-bit hash of their elements; equal sets are one node, and are counted once per block before any
 shuffle.
@@ -36,16 +38,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import materialize, shuffle_width
+from .common import discard, free_names, materialize, shuffle_width
 from .components import components
 from .textkernel import mix, shingle_sets, texts, trim
 
 U = np.uint64
 SMALL, SLACK, SALTS = 64, 1.2, 64
-#: Keys in a packed flush and in a bucket, sets in a flush (a reference of 16 bits names 16,384 at most), elements in a part of a family.
-FLUSH, BUCKET, FLUSH_DOCS, PART = 500_000, 1_000_000, 16_000, 1_000_000
-#: Pivots of a family in each round; the last number holds for all further rounds.
-PIVOTS = (32, 1024, 4096)
+#: Keys in a packed flush and in a bucket, sets in a flush (a reference of 16 bits names 16,384 at most).
+FLUSH, BUCKET, FLUSH_DOCS = 500_000, 1_000_000, 16_000
+#: Stands for all sets of a block that share a key.
+SEVERAL = 0xFFFF
+#: Elements and sets in a part of a family.
+PART, PART_SETS = 1_000_000, 20_000
+#: Pivots of a family in each round; the last number holds for all further rounds. Elements of a round's pivots, about.
+PIVOTS, PIVOT_ELEMENTS = (32, 1024, 4096), 2_000_000
 #: Bits of a set's sketch in verification.
 SKETCH = 4096
 
@@ -73,14 +79,17 @@ def keys(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     out, refs = [], []
     for role in (0, 1):
         used = np.flatnonzero(n > SMALL)
+        if role:  # the next band, for sets that are large enough for a partner there
+            used = used[n[used] * 4 // 3 >= BANDS[band[used] + 1]]
         if not len(used):
             continue
         g = band[used] + role
-        most = 2 * (BANDS[g + 1] - 1) // 7
-        m = np.ceil(SLACK * (most + 1)).astype(np.int64) + 2
+        # all sets of a band use the same segments; how many may differ is a matter of the set's own size
+        m = np.ceil(SLACK * (2 * (BANDS[g + 1] - 1) // 7 + 1)).astype(np.int64) + 2
+        most = (n[used] + np.minimum(BANDS[g + 1] - 1, n[used] * 4 // 3)) // 7
         width, base = np.zeros(docs, U), np.zeros(docs, np.int64)
         width[used], base[used] = m.astype(U), np.concatenate([[0], np.cumsum(m)[:-1]])
-        mine = n[doc] > SMALL
+        mine = width[doc] > 0
         x, own = s[mine], doc[mine]
         cell = base[own] + ((x >> U(32)) * width[own] >> U(32)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
@@ -89,7 +98,7 @@ def keys(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         out.append(mix(np.bitwise_xor.reduceat(mix(x), at) ^ mix(place)))
         refs.append(owner * 4 + role)
         filled = np.bincount(owner, minlength=docs)[used]
-        r = m - most - (m - filled)
+        r = filled - most
         need[used * 4 + role] = np.maximum(r, 1)
         for k in np.flatnonzero(r < 1):  # rare: empty segments are keys too
             own_cells = cell[at][owner == used[k]] - base[used[k]]
@@ -104,11 +113,23 @@ def keys(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(out), np.concatenate(refs), need
 
 
-KEYED = "bucket int, dictionary boolean, block long, a binary, b binary"
+KEYED = "bucket int, dictionary boolean, block long, a binary, b binary, c binary, d binary"
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def _whole(key: np.ndarray, buckets: int) -> np.ndarray:
+    """A key as its bucket and its last five bytes."""
+    return key & U((1 << 40) - 1) | _bucket(key, buckets).astype(U) << U(40)
 
 
 def _keyed(docs: DataFrame, buckets: int, only=None) -> DataFrame:
-    """Packed keys by bucket, and for each block its dictionary of sets; `only`: a filter of the sets to send."""
+    """Packed keys by bucket, and for each block its dictionary: sets, least numbers of shared keys, and holders of shared keys.
+
+    `only`: a filter of the sets to send.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, sids, needs, seen, n = TaskContext.get().partitionId() << 24, [], [], [], {}, 0
@@ -117,16 +138,22 @@ def _keyed(docs: DataFrame, buckets: int, only=None) -> DataFrame:
             key, ref = (np.concatenate(x) for x in zip(*held, strict=True))
             if len(seen) > 1 << 14:
                 raise ValueError("more sets in a flush than a reference can name")
-            order = np.argsort(key)
+            order = np.argsort(key, kind="stable")
             key, ref = key[order], ref[order].astype(np.uint16)
-            bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            times = np.diff(np.concatenate([at, [len(key)]]))
+            shared = np.repeat(times > 1, times)
+            holders, theirs = key[shared], ref[shared]
+            key, ref = key[at], np.where(times > 1, np.uint16(SEVERAL), ref[at])
+            bucket = _bucket(key, buckets)
             cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), [len(key)]])
             five = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
             spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-            own = [(int(bucket[i]), False, block, five[i:j].tobytes(), ref[i:j].tobytes()) for i, j in spans]
-            own.append((int(block * 7919 % buckets), True, block, np.concatenate(sids).tobytes(), np.concatenate(needs).tobytes()))
-            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), kinds, strict=True)], ["bucket", "dictionary", "block", "a", "b"])
+            own = [(int(bucket[i]), False, block, five[i:j].tobytes(), ref[i:j].tobytes(), None, None) for i, j in spans]
+            known = _whole(holders, buckets).tobytes() if only is not None else None  # the first pass has no use for them
+            own.append((int(block * 7919 % buckets), True, block, np.concatenate(sids).tobytes(), np.concatenate(needs).tobytes(), theirs.tobytes(), known))
+            kinds = [pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), kinds, strict=True)], ["bucket", "dictionary", "block", "a", "b", "c", "d"])
 
         for batch in batches:
             for _, _, b, off in texts(batch.column(0)):
@@ -183,14 +210,14 @@ def _frequency(key: np.ndarray) -> np.ndarray:
 
 
 def _match(table: pa.Table, with_keys: bool) -> pa.Table:
-    """For each block: how many keys of each reference occur elsewhere too; or those keys and their frequencies."""
+    """For each block: how many keys of each reference occur elsewhere too; or those keys, and in how many blocks they do."""
     rows = table.to_pylist()
-    out = [(True, r["block"], r["a"], r["b"], None) for r in rows if r["dictionary"]]
+    out = [(True, r["block"], r["a"], r["b"], r["c"], r["d"]) for r in rows if r["dictionary"]]
     rows = [r for r in rows if not r["dictionary"]]
     if rows:
         key, block, ref = _unpack(rows)
         frequency = _frequency(key)
-        common = frequency > 1
+        common = (frequency > 1) | (ref == SEVERAL) if with_keys else (frequency > 1) & (ref != SEVERAL)
         key, block, ref, frequency = key[common], block[common], ref[common], frequency[common]
         order = np.argsort(block, kind="stable")
         key, block, ref, frequency = key[order], block[order], ref[order], frequency[order]
@@ -199,17 +226,17 @@ def _match(table: pa.Table, with_keys: bool) -> pa.Table:
             i, j = cuts[k], cuts[k + 1]
             if with_keys:
                 whole = key[i:j] | U(rows[k]["bucket"]) << U(40)
-                out.append((False, rows[k]["block"], ref[i:j].tobytes(), whole.tobytes(), frequency[i:j].astype(np.int32).tobytes()))
+                out.append((False, rows[k]["block"], ref[i:j].tobytes(), whole.tobytes(), frequency[i:j].astype(np.int32).tobytes(), None))
             else:
                 which, count = np.unique(ref[i:j], return_counts=True)
-                out.append((False, rows[k]["block"], which.tobytes(), count.astype(np.int32).tobytes(), None))
+                out.append((False, rows[k]["block"], which.tobytes(), count.astype(np.int32).tobytes(), None, None))
     trim()
-    kinds = [pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*out, strict=True)) or [[]] * 5
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["dictionary", "block", "a", "b", "c"])
+    kinds = [pa.bool_(), pa.int64(), *[pa.binary()] * 4]
+    columns = list(zip(*out, strict=True)) or [[]] * 6
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["dictionary", "block", "a", "b", "c", "d"])
 
 
-MATCHED = "dictionary boolean, block long, a binary, b binary, c binary"
+MATCHED = "dictionary boolean, block long, a binary, b binary, c binary, d binary"
 
 
 def _survivors(table: pa.Table) -> pa.Table:
@@ -217,7 +244,7 @@ def _survivors(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     book = next(r for r in rows if r["dictionary"])
     sids, need = np.frombuffer(book["a"], np.int64), np.frombuffer(book["b"], np.int32)
-    counts = np.zeros(len(need), np.int64)
+    counts = np.bincount(np.frombuffer(book["c"], np.uint16), minlength=len(need))
     for r in rows:
         if not r["dictionary"]:
             counts[np.frombuffer(r["a"], np.uint16)] += np.frombuffer(r["b"], np.int32)
@@ -225,27 +252,43 @@ def _survivors(table: pa.Table) -> pa.Table:
 
 
 def _rarest(table: pa.Table) -> pa.Table:
-    """key, sid of one block without each set's r - 1 most frequent keys."""
+    """Without each set's r - 1 most frequent keys: (key, smallest set) of one block, and edges (null, smallest, other set)."""
     rows = table.to_pylist()
     book = next(r for r in rows if r["dictionary"])
     sids, need = np.frombuffer(book["a"], np.int64), np.frombuffer(book["b"], np.int32)
     rows = [r for r in rows if not r["dictionary"]]
-    ref = np.frombuffer(b"".join(r["a"] for r in rows), np.uint16).astype(np.int64)
-    key = np.frombuffer(b"".join(r["b"] for r in rows), np.int64)
-    frequency = np.frombuffer(b"".join(r["c"] for r in rows), np.int32)
+    ref, key, frequency = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("a", np.uint16), ("b", np.int64), ("c", np.int32)))
+    # keys of several sets: put the holders in the place of the one entry
+    known, theirs = np.frombuffer(book["d"], np.int64), np.frombuffer(book["c"], np.uint16)
+    order = np.argsort(known, kind="stable")
+    known, theirs = known[order], theirs[order]
+    many = ref == SEVERAL
+    i, j = np.searchsorted(known, key[many]), np.searchsorted(known, key[many], side="right")
+    n = j - i
+    spots = np.repeat(i - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    ref = np.concatenate([ref[~many], theirs[spots]]).astype(np.int64)
+    key = np.concatenate([key[~many], np.repeat(key[many], n)])
+    frequency = np.concatenate([frequency[~many], np.repeat(frequency[many], n)])
     order = np.lexsort((key, -frequency, ref))  # the same order in every set
     ref, key = ref[order], key[order]
     counts = np.bincount(ref, minlength=len(need))
     rank = np.arange(len(ref)) - np.repeat(np.cumsum(counts) - counts, counts)
     keep = (counts[ref] >= need[ref]) & (rank >= need[ref] - 1)
-    return pa.table({"key": key[keep], "sid": sids[ref[keep] // 4]})
+    key, own = key[keep], sids[ref[keep] // 4]
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    hub = np.repeat(own[at], np.diff(np.concatenate([at, [len(key)]])))
+    edges = np.unique(np.stack([hub, own], axis=1)[hub != own], axis=0)
+    return pa.table({"key": pa.concat_arrays([pa.array(key[at]), pa.nulls(len(edges), pa.int64())]), "a": np.concatenate([own[at], edges[:, 0]]), "b": np.concatenate([own[at], edges[:, 1]])})
 
 
 def _parity(elements: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     """A sketch of SKETCH bits for each of n sets: every element turns one bit over."""
-    cells = np.zeros(n * SKETCH, np.uint8)
-    np.add.at(cells, owners * SKETCH + (elements >> U(64 - SKETCH.bit_length() + 1)).astype(np.int64), np.uint8(1))
-    return np.packbits((cells & 1).reshape(n, SKETCH), axis=1).view(U)
+    out = np.zeros(n * SKETCH // 64, U)
+    bit = elements >> U(64 - SKETCH.bit_length() + 1)
+    np.bitwise_xor.at(out, owners * (SKETCH // 64) + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return out.reshape(n, -1)
 
 
 class _Family:
@@ -310,7 +353,7 @@ def _cluster(percent: int):
 
 def _large_families(members: DataFrame, percent: int) -> DataFrame:
     """id, label for families in several parts (family, sid, elements, part, parts)."""
-    state = materialize(members.select("family", "sid", F.col("sid").alias("label"), F.lit(False).alias("pivoted")))
+    state = materialize(members.select("family", "sid", "n", F.col("sid").alias("label"), F.lit(False).alias("pivoted")))
 
     def compare(own: pa.Table, pivots: pa.Table) -> pa.Table:
         a, b = [], []
@@ -328,14 +371,16 @@ def _large_families(members: DataFrame, percent: int) -> DataFrame:
     while True:
         sizes = state.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-        outside = state.join(largest, "family").where(~F.col("pivoted") & (F.col("label") != F.col("largest"))).select("family", "sid", "label")
+        outside = state.join(largest, "family").where(~F.col("pivoted") & (F.col("label") != F.col("largest"))).select("family", "sid", "n", "label")
         if outside.isEmpty():
             return state.select(F.col("sid").alias("id"), "label")
         # about so many for each family and round, so what a part is compared with stays bounded
-        most = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        left = outside.groupBy("family").agg(F.count(F.lit(1)).alias("left"))
-        chance = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 << 20)) < F.lit(float(most << 20)) / F.col("left")
-        chosen = materialize(outside.join(left, "family").where(chance).select("family", "sid", "label"))
+        most = F.least(F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]), F.lit(PIVOT_ELEMENTS) / F.avg("n"))
+        left = outside.groupBy("family").agg((most / F.count(F.lit(1))).alias("share"))
+        # the first of an order that changes with each round is always among them
+        lowest = outside.groupBy("family").agg(F.min_by("sid", F.xxhash64("sid", F.lit(turn))).alias("sure"))
+        chance = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+        chosen = materialize(outside.join(left, "family").join(lowest, "family").where(chance | (F.col("sid") == F.col("sure"))).select("family", "sid", "label"))
         turn += 1
         sent = chosen.join(members.select("sid", "elements", "parts"), "sid").select("family", "label", "elements", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         sent = sent.toDF(*sent.columns)  # both sides of the cogroup come from members
@@ -345,9 +390,9 @@ def _large_families(members: DataFrame, percent: int) -> DataFrame:
         own, sent = (d.repartition(4 * shuffle_width(d.sparkSession), *key) for d in (own, sent))
         links = own.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(compare, "a long, b long")
         united = components(links).select(F.col("id").alias("label"), F.col("label").alias("new"))
-        state = materialize(
-            state.join(chosen.select("sid", F.lit(True).alias("now")), "sid", "left").join(united, "label", "left").select("family", "sid", F.coalesce("new", "label").alias("label"), (F.col("pivoted") | F.coalesce("now", F.lit(False))).alias("pivoted"))
-        )
+        marked = state.join(chosen.select("sid", F.lit(True).alias("now")), "sid", "left").join(united, "label", "left")
+        before, state = state, materialize(marked.select("family", "sid", "n", F.coalesce("new", "label").alias("label"), (F.col("pivoted") | F.coalesce("now", F.lit(False))).alias("pivoted")))
+        discard(before, chosen)
 
 
 def _surveyed(docs: DataFrame) -> DataFrame:
@@ -372,14 +417,15 @@ def linked_sets(docs: DataFrame, rows: DataFrame, percent: int = 75) -> DataFram
     elements = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_width(spark), int(elements // BUCKET) + 1)
     first = _keyed(docs, buckets).groupBy("bucket").applyInArrow(lambda t: _match(t, False), MATCHED)
-    alive = materialize(first.groupBy("block").applyInArrow(_survivors, "sid long").distinct())
+    alive = materialize(first.groupBy("block").applyInArrow(_survivors, "sid long"))
     only = spark.sparkContext.broadcast(bloom.build(alive))
     again = _keyed(docs, buckets, only).groupBy("bucket").applyInArrow(lambda t: _match(t, True), MATCHED)
-    rare = materialize(again.groupBy("block").applyInArrow(_rarest, "key long, sid long").distinct())
-    hubs = rare.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("key", "hub")
-    edges = rare.join(hubs, "key").where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    families = components(edges).select(F.col("id").alias("sid"), F.col("label").alias("family"))
-    families = materialize(families)
+    rare = materialize(again.groupBy("block").applyInArrow(_rarest, "key long, a long, b long"))
+    keyed = rare.where("key is not null").select("key", F.col("a").alias("b"))
+    hubs = keyed.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("key", "a")
+    edges = keyed.join(hubs, "key").where("a <> b").select("a", "b").union(rare.where("key is null").select("a", "b"))
+    families = materialize(components(edges).select(F.col("id").alias("sid"), F.col("label").alias("family")))
+    discard(alive, rare)
     wanted = spark.sparkContext.broadcast(bloom.build(families.select("sid")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,12 +440,13 @@ def linked_sets(docs: DataFrame, rows: DataFrame, percent: int = 75) -> DataFram
                         yield pa.RecordBatch.from_arrays([pa.array(sid[k : k + 1].view(np.int64)), pa.array([s[first[k] : first[k + 1]].tobytes()], pa.binary()), pa.array([int(first[k + 1] - first[k])])], ["sid", "elements", "n"])
 
     sets = docs.select("text").mapInArrow(fetch, "sid long, elements binary, n long").groupBy("sid").agg(F.first("elements").alias("elements"), F.first("n").alias("n"))
-    members = materialize(families.join(sets, "sid"))
-    parts = members.groupBy("family").agg(F.sum("n").alias("total")).select("family", F.ceil(F.col("total") / PART).cast("int").alias("parts"))
+    members = stored = materialize(families.join(sets, "sid"))
+    parts = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / PART), F.ceil(F.count(F.lit(1)) / PART_SETS)).cast("int").alias("parts"))
     members = members.join(parts, "family")
     whole = members.where("parts = 1").withColumn("bucket", F.pmod(F.xxhash64("family"), F.lit(4 * buckets)))
     small = materialize(whole.select("bucket", "family", "sid", "elements").groupBy("bucket").applyInArrow(_cluster(percent), "id long, label long"))
-    large = materialize(members.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).select("family", "sid", "elements", "part", "parts"))
+    large = materialize(members.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).select("family", "sid", "elements", "n", "part", "parts"))
+    discard(stored, families)
     return small if large.isEmpty() else small.unionByName(_large_families(large, percent))
 
 
@@ -421,12 +468,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, the one that names it; rows without shingles all stay."""
+    """docs with one row of each component, the one that names it; rows without shingles all stay.
+
+    Of rows that repeat the kept identifier and text, one stays: the one whose other columns hash lowest.
+    """
+    known, lacks, text, one, salt, nth = free_names(docs.columns, "id", "lacks", "text", "one", "salt", "nth")
     named = materialize(_named(docs))
-    stay = named.where("n > 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).max))), "mark", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("__keep"), F.col("k.mark").alias("__mark"), F.lit(True).alias("__one"))
-    empty = named.where("n = 0").select(F.col("doc_id").alias("__keep"), F.col("mark").alias("__mark"), F.lit(False).alias("__one")).distinct()
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    met = keyed.join(stay.union(empty), F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__text") == F.col("__mark")))
-    order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(order))
-    return met.withColumn("__nth", nth).where("not __one or __nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = lambda row_id, mark: [F.coalesce(row_id, F.lit(0)).alias(known), F.isnull(row_id).alias(lacks), mark.alias(text)]
+    low = F.min(F.struct(F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).max))), "mark", "doc_id"))
+    stay = named.where("n > 0").groupBy("node").agg(low.alias("k")).select(*keys(F.col("k.doc_id"), F.col("k.mark")), F.lit(True).alias(one))
+    empty = named.where("n = 0").select(*keys(F.col("doc_id"), F.col("mark")), F.lit(False).alias(one)).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # the join's partitioning serves the numbering too, so texts are shuffled once; rows without shingles are not numbered
+    met = docs.select(*columns, *keys(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(stay.union(empty), [known, lacks, text])
+    met = met.withColumn(salt, F.when(~F.col(one), F.monotonically_increasing_id()))
+    order = F.xxhash64(*[c.cast("string") for c in columns])
+    return met.withColumn(nth, F.row_number().over(Window.partitionBy(known, lacks, text, salt).orderBy(order))).where(F.col(nth) == 1).select(*columns)
