@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and further candidates judged by who owns them in the whole corpus.
 
 Three base patterns always count. Further candidates (well-known token formats, high-entropy strings outside base spans) are
-hashed, and the hashes are aggregated over the corpus by distinct repositories and owners: a value that many owners
-carry is a copied example, one that few owners carry and that looks live is reported. Values are shuffled as digests
+hashed, and the hashes are aggregated over the corpus by distinct repositories and owners: a value that many owners or
+many repositories carry is a copied example, one that few carry and that looks live is reported. Values are shuffled as digests
 only, distinct per owner before the shuffle; answers return by (value, salt), so a value that a third of all rows
 carry is spread.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 from .textkernel import LOWER, texts
 
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -36,7 +37,7 @@ RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 EXAMPLE = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000|1234567|abcdef")
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "known", "entropy")
-MAX_OWNERS, MIN_BITS, SALTS = 2, 3.5, 64
+MAX_OWNERS, MAX_REPOS, MIN_BITS, SALTS = 2, 3, 3.5, 64
 
 _CLASS = np.zeros(256, dtype=bool)
 _CLASS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
@@ -61,15 +62,23 @@ def bits(value: str) -> float:
 
 def further_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, bool]]:
     """(start, rank, end, value, looks live) of candidates outside the base spans."""
-    found, taken = [], [(a, z) for a, _, z in base]
+    found, starts, stops = [], [], []
+    for a, _, z in base:  # what they cover, as intervals that do not touch each other
+        if stops and a <= stops[-1]:
+            stops[-1] = max(stops[-1], z)
+        else:
+            starts.append(a)
+            stops.append(z)
     for rank, pattern in ((3, KNOWN), (4, RANDOM)):
         for m in pattern.finditer(text):
             a, z, value = m.start(), m.end(), m[0]
-            if any(a < y and x < z for x, y in taken):
+            k = bisect_left(starts, z)  # the last interval that begins before the end is the only one that can overlap
+            if k and stops[k - 1] > a:
                 continue
             if rank == 4 and (sum(c.isdigit() for c in value) < 3 or sum(c.isalpha() for c in value) < 3 or bits(value) < MIN_BITS):
                 continue
-            taken.append((a, z))
+            starts.insert(k, a)
+            stops.insert(k, z)
             found.append((a, rank, z, value, not EXAMPLE.search(value)))
     return sorted(found)
 
@@ -115,21 +124,26 @@ def scan(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """value, repos, owners, uses: how widely each candidate value is spread over the corpus."""
+    """value, repos, owners, uses: how widely each candidate value is spread over the corpus.
+
+    Both numbers of distinct names are counted in two steps, so no task holds the names of one value.
+    """
     each = candidates.groupBy("value", "repo", "owner").agg(F.count(F.lit(1)).alias("uses"))
-    repos = each.groupBy("value", "repo").agg(F.sum("uses").alias("uses"), F.collect_set(F.coalesce("owner", F.lit("\0"))).alias("owners"))
-    return repos.groupBy("value").agg(F.count(F.lit(1)).alias("repos"), F.size(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("owners"), F.sum("uses").alias("uses"))
+    repos = each.groupBy("value", "repo").agg(F.sum("uses").alias("uses")).groupBy("value").agg(F.count(F.lit(1)).alias("repos"), F.sum("uses").alias("uses"))
+    owners = each.select("value", "owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
+    return repos.join(owners, "value").select("value", "repos", "owners", "uses")
 
 
-def find_secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared.
 
-    n_live and n_shared count further candidates that were reported, and those that too many owners carry.
+    n_live and n_shared count further candidates that were reported, and those that were not: more than max_owners owners or
+    max_repos repositories carry the value, or it looks like an example.
     """
     rows = materialize(scan(docs, F.lit("") if repo is None else repo, F.lit("") if owner is None else owner))
     found = rows.where(F.size("more") > 0).select("row", "repo", "owner", F.explode("more").alias("c")).select("row", "repo", "owner", "c.*").withColumn("salt", F.pmod("row", F.lit(SALTS)))
     spread = found.select("value", "salt").distinct().join(ownership(found), "value").select("value", "salt", "repos", "owners")
-    judged = found.join(spread, ["value", "salt"]).withColumn("reported", F.col("live") & (F.col("owners") <= max_owners))
+    judged = found.join(spread, ["value", "salt"]).withColumn("reported", F.col("live") & (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     added = judged.groupBy("row").agg(F.collect_list(F.when(F.col("reported"), F.struct("start", "rank", "stop"))).alias("added"), F.count_if(~F.col("reported")).alias("n_shared"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
 
@@ -157,14 +171,18 @@ def redact(docs: DataFrame, repo: Column | None = None, owner: Column | None = N
 
     Rows that share an identifier are told apart by their text; rows without identifier are met by their text alone.
     """
-    keyed = docs.withColumn("__row_text", F.xxhash64("text"))
-    spans = find_secrets(keyed.select(F.struct("doc_id", "__row_text").alias("__row_key"), *docs.columns).drop("doc_id").withColumn("doc_id", F.xxhash64("__row_key")), repo, owner)
-    hits = spans.where("spans <> ''").groupBy("doc_id").agg(F.first("spans").alias("__row_spans")).withColumnRenamed("doc_id", "__row_id")
+    key, hit = free_names(docs.columns, "row_id", "row_spans")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*columns, F.xxhash64(F.struct("doc_id", F.xxhash64("text"))).alias(key))
+    repo, owner = (F.lit("") if c is None else c for c in (repo, owner))
+    scanned = keyed.select(F.col(key).alias("doc_id"), "text", repo.alias("repo"), owner.alias("owner"))
+    spans = find_secrets(scanned, F.col("repo"), F.col("owner"))
+    hits = spans.where("spans <> ''").groupBy(F.col("doc_id").alias(key)).agg(F.first("spans").alias(hit))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, chars = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
-            marks = batch.column(batch.schema.get_field_index("__row_spans"))
+            marks = batch.column(batch.schema.get_field_index(hit))
             text_, n = batch.column(at), None
             if marks.null_count < len(marks):
                 new = text_.to_pylist()
@@ -183,5 +201,4 @@ def redact(docs: DataFrame, repo: Column | None = None, owner: Column | None = N
             columns = [text_ if k == at else pa.array(n, c.type) if k == chars and n else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns[:-1], batch.schema.names[:-1])
 
-    met = keyed.join(hits, F.xxhash64(F.struct("doc_id", "__row_text")) == F.col("__row_id"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__row_spans")
-    return met.mapInArrow(cut, docs.schema)
+    return keyed.join(hits, key, "left").select(*columns, hit).mapInArrow(cut, docs.schema)
