@@ -7,7 +7,7 @@ neutral one included, and the squared change of the score is part of the loss: g
 A copy loses all features that only the term gave it, beginnings and ends included, and gets all of the other term's; none of
 these features has a prior.
 
-Defined results: null and empty texts score as the share of label 1; rows without identifier count as held out only if
+Defined results: texts without a letter or digit (null and empty ones too) score as the share of label 1; rows without identifier count as held out only if
 their crc32 says so; repeated rows score alike; without usable labels all scores are 0; an empty table gives an empty table;
 other columns are ignored.
 """
@@ -99,10 +99,13 @@ class Model:
     keys: np.ndarray  # sorted hashes of the features
     weights: np.ndarray
     bias: float
+    share: float = 0.5  # of label 1 in the sample
 
     def scores(self, b: np.ndarray, off: np.ndarray) -> np.ndarray:
         doc, which = self.present(b, off)
-        return sigmoid(self.bias + np.bincount(doc, self.weights[which], len(off) - 1) if len(doc) else np.full(len(off) - 1, self.bias))
+        out = sigmoid(self.bias + np.bincount(doc, self.weights[which], len(off) - 1) if len(doc) else np.full(len(off) - 1, self.bias))
+        letters = np.concatenate([[0], np.cumsum(_PART[b])])
+        return np.where(letters[off[1:]] > letters[off[:-1]], out, self.share)
 
     def present(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs of document and feature."""
@@ -165,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_fi
     totals = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     one, zero = totals.get(1, 0), totals.get(0, 0)
     if not one or not zero:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if one else -40.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if one else -40.0, 1.0 if one else 0.0)
     counts = materialize(train.mapInArrow(_count, "key long, one long, zero long").groupBy("key").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).where(F.col("one") + F.col("zero") >= MIN_COUNT))
     # likelihood ratio of a feature against the label
     rate = (F.col("one") + F.col("zero")) / (one + zero)
@@ -183,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_fi
     keys, with_one, with_zero = keys[order], found["one"].to_numpy()[order], found["zero"].to_numpy()[order]
     prior = SHRINK * (np.log((with_one + SMOOTH) / (one + 2 * SMOOTH)) - np.log((with_zero + SMOOTH) / (zero + 2 * SMOOTH)))
     prior[np.isin(keys, term_keys)] = 0
-    model = Model(keys, prior, float(np.log(one / zero)))
+    model = Model(keys, prior, float(np.log(one / zero)), one / (one + zero))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_fi
         return np.append(g, error.sum()) / len(y)
 
     x = adam(slope, np.append(prior, model.bias), 300, 0.05)
-    return Model(keys, x[:-1], float(x[-1]))
+    return Model(keys, x[:-1], float(x[-1]), one / (one + zero))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
