@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, materialize
 from .textkernel import mix, texts
 from .toxicity import fold_case
 
@@ -83,14 +83,15 @@ class Filters:
         return np.maximum(found - n[:, None] * self.false_rate, 0) / (1 - self.false_rate)
 
 
-def fit(docs: DataFrame, held_out: Column, max_fit: int = MAX_FIT) -> Filters:
+def fit(docs: DataFrame, held_out: Column, max_fit: int = MAX_FIT, max_grams: int = MAX_GRAMS) -> Filters:
+    """Filters of at most max_grams n-grams for each language, from about max_fit texts of each."""
     own = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
     totals = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not totals:
         return Filters([], np.zeros((1, 1 << SLOT_BITS), np.uint8), np.zeros(0))
     languages = sorted(totals, key=lambda x: (-totals[x], x))
     share = F.create_map(*[y for x in languages for y in (F.lit(x), F.lit(min(1.0, max_fit / totals[x])))])
-    picked = own.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    picked = own.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     index = {x: k for k, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,24 +103,27 @@ def fit(docs: DataFrame, held_out: Column, max_fit: int = MAX_FIT) -> Filters:
                     keys, n = np.unique(h[lang[i + doc] == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
 
-    counted = picked.select("text", "lang").mapInArrow(count, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).where("n > 1")
+    # counted once for all languages; the sample bounds this table
+    counted = materialize(picked.select("text", "lang").mapInArrow(count, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).where("n > 1"))
     sizes = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counted.join(F.broadcast(sizes), "lang").groupBy("key").agg(F.collect_list(F.struct((F.col("n") / F.col("total")).alias("rate"), "lang")).alias("own"))  # one per language
-    usual = F.filter("own", lambda x: x["rate"] >= USUAL * F.array_max("own")["rate"])
-    each = rated.select("key", F.explode(usual).alias("x")).select("key", F.col("x.lang").alias("lang"), F.col("x.rate").alias("rate"))
+    rated = counted.join(F.broadcast(sizes), "lang").withColumn("rate", F.col("n") / F.col("total"))  # one size per language
+    highest = rated.groupBy("key").agg(F.max("rate").alias("highest"))
+    usual = rated.join(highest, "key").where(F.col("rate") >= USUAL * F.col("highest"))
+    best = Window.partitionBy("lang").orderBy(F.desc("rate"), "key")
+    kept = usual.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max_grams).select("lang", "key").toArrow()
     slots = np.zeros((-(-len(languages) // 8), 1 << SLOT_BITS), np.uint8)
+    every, keys = kept["lang"].to_numpy(), kept["key"].to_numpy().view(np.uint64)
     for k in range(len(languages)):
-        keys = each.where(F.col("lang") == k).orderBy(F.desc("rate"), "key").limit(MAX_GRAMS).select("key").toArrow()["key"].to_numpy().view(np.uint64)
         for q in range(HASHES):
-            slots[k // 8, (keys << np.uint64(q * SLOT_BITS) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] |= np.uint8(1 << k % 8)
+            slots[k // 8, (keys[every == k] << np.uint64(q * SLOT_BITS) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] |= np.uint8(1 << k % 8)
     fill = np.array([(slots[k // 8] >> (k % 8) & 1).mean() for k in range(len(languages))])
     return Filters(languages, slots, fill**HASHES)
 
 
-def identify(docs: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
+def identify(docs: DataFrame, modulus: int = 3, held: int = 1, max_grams: int = MAX_GRAMS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score (the winner's share of all counts)."""
     held_out = fold(F.col("doc_id"), modulus) == held
-    filters = docs.sparkSession.sparkContext.broadcast(fit(docs, held_out))
+    filters = docs.sparkSession.sparkContext.broadcast(fit(docs, held_out, max_grams=max_grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = filters.value
