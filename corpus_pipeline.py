@@ -1,4 +1,11 @@
-"""Corpus pipeline: toxic documents go, exact and near copies go, secrets are masked, the rest is packed into sequences."""
+"""Corpus pipeline: toxic documents go, exact and near copies go, secrets are masked, the rest is packed into sequences.
+
+Defined results: null and empty texts score as the share of label 1 and so stay, unless most labels are 1; they are one text for
+exact deduplication and the row of the largest identifier stays; it has no shingles and no secrets and is packed as its closing
+token alone. Rows without identifier sort below all others. Very long texts are handled whole. Of repeated rows and of ties
+one row stays. Empty tables give empty tables. Columns of documents beyond text and doc_id are carried to packing, whatever their
+names; secrets need source and lang.
+"""
 
 from __future__ import annotations
 
