@@ -1,22 +1,27 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
-A suffix is a position with at least `window` words behind it. Three steps:
+A suffix is a position with at least `window` words behind it. Its path is the sequence of hashes of its prefixes of 8, 16, 32 and
+`window` words, so the order of paths is a suffix order in which common prefixes lie side by side. Four steps:
 
 1. Every window has an anchor, the smallest hash of its 8-word runs; equal windows have equal anchors. Anchors that occur
    in one document only rule out their windows at once. The same pass counts suffixes by the slots of their prefixes of
-   8, 16, 32 and `window` words.
-2. The other suffixes are split into groups by a prefix: of 8 words, or, where that slot is too full, the next longer
-   length. Each block of documents sends one leaf per distinct suffix (smallest and largest document), so a passage that a
-   third of all documents share puts one leaf per block into its group.
-3. In each group a suffix tree is cut at depth `window`: sorted suffixes whose common prefix is that long form a deep
-   internal node, a repeat; its smallest document keeps the words. Blocks get back the nodes with later documents and
-   mark the covered words; runs of marked suffixes are the maximal repeats.
-
-Only documents with marked words are shuffled with their texts. Prefixes are compared by 64-bit hashes.
+   each length.
+2. The other suffixes are split into groups by a prefix of variable length: of 8 words, or, where the counts say that the
+   slot is too full for a group, of the next longer length. Each block of documents sends one leaf per distinct suffix
+   (smallest and largest document); leaves of up to FAN blocks are merged first, so a passage that a third of all documents
+   share puts one leaf per FAN blocks into its group.
+3. In each group the leaves are sorted into suffix order, and the lengths of the common prefixes of neighbours give the inner
+   nodes of the group's suffix tree, which is cut at depth `window`. A node of that depth is a repeat; its smallest document
+   keeps the words.
+4. The leaves below such nodes that have later documents go back to their blocks, which mark the covered words; runs of
+   marked suffixes are the maximal repeats.
+
+Only documents with marked words are shuffled with their texts. Prefixes are compared by hashes: 64 bits for whole windows, 32
+bits for the shorter ones, which only order the leaves.
 
 Defined results: null text has no words; rows that share an identifier are not smaller than each other, so neither loses
 words to the other; a null identifier counts as larger than all others; repetition inside one document removes nothing;
-an empty table gives an empty table; other columns are ignored.
+texts of fewer than `window` words stay whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import materialize
+from .common import discard, materialize
 from .textkernel import mix, sequences, texts, trim, word_hashes, words
 
 WINDOW, ANCHOR, SLOTS = 50, 8, 1024
-#: Suffixes that a group should hold at most, and suffixes in a block.
-GROUP, BLOCK = 200_000, 50_000
+#: Suffixes that a group should hold at most, suffixes in a block, and blocks whose leaves are merged before the tree.
+GROUP, BLOCK, FAN = 200_000, 50_000, 256
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -129,7 +134,7 @@ def _blocks(docs: DataFrame, width: int, anchors, heavy, sub_bits: int) -> DataF
 
         def flush() -> pa.RecordBatch:
             parts = [np.concatenate(x).tobytes() for x in zip(*held, strict=True)]
-            return _batch(block=[block], docs=[np.array(doc_ids, np.int64).tobytes()], keys=[np.array(keys, np.int64).tobytes()], **{k: [v] for k, v in zip(("idx", "pos", "suffix", "grp"), parts, strict=True)})
+            return _batch(block=[block], docs=[np.array(doc_ids, np.int64).tobytes()], keys=[np.array(keys, np.int64).tobytes()], **{k: [v] for k, v in zip(("idx", "pos", "path", "suffix", "grp"), parts, strict=True)})
 
         for batch in batches:
             own = ids_of(batch.column(0))
@@ -151,7 +156,8 @@ def _blocks(docs: DataFrame, width: int, anchors, heavy, sub_bits: int) -> DataF
                     fine = (p << np.uint64(10) >> np.uint64(64 - sub_bits)).astype(np.int64) if sub_bits else 0
                     group = np.where(fits, ((level * SLOTS + s) << sub_bits) + fine, group)
                 docs_here, idx = np.unique(doc, return_inverse=True)
-                held.append((idx.astype(np.int32) + np.int32(len(doc_ids)), pos.astype(np.int32), prefixes[-1], group))
+                path = np.stack([(p >> np.uint64(32)).astype(np.uint32) for p in prefixes[:-1]] or [np.zeros(len(doc), np.uint32)], axis=1)
+                held.append((idx.astype(np.int32) + np.int32(len(doc_ids)), pos.astype(np.int32), path, prefixes[-1], group))
                 for k in docs_here.tolist():
                     doc_ids.append(int(own[i + k]))
                     keys.append(row_key(own[i + k], b[off[k] : off[k + 1]].tobytes()))
@@ -162,40 +168,112 @@ def _blocks(docs: DataFrame, width: int, anchors, heavy, sub_bits: int) -> DataF
         if held:
             yield flush()
 
-    return materialize(docs.mapInArrow(run, "block long, docs binary, keys binary, idx binary, pos binary, suffix binary, grp binary"))
+    return materialize(docs.mapInArrow(run, "block long, docs binary, keys binary, idx binary, pos binary, path binary, suffix binary, grp binary"))
+
+
+class SuffixTree:
+    """Leaves in suffix order and the common prefixes of neighbours, cut at the longest of the lengths.
+
+    path: for each leaf the hashes of its shorter prefixes; suffix: of its longest.
+    """
+
+    def __init__(self, path: np.ndarray, suffix: np.ndarray, lengths: list[int]):
+        self.order = np.lexsort((suffix, *path.T[::-1]))
+        self.path, self.suffix, self.depth = path[self.order], suffix[self.order], lengths[-1]
+        #: Common prefix, in words, of each leaf with the one before it.
+        self.common = np.zeros(len(suffix), np.int64)
+        alike = np.ones(max(0, len(suffix) - 1), dtype=bool)
+        for length, column in zip(lengths, [*self.path.T, self.suffix] if len(lengths) > 1 else [self.suffix], strict=True):
+            alike &= column[1:] == column[:-1]
+            self.common[1:][alike] = length
+
+    def nodes(self, depth: int | None = None) -> np.ndarray:
+        """First leaves of the nodes of at least this depth: runs of neighbours that share as long a prefix."""
+        return np.flatnonzero(self.common < (depth or self.depth))
+
+
+def _merged(path: np.ndarray, suffix: np.ndarray, lo: np.ndarray, hi: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, ...]:
+    """One leaf for each suffix, in suffix order."""
+    tree = SuffixTree(path, suffix, sizes)
+    at = tree.nodes()
+    return tree.path[at], tree.suffix[at], np.minimum.reduceat(lo[tree.order], at), np.maximum.reduceat(hi[tree.order], at)
+
+
+LEAF = (("path", np.uint32), ("suffix", np.uint64), ("lo", np.int64), ("hi", np.int64))
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(table: pa.Table, sizes: list[int]) -> list[np.ndarray]:
+    path, *rest = (np.frombuffer(b"".join(table[k].to_pylist()), t) for k, t in LEAF)
+    return [path.reshape(-1, max(1, len(sizes) - 1)), *rest]
+
+
+def _leaves(sizes: list[int], salts: int, with_path: bool):
     """From each block, one leaf per distinct suffix, packed by group."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            suffix, group = np.frombuffer(row["suffix"], np.uint64), np.frombuffer(row["grp"], np.int64)
-            doc = np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["idx"], np.int32)]
-            order = np.lexsort((suffix, group))
-            suffix, group, doc = suffix[order], group[order], doc[order]
-            at = np.flatnonzero(np.concatenate([[True], (suffix[1:] != suffix[:-1]) | (group[1:] != group[:-1])]))
-            suffix, group, lo, hi = suffix[at], group[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-            cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), [len(group)]])
-            pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
-            yield _batch(grp=group[cuts[:-1]], block=np.full(len(pieces), row["block"]), **{k: pa.array([v[a:z].tobytes() for a, z in pieces], pa.binary()) for k, v in (("suffix", suffix), ("lo", lo), ("hi", hi))})
-
-
-def _tree(table: pa.Table) -> pa.Table:
-    """The deep nodes of one group's suffix tree that have leaves in later documents, for each block."""
-    rows = table.to_pydict()
-    suffix, lo, hi = (np.frombuffer(b"".join(rows[k]), t) for k, t in (("suffix", np.uint64), ("lo", np.int64), ("hi", np.int64)))
-    block = np.repeat(np.array(rows["block"]), [len(x) // 8 for x in rows["suffix"]])
-    order = np.argsort(suffix, kind="stable")
-    suffix, lo, hi, block = suffix[order], lo[order], hi[order], block[order]
-    at = np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]]))  # neighbours with a shorter common prefix
-    least = np.repeat(np.minimum.reduceat(lo, at), np.diff(np.concatenate([at, [len(suffix)]])))
-    late = hi > least
-    suffix, least, block = suffix[late], least[late], block[late]
-    order = np.argsort(block, kind="stable")
-    suffix, least, block = suffix[order], least[order], block[order]
-    cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else [], [len(block)]]).astype(int)
-    pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return pa.table({"block": pa.array(block[cuts[:-1]], pa.int64()), "suffix": pa.array([suffix[a:z].tobytes() for a, z in pieces], pa.binary()), "least": pa.array([least[a:z].tobytes() for a, z in pieces], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                suffix, group = np.frombuffer(row["suffix"], np.uint64), np.frombuffer(row["grp"], np.int64)
+                path = np.frombuffer(row["path"], np.uint32).reshape(len(suffix), -1)
+                doc = np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["idx"], np.int32)]
+                order = np.lexsort((suffix, group))
+                suffix, group, doc = suffix[order], group[order], doc[order]
+                at = np.flatnonzero(np.concatenate([[True], (suffix[1:] != suffix[:-1]) | (group[1:] != group[:-1])]))
+                path, suffix, group, lo, hi = path[order[at]], suffix[at], group[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+                cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), [len(group)]])
+                pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
+                columns = {"path": path, "suffix": suffix, "lo": lo, "hi": hi} if with_path else {"suffix": suffix, "hi": hi}
+                block = np.full(len(pieces), row["block"])
+                salt = mix(block.astype(np.uint64)) % np.uint64(salts)
+                yield _batch(grp=group[cuts[:-1]], salt=salt.astype(np.int32), block=block, **{k: pa.array([v[a:z].tobytes() for a, z in pieces], pa.binary()) for k, v in columns.items()})
+
+    return run
+
+
+def _first(sizes: list[int]):
+    def run(table: pa.Table) -> pa.Table:
+        """The merged leaves of some blocks of one group."""
+        parts = _merged(*_packed(table, sizes), sizes)
+        return pa.table({"grp": table["grp"][:1], "salt": table["salt"][:1], **{k: pa.array([v.tobytes()], pa.binary()) for (k, _), v in zip(LEAF, parts, strict=True)}})
+
+    return run
+
+
+def _tree(sizes: list[int]):
+    def run(table: pa.Table) -> pa.Table:
+        """The leaves below deep nodes of one group's suffix tree, with the node's smallest document, if later ones are there."""
+        path, suffix, lo, hi = _packed(table, sizes)
+        salt = np.repeat(table["salt"].to_numpy(), [len(x) // 8 for x in table["suffix"].to_pylist()])
+        tree = SuffixTree(path, suffix, sizes)
+        at = tree.nodes()
+        least = np.repeat(np.minimum.reduceat(lo[tree.order], at), np.diff(np.concatenate([at, [len(suffix)]])))
+        late = hi[tree.order] > least
+        suffix, least, salt = tree.suffix[late], least[late], salt[tree.order][late]
+        order = np.argsort(salt, kind="stable")  # keeps the suffixes of a salt in their order
+        suffix, least, salt = suffix[order], least[order], salt[order]
+        cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], salt[1:] != salt[:-1]])) if len(salt) else [], [len(salt)]]).astype(int)
+        pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
+        trim()
+        return pa.table({"grp": pa.array([table["grp"][0].as_py()] * len(pieces), pa.int64()), "salt": pa.array(salt[cuts[:-1]], pa.int32()), **{k: pa.array([v[a:z].tobytes() for a, z in pieces], pa.binary()) for k, v in (("suffix", suffix), ("least", least))}})
+
+    return run
+
+
+def _answer(own: pa.Table, found: pa.Table) -> pa.Table:
+    """For each block of one group and salt, its suffixes below deep nodes that have documents later than the node's first."""
+    out = []
+    if found.num_rows:
+        suffix, least = (np.frombuffer(b"".join(found[k].to_pylist()), t) for k, t in (("suffix", np.uint64), ("least", np.int64)))
+        order = np.argsort(suffix)
+        suffix, least = suffix[order], least[order]
+        for block, mine, hi in zip(own["block"].to_pylist(), own["suffix"].to_pylist(), own["hi"].to_pylist(), strict=True):
+            mine, hi = np.frombuffer(mine, np.uint64), np.frombuffer(hi, np.int64)
+            at = np.minimum(np.searchsorted(suffix, mine), len(suffix) - 1)
+            late = (suffix[at] == mine) & (hi > least[at])
+            if late.any():
+                out.append((block, mine[late].tobytes(), least[at[late]].tobytes()))
+    columns = list(zip(*out, strict=True)) or [[]] * 3
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "suffix", "least"])
 
 
 def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -210,8 +288,13 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     heavy = counts > max(4 * counts[0].sum() // SLOTS, GROUP << sub_bits)
     anchors = spark.sparkContext.broadcast(bloom.build(survey.where("kind = 0").select("key")))
     blocks = _blocks(docs, width, anchors, spark.sparkContext.broadcast(heavy), sub_bits)
-    leaves = blocks.mapInArrow(_leaves, "grp long, block long, suffix binary, lo binary, hi binary")
-    nodes = leaves.groupBy("grp").applyInArrow(_tree, "block long, suffix binary, least binary")
+    sizes = lengths(width)
+    salts = max(1, -(-blocks.count() // FAN))
+    leaves = blocks.mapInArrow(_leaves(sizes, salts, True), "grp long, salt int, block long, path binary, suffix binary, lo binary, hi binary")
+    merged = leaves.groupBy("grp", "salt").applyInArrow(_first(sizes), "grp long, salt int, path binary, suffix binary, lo binary, hi binary")
+    nodes = materialize(merged.groupBy("grp").applyInArrow(_tree(sizes), "grp long, salt int, suffix binary, least binary"))
+    short = blocks.mapInArrow(_leaves(sizes, salts, False), "grp long, salt int, block long, suffix binary, hi binary")
+    answers = materialize(short.groupBy("grp", "salt").cogroup(nodes.groupBy("grp", "salt")).applyInArrow(_answer, "block long, suffix binary, least binary"))
 
     def mark(own: pa.Table, found: pa.Table) -> pa.Table:
         keys, spans = [], []
@@ -239,8 +322,10 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         trim()
         return pa.table({"key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    marked = blocks.groupBy("block").cogroup(nodes.groupBy("block")).applyInArrow(mark, "key long, spans binary")
-    return materialize(marked)
+    own = blocks.select("block", "docs", "keys", "idx", "pos", "suffix")
+    marked = materialize(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(mark, "key long, spans binary"))
+    discard(survey, blocks, nodes, answers)
+    return marked
 
 
 def _kept(text: bytes, spans: bytes | None) -> tuple[int, int, list[bytes]]:

@@ -152,6 +152,7 @@ def repeats_brute(rows, width):
 def test_substring_dedup(spark, monkeypatch, group):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
     monkeypatch.setattr(substring_dedup, "BLOCK", 300)
+    monkeypatch.setattr(substring_dedup, "FAN", 2)
     letters = "a b c d e f g h i j k l "
     rows = ODD + families(8, [60, 120, 400, 900]) + [(30, letters * 9), (20, "z " * 120 + letters * 5), (None, letters * 6), (20, letters * 5), (11, "z " * 60)]
     got = substring_dedup.remove_repeats(frame(spark, rows))
@@ -159,6 +160,26 @@ def test_substring_dedup(spark, monkeypatch, group):
     assert substring_dedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_suffix_tree_has_suffix_order_and_common_prefixes():
+    from bazaarflow.llm.textkernel import buffers
+
+    rng, sizes = random.Random(4), substring_dedup.lengths(50)
+    base = [f"w{rng.randrange(30)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(base[:200] + ["x"] + base[201:]), " ".join(base[40:300])]
+    b, off = buffers(pa.array(texts))
+    h, first, _, before = substring_dedup.windows(b, off, 50)
+    prefixes = substring_dedup.prefix_hashes(h, first, before, 50)
+    path = np.stack([(p >> np.uint64(32)).astype(np.uint32) for p in prefixes[:-1]], axis=1)
+    tree = substring_dedup.SuffixTree(path, prefixes[-1], sizes)
+    suffixes = [w[k : k + 50] for w in map(str.split, texts) for k in range(len(w) - 49)]
+    for k in range(1, len(suffixes)):
+        a, z = suffixes[tree.order[k - 1]], suffixes[tree.order[k]]
+        same = next((n for n in range(50) if a[n] != z[n]), 50)
+        assert tree.common[k] == max([0] + [n for n in sizes if n <= same])
+    for depth in sizes:  # a node for each distinct prefix
+        assert len(tree.nodes(depth)) == len({tuple(x[:depth]) for x in suffixes})
+
+
 def spark_hash(xs):
     import xxhash
 
