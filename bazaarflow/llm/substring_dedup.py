@@ -8,8 +8,8 @@ A suffix is a position with at least `window` words behind it. Its path is the s
    each length.
 2. The other suffixes are split into groups by a prefix of variable length: of 8 words, or, where the counts say that the
    slot is too full for a group, of the next longer length. Each block of documents sends one leaf per distinct suffix
-   (smallest and largest document); leaves of up to FAN blocks are merged first, so a passage that a third of all documents
-   share puts one leaf per FAN blocks into its group.
+   (smallest and largest document). Where even the longest prefix's slot is too full, a passage is in very many documents; there
+   the leaves of up to FAN blocks are merged first, so that it puts one leaf per FAN blocks into its group.
 3. In each group the leaves are sorted into suffix order, and the lengths of the common prefixes of neighbours give the inner
    nodes of the group's suffix tree, which is cut at depth `window`. A node of that depth is a repeat; its smallest document
    keeps the words.
@@ -17,7 +17,7 @@ A suffix is a position with at least `window` words behind it. Its path is the s
    marked suffixes are the maximal repeats.
 
 Only documents with marked words are shuffled with their texts. Prefixes are compared by hashes: 64 bits for whole windows, 32
-bits for the shorter ones, which only order the leaves.
+bits (beside those of the group) for the shorter ones, which only order the leaves.
 
 Defined results: null text has no words; rows that share an identifier are not smaller than each other, so neither loses
 words to the other; a null identifier counts as larger than all others; repetition inside one document removes nothing;
@@ -84,6 +84,11 @@ def slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(54)).astype(np.int64)
 
 
+def short_hash(h: np.ndarray) -> np.ndarray:
+    """What a path keeps of a shorter prefix: bits that its slot does not have."""
+    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def ids_of(col: pa.Array) -> np.ndarray:
     return col.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
@@ -156,7 +161,7 @@ def _blocks(docs: DataFrame, width: int, anchors, heavy, sub_bits: int) -> DataF
                     fine = (p << np.uint64(10) >> np.uint64(64 - sub_bits)).astype(np.int64) if sub_bits else 0
                     group = np.where(fits, ((level * SLOTS + s) << sub_bits) + fine, group)
                 docs_here, idx = np.unique(doc, return_inverse=True)
-                path = np.stack([(p >> np.uint64(32)).astype(np.uint32) for p in prefixes[:-1]] or [np.zeros(len(doc), np.uint32)], axis=1)
+                path = np.stack([short_hash(p) for p in prefixes[:-1]] or [np.zeros(len(doc), np.uint32)], axis=1)
                 held.append((idx.astype(np.int32) + np.int32(len(doc_ids)), pos.astype(np.int32), path, prefixes[-1], group))
                 for k in docs_here.tolist():
                     doc_ids.append(int(own[i + k]))
@@ -207,25 +212,34 @@ def _packed(table: pa.Table, sizes: list[int]) -> list[np.ndarray]:
     return [path.reshape(-1, max(1, len(sizes) - 1)), *rest]
 
 
-def _leaves(sizes: list[int], salts: int, with_path: bool):
-    """From each block, one leaf per distinct suffix, packed by group."""
+def _leaves(sizes: list[int], full, salts: int, crowded: bool, with_path: bool = True):
+    """From each block, one leaf per distinct suffix, packed by group; of crowded groups or of the others.
+
+    full: slots of the longest prefix that are too full for a group. Other groups' salt is the block itself.
+    """
+    last = len(sizes) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd, sub_bits = full.value
         for batch in batches:
             for row in batch.to_pylist():
                 suffix, group = np.frombuffer(row["suffix"], np.uint64), np.frombuffer(row["grp"], np.int64)
-                path = np.frombuffer(row["path"], np.uint32).reshape(len(suffix), -1)
-                doc = np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["idx"], np.int32)]
+                wanted = (((group >> sub_bits) // SLOTS == last) & crowd[(group >> sub_bits) % SLOTS]) == crowded
+                if not wanted.any():
+                    continue
+                path = np.frombuffer(row["path"], np.uint32).reshape(len(suffix), -1)[wanted]
+                doc = np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["idx"], np.int32)[wanted]]
+                suffix, group = suffix[wanted], group[wanted]
                 order = np.lexsort((suffix, group))
                 suffix, group, doc = suffix[order], group[order], doc[order]
                 at = np.flatnonzero(np.concatenate([[True], (suffix[1:] != suffix[:-1]) | (group[1:] != group[:-1])]))
                 path, suffix, group, lo, hi = path[order[at]], suffix[at], group[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
                 cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), [len(group)]])
                 pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
-                columns = {"path": path, "suffix": suffix, "lo": lo, "hi": hi} if with_path else {"suffix": suffix, "hi": hi}
                 block = np.full(len(pieces), row["block"])
-                salt = mix(block.astype(np.uint64)) % np.uint64(salts)
-                yield _batch(grp=group[cuts[:-1]], salt=salt.astype(np.int32), block=block, **{k: pa.array([v[a:z].tobytes() for a, z in pieces], pa.binary()) for k, v in columns.items()})
+                salt = (mix(block.astype(np.uint64)) % np.uint64(salts)).astype(np.int64) if crowded else block
+                columns = {"path": path, "suffix": suffix, "lo": lo, "hi": hi} if with_path else {"suffix": suffix, "hi": hi}
+                yield _batch(grp=group[cuts[:-1]], salt=salt, **({} if with_path else {"block": block}), **{k: pa.array([v[a:z].tobytes() for a, z in pieces], pa.binary()) for k, v in columns.items()})
 
     return run
 
@@ -254,7 +268,7 @@ def _tree(sizes: list[int]):
         cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], salt[1:] != salt[:-1]])) if len(salt) else [], [len(salt)]]).astype(int)
         pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
         trim()
-        return pa.table({"grp": pa.array([table["grp"][0].as_py()] * len(pieces), pa.int64()), "salt": pa.array(salt[cuts[:-1]], pa.int32()), **{k: pa.array([v[a:z].tobytes() for a, z in pieces], pa.binary()) for k, v in (("suffix", suffix), ("least", least))}})
+        return pa.table({"grp": pa.array([table["grp"][0].as_py()] * len(pieces), pa.int64()), "salt": pa.array(salt[cuts[:-1]], pa.int64()), **{k: pa.array([v[a:z].tobytes() for a, z in pieces], pa.binary()) for k, v in (("suffix", suffix), ("least", least))}})
 
     return run
 
@@ -290,11 +304,17 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     blocks = _blocks(docs, width, anchors, spark.sparkContext.broadcast(heavy), sub_bits)
     sizes = lengths(width)
     salts = max(1, -(-blocks.count() // FAN))
-    leaves = blocks.mapInArrow(_leaves(sizes, salts, True), "grp long, salt int, block long, path binary, suffix binary, lo binary, hi binary")
-    merged = leaves.groupBy("grp", "salt").applyInArrow(_first(sizes), "grp long, salt int, path binary, suffix binary, lo binary, hi binary")
-    nodes = materialize(merged.groupBy("grp").applyInArrow(_tree(sizes), "grp long, salt int, suffix binary, least binary"))
-    short = blocks.mapInArrow(_leaves(sizes, salts, False), "grp long, salt int, block long, suffix binary, hi binary")
-    answers = materialize(short.groupBy("grp", "salt").cogroup(nodes.groupBy("grp", "salt")).applyInArrow(_answer, "block long, suffix binary, least binary"))
+    full = spark.sparkContext.broadcast((heavy[-1], sub_bits))
+    packed = "grp long, salt long, path binary, suffix binary, lo binary, hi binary"
+    most = blocks.mapInArrow(_leaves(sizes, full, salts, crowded=False), packed)
+    rest = blocks.mapInArrow(_leaves(sizes, full, salts, crowded=True), packed)
+    merged = rest.groupBy("grp", "salt").applyInArrow(_first(sizes), packed)
+    found = "grp long, salt long, suffix binary, least binary"
+    nodes = materialize(most.groupBy("grp").applyInArrow(_tree(sizes), found))
+    crowded = materialize(merged.groupBy("grp").applyInArrow(_tree(sizes), found))
+    short = blocks.mapInArrow(_leaves(sizes, full, salts, crowded=True, with_path=False), "grp long, salt long, block long, suffix binary, hi binary")
+    answers = short.groupBy("grp", "salt").cogroup(crowded.groupBy("grp", "salt")).applyInArrow(_answer, "block long, suffix binary, least binary")
+    answers = materialize(nodes.select(F.col("salt").alias("block"), "suffix", "least").union(answers))
 
     def mark(own: pa.Table, found: pa.Table) -> pa.Table:
         keys, spans = [], []
@@ -324,7 +344,7 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     own = blocks.select("block", "docs", "keys", "idx", "pos", "suffix")
     marked = materialize(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(mark, "key long, spans binary"))
-    discard(survey, blocks, nodes, answers)
+    discard(survey, blocks, nodes, crowded, answers)
     return marked
 
 

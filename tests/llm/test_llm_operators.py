@@ -169,7 +169,7 @@ def test_suffix_tree_has_suffix_order_and_common_prefixes():
     b, off = buffers(pa.array(texts))
     h, first, _, before = substring_dedup.windows(b, off, 50)
     prefixes = substring_dedup.prefix_hashes(h, first, before, 50)
-    path = np.stack([(p >> np.uint64(32)).astype(np.uint32) for p in prefixes[:-1]], axis=1)
+    path = np.stack([substring_dedup.short_hash(p) for p in prefixes[:-1]], axis=1)
     tree = substring_dedup.SuffixTree(path, prefixes[-1], sizes)
     suffixes = [w[k : k + 50] for w in map(str.split, texts) for k in range(len(w) - 49)]
     for k in range(1, len(suffixes)):
