@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: Used only where a session of one machine names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/bazaarflow"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: shuffle files are dropped behind it, and a batch that goes to Python is small however long the texts are.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,12 +29,14 @@ def materialize(df: DataFrame) -> DataFrame:
     The shuffle files behind it are dropped with the write, as nothing reads them again.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

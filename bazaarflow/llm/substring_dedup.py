@@ -222,7 +222,7 @@ def _leaves(sizes: list[int], full, salts: int, crowded: bool, with_path: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowd, sub_bits = full.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 suffix, group = np.frombuffer(row["suffix"], np.uint64), np.frombuffer(row["grp"], np.int64)
                 wanted = (((group >> sub_bits) // SLOTS == last) & crowd[(group >> sub_bits) % SLOTS]) == crowded
                 if not wanted.any():
@@ -240,6 +240,7 @@ def _leaves(sizes: list[int], full, salts: int, crowded: bool, with_path: bool =
                 salt = (mix(block.astype(np.uint64)) % np.uint64(salts)).astype(np.int64) if crowded else block
                 columns = {"path": path, "suffix": suffix, "lo": lo, "hi": hi} if with_path else {"suffix": suffix, "hi": hi}
                 yield _batch(grp=group[cuts[:-1]], salt=salt, **({} if with_path else {"block": block}), **{k: pa.array([v[a:z].tobytes() for a, z in pieces], pa.binary()) for k, v in columns.items()})
+        trim()
 
     return run
 
@@ -306,15 +307,16 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     salts = max(1, -(-blocks.count() // FAN))
     full = spark.sparkContext.broadcast((heavy[-1], sub_bits))
     packed = "grp long, salt long, path binary, suffix binary, lo binary, hi binary"
-    most = blocks.mapInArrow(_leaves(sizes, full, salts, crowded=False), packed)
-    rest = blocks.mapInArrow(_leaves(sizes, full, salts, crowded=True), packed)
-    merged = rest.groupBy("grp", "salt").applyInArrow(_first(sizes), packed)
     found = "grp long, salt long, suffix binary, least binary"
-    nodes = materialize(most.groupBy("grp").applyInArrow(_tree(sizes), found))
-    crowded = materialize(merged.groupBy("grp").applyInArrow(_tree(sizes), found))
-    short = blocks.mapInArrow(_leaves(sizes, full, salts, crowded=True, with_path=False), "grp long, salt long, block long, suffix binary, hi binary")
-    answers = short.groupBy("grp", "salt").cogroup(crowded.groupBy("grp", "salt")).applyInArrow(_answer, "block long, suffix binary, least binary")
-    answers = materialize(nodes.select(F.col("salt").alias("block"), "suffix", "least").union(answers))
+    most = blocks.mapInArrow(_leaves(sizes, full, salts, crowded=False), packed)
+    nodes = [materialize(most.groupBy("grp").applyInArrow(_tree(sizes), found))]
+    answers = nodes[0].select(F.col("salt").alias("block"), "suffix", "least")
+    if heavy[-1].any():
+        rest = blocks.mapInArrow(_leaves(sizes, full, salts, crowded=True), packed)
+        merged = rest.groupBy("grp", "salt").applyInArrow(_first(sizes), packed)
+        nodes.append(materialize(merged.groupBy("grp").applyInArrow(_tree(sizes), found)))
+        short = blocks.mapInArrow(_leaves(sizes, full, salts, crowded=True, with_path=False), "grp long, salt long, block long, suffix binary, hi binary")
+        answers = answers.union(short.groupBy("grp", "salt").cogroup(nodes[1].groupBy("grp", "salt")).applyInArrow(_answer, "block long, suffix binary, least binary"))
 
     def mark(own: pa.Table, found: pa.Table) -> pa.Table:
         keys, spans = [], []
@@ -344,7 +346,7 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     own = blocks.select("block", "docs", "keys", "idx", "pos", "suffix")
     marked = materialize(own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(mark, "key long, spans binary"))
-    discard(survey, blocks, nodes, crowded, answers)
+    discard(survey, blocks, *nodes)
     return marked
 
 
