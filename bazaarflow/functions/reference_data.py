@@ -25,11 +25,15 @@ DISTRICT_ALIASES = {
     "Hoima": ["hoima", "homa"],
     "Arua": ["arua", "arua city"],
     "Soroti": ["soroti", "soroti district"],
-    "Fort Portal": ["fort portal", "fortportal", "fort-portal", "kabarole"],
+    "Fort Portal": ["fort portal", "fortportal", "fort-portal", "kabarole", "kabarole district"],
     "Kasese": ["kasese", "kisese"],
     "Luwero": ["luwero", "luweero", "luwero district"],
     "Iganga": ["iganga", "iganga town"],
     "Tororo": ["tororo", "torroro"],
+    "Bushenyi": ["bushenyi", "bushenyi district"],
+    "Masindi": ["masindi", "masindi district"],
+    "Mpigi": ["mpigi", "mpigi district"],
+    "Mityana": ["mityana", "mityanna"],
 }
 
 # Unit labels; those of CONVERTED need their amounts scaled at the source.
@@ -59,8 +63,7 @@ PAYMENTS = {
 }
 MOBILE_MONEY = ["MTN_MOMO", "AIRTEL_MOMO"]
 
-# Cities by store number; the online store stands alone.
-CITY_STORES = {"Kampala": range(1, 11), "Jinja": range(11, 15), "Mbarara": range(15, 19), "Gulu": range(19, 24)}
+# The online store stands alone.
 ONLINE_STORE, ONLINE_CITY = "ECOM01", "E-commerce"
 
 

@@ -14,7 +14,8 @@ NULL_TOKENS = ["", "nan", "none", "null"]
 NULL_TOKENS_NA = [*NULL_TOKENS, "n/a"]
 # Formats.
 E164 = r"^\+2567\d{8}$"
-EMAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"
+EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
+SPACES = " \t\n\x0b\x0c\r"
 SKU = r"^[A-Z0-9]{3,10}$"
 TRANSACTION = r"^TXN\d{6,12}$"
 DATE_FORMATS = (("yyyy-M-d", "%Y-%m-%d"), ("d/M/yyyy", "%d/%m/%Y"), ("d-M-yyyy", "%d-%m-%Y"))
@@ -25,7 +26,7 @@ def text(c: Column) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(text(c), r"^\s+|\s+$", "")
+    return F.btrim(text(c), F.lit(SPACES))
 
 
 def is_null_token(c: Column, tokens: list[str] = NULL_TOKENS) -> Column:
@@ -78,7 +79,7 @@ def unit(c: Column) -> Column:
 
 
 def category(c: Column) -> Column:
-    """Exact labels; `unknown` maps to nothing. Near spellings are a step of its own, on distinct labels."""
+    """Exact labels; `unknown` maps to nothing. Near spellings are a step of its own, cleanse.with_near_labels."""
     key = F.lower(stripped(c))
     value = lookup(spellings(CATEGORIES))[key]
     return (
@@ -87,7 +88,10 @@ def category(c: Column) -> Column:
 
 
 def district(c: Column) -> Column:
-    """Aliases first, then official names. An official name that is another's alias is told apart as exact_remapped."""
+    """Aliases first, then official names. An official name that is another's alias is told apart as exact_remapped.
+
+    Near spellings are a step of its own, cleanse.with_near_labels.
+    """
     key = F.lower(stripped(c))
     alias = lookup(spellings(DISTRICT_ALIASES))[key]
     official = lookup({d.lower(): d for d in DISTRICTS})[key]

@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import standardize as S
+from ..functions.reference_data import CATEGORIES, DISTRICTS
+from ..functions.similarity import nearest
+
+#: Least similarity of near spellings.
+NEAR_DISTRICT, NEAR_CATEGORY = 88.0, 85.0
+
+
+def with_near_labels(df: DataFrame, value: str, status: str, official: list[str], least: float) -> DataFrame:
+    """df with unresolved labels replaced by the official name they are near enough to, as fuzzy_mapped.
+
+    Similarity is computed once for each distinct label; its answers are joined back, broadcast by the planner while they are few.
+    """
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = batch.assign(_near=[nearest(x, official, least) for x in batch["_label"]])
+            yield found[found["_near"].notna()]
+
+    unresolved = F.when(F.col(status) == "unresolved", F.col(value))
+    labels = df.select(unresolved.alias("_label")).where("_label is not null").distinct()
+    near = labels.mapInPandas(match, "_label string, _near string")
+    met = df.withColumn("_label", unresolved).join(near, "_label", "left")
+    return met.withColumns({value: F.coalesce("_near", value), status: F.when(F.col("_near").isNotNull(), "fuzzy_mapped").otherwise(F.col(status))}).select(*df.columns)
 
 
 def cleanse_customers(raw: DataFrame) -> DataFrame:
     phone, district, day, gender = (f(F.col(c)) for f, c in ((S.phone, "phone_number"), (S.district, "district"), (S.date, "registration_date"), (S.gender, "gender")))
-    return raw.select(
+    clean = raw.select(
         S.stripped(F.col("customer_id")).alias("customer_id"),
         S.full_name(F.col("full_name")).alias("full_name"),
         F.col("phone_number").alias("phone_number_raw"),
@@ -27,6 +53,7 @@ def cleanse_customers(raw: DataFrame) -> DataFrame:
         gender["value"].alias("gender"),
         gender["status"].alias("gender_status"),
     )
+    return with_near_labels(clean, "district", "district_status", DISTRICTS, NEAR_DISTRICT)
 
 
 def cleanse_products(raw: DataFrame) -> DataFrame:
@@ -49,6 +76,7 @@ def cleanse_products(raw: DataFrame) -> DataFrame:
         sell["status"].alias("price_status"),
         F.coalesce(sell["value"] < cost["value"], F.lit(False)).alias("margin_anomaly"),
     )
+    own = with_near_labels(own, "category", "category_status", list(CATEGORIES), NEAR_CATEGORY)
     return own.join(counts, "sku", "left").select(*own.columns, F.coalesce("_twice", F.lit(False)).alias("duplicate_sku"), F.lower("product_id").isin("", "nan").alias("bad_key"))
 
 
@@ -66,8 +94,3 @@ def exact_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
 def skus_with_names(df: DataFrame) -> DataFrame:
     """SKUs that stand for more than one product name."""
     return df.where("sku <> ''").groupBy("sku").agg(F.count_distinct("product_name").alias("names")).where("names > 1")
-
-
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return df.withColumn("_n", nth).where("_n = 1").drop("_n")

@@ -58,7 +58,15 @@ def profile_customers(raw: DataFrame, today: str) -> DataFrame:
         ("Validity", "gender_pct"): _percent(sex),
         ("Validity", "composite_pct"): _percent(e164 & mail & (day["value"] != "") & sex),
     }
-    return _long(raw, measures)
+    copies = _copied(raw, CUSTOMER_FIELDS).select(F.lit("Uniqueness").alias("dimension"), F.lit("exact_duplicates_pct").alias("metric"), "value")
+    main = dominant_phone_format(raw).select(F.lit("Consistency").alias("dimension"), F.lit("dominant_phone_format_pct").alias("metric"), F.coalesce("share_pct", F.lit(0.0)).alias("value"))
+    return _long(raw, measures).unionByName(copies).unionByName(main)
+
+
+def _copied(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """Share of rows that agree with another in all columns."""
+    groups = raw.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.coalesce(F.round(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).cast("decimal(20,0)") * 100 / F.nullif(F.sum("n"), F.lit(0)), 2), F.lit(0)).cast("double").alias("value"))
 
 
 def dominant_phone_format(raw: DataFrame) -> DataFrame:
@@ -86,8 +94,13 @@ def profile_products(raw: DataFrame) -> DataFrame:
         ("Validity", "category_pct"): _percent(category),
         ("Validity", "sku_pct"): _percent(sku),
         ("Validity", "composite_pct"): _percent(unit & category & sku & sell.isNotNull()),
+        ("Completeness", "cells_pct"): F.round(sum((F.count_if(_filled(c)) for c in PRODUCT_FIELDS), F.lit(0)).cast("decimal(20,0)") * 100 / F.nullif(F.count(F.lit(1)) * len(PRODUCT_FIELDS), F.lit(0)), 2),
     }
-    return _long(raw, measures)
+    groups = raw.select(plain["sku"].alias("sku"), "product_name").groupBy("sku").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("product_name").alias("names"))
+    shared = groups.agg(F.coalesce(F.sum(F.when((F.col("n") > 1) & ~F.col("sku").isin("", "nan"), F.col("n"))), F.lit(0)).cast("double").alias("a"), F.count_if((F.col("names") > 1) & (F.col("sku") != "")).cast("double").alias("b"))
+    rows = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(m).alias("metric"), F.col(c).alias("value")) for d, m, c in (("Uniqueness", "duplicate_sku_rows", "a"), ("Consistency", "sku_multi_name", "b"))])
+    copies = _copied(raw, PRODUCT_FIELDS).select(F.lit("Uniqueness").alias("dimension"), F.lit("exact_duplicates_pct").alias("metric"), "value")
+    return _long(raw, measures).unionByName(shared.select(F.explode(rows).alias("r")).select("r.*")).unionByName(copies)
 
 
 def compare_profiles(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -107,27 +120,18 @@ def compare_profiles(before: DataFrame, after: DataFrame) -> DataFrame:
     return met.withColumn("status", status)
 
 
-#: Rule, what a row must satisfy, severity.
-def rules(today: str) -> dict[str, tuple[Column, str]]:
+def customer_rules(today: str) -> dict[str, Column]:
+    """What a row of cleansed customers must satisfy, by rule."""
     day = F.col("registration_date").try_cast("date")
     return {
-        "VR-001": (F.col("phone_status").isin("valid", "missing"), "high"),
-        "VR-002": (~F.col("district_status").isin("unresolved"), "medium"),
-        "VR-003": ((F.col("email") == "") | F.col("email").rlike(S.EMAIL), "medium"),
-        "VR-004": (F.col("customer_id") != "", "critical"),
-        "VR-005": (F.coalesce(day.between(F.lit("2000-01-01").cast("date"), F.lit(today).cast("date")), F.lit(False)), "medium"),
-        "VR-006": (F.length(F.trim("full_name")) > 0, "high"),
+        "VR-001": F.col("phone_status").isin("valid", "missing"),
+        "VR-002": ~F.col("district_status").isin("unresolved"),
+        "VR-003": (F.col("email") == "") | F.col("email").rlike(S.EMAIL),
+        "VR-005": day.between(F.lit("2000-01-01").cast("date"), F.lit(today).cast("date")),
+        "VR-006": (F.length(F.trim("full_name")) >= 2) & F.col("full_name").rlike(r"\A[A-Za-z .-]+\z"),
     }
 
 
-def violations(clean: DataFrame, today: str) -> DataFrame:
-    """Rows that fail each rule of a cleansed customer table."""
-    every = rules(today)
-    wide = clean.agg(*[F.count_if(~ok).alias(r) for r, (ok, _) in every.items()])
-    out = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), F.col(r).alias("violations")) for r, (_, s) in every.items()])
-    return wide.select(F.explode(F.array_compact(out)).alias("r")).select("r.*")
-
-
 def _repeats(df: DataFrame, key: str, counted: Column, missing: Column | None = None) -> DataFrame:
     """Number of counted rows whose key another counted row has too, and of rows without a key where missing is given."""
     groups = df.where(counted).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -141,8 +145,7 @@ def catalogue_violations(customers: DataFrame, products: DataFrame, sales: DataF
     Cleansed customers and products, parsed sales, surviving customers; reviewed: customer_id of those in the review queue.
     """
     fails = lambda df, oks: df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(r) for r, ok in oks.items()])
-    own = {r: ok for r, (ok, _) in rules(today).items() if r not in ("VR-004", "VR-006")}
-    own["VR-006"] = (F.length(F.trim("full_name")) >= 2) & F.col("full_name").rlike(r"\A[A-Za-z .-]+\z")
+    own = customer_rules(today)
     ware = {
         "VR-008": ~F.lower("sku").isin("", "nan") & ~F.col("duplicate_sku"),
         "VR-009": F.col("unit_of_measure").isin(list(UNITS)),
@@ -172,18 +175,56 @@ LIMITS = {
     "DQC-01": (">", 1.0, 2.0),
     "DQC-02": ("<", 99.0, None),
     "DQC-03": ("<", 99.5, None),
+    "DQC-03-label": (">", 50.0, None),
     "DQC-04-phone": ("<", 92.0, None),
     "DQC-04-email": ("<", 85.0, None),
     "DQC-04-district": ("<", 99.0, None),
     "DQC-05": ("<", 99.0, None),
     "DQC-06": (">", 0.0, None),
     "DQC-07": (">", 0.5, None),
+    "DQC-07-rows": (">", 100.0, None),
     "DQC-08": (">", 0.0, 50.0),
     "DQC-09": (">", 0.0, None),
     "DQC-10": (">", 0.0, 25.0),
 }
 
 
+def measures(customers: DataFrame, products: DataFrame, parsed: DataFrame, surviving: DataFrame, today: str, reviewed: DataFrame | None = None) -> DataFrame:
+    """check_id, value of every monitored measure: cleansed customers and products, parsed sales, surviving customers, those in review."""
+    n = F.count(F.lit(1))
+    share = lambda part, whole: F.coalesce(F.round(F.count_if(part).cast("decimal(20,0)") * 100 / F.nullif(F.count_if(whole), F.lit(0)), 4).cast("double"), F.lit(100.0))
+    every = F.lit(True)
+    pending = (F.col("reconciliation_status") == "PENDING") & (F.col("sold_at") < F.lit(today).cast("timestamp") - F.expr("INTERVAL 24 HOURS"))
+    whole = {
+        "DQC-02": (customers, share(F.col("phone_e164").rlike(S.E164), F.col("phone_status") != "missing")),
+        "DQC-03": (customers, share(~F.col("district_status").isin("missing", "unresolved"), F.col("district_status") != "missing")),
+        "DQC-04-phone": (customers, share(F.col("phone_status") != "missing", every)),
+        "DQC-04-email": (customers, share(F.col("email") != "", every)),
+        "DQC-04-district": (customers, share(F.col("district_status") != "missing", every)),
+        "DQC-05": (products, share(F.col("unit_of_measure").isin(list(UNITS)) & F.col("category").isin(list(CATEGORIES)), every)),
+        "DQC-07": (parsed, F.coalesce(F.round(F.count_if(F.col("rule").isNotNull()).cast("decimal(20,0)") * 100 / F.nullif(n, F.lit(0)), 4), F.lit(0)).cast("double")),
+        "DQC-07-rows": (parsed, F.count_if(F.col("rule").isNotNull()).cast("double")),
+        "DQC-08": (parsed, F.count_if(F.col("rule").isNull() & pending).cast("double")),
+        "DQC-09": (customers, F.count_if(~F.coalesce(customer_rules(today)["VR-005"], F.lit(False))).cast("double")),
+        "DQC-10": (products, F.count_if("margin_anomaly").cast("double")),
+    }
+    out = None
+    for df in (customers, products, parsed):  # one pass over each
+        own = {k: v for k, (d, v) in whole.items() if d is df}
+        rows = F.array(*[F.struct(F.lit(k).alias("check_id"), F.col(f"`{k}`").alias("value")) for k in own])
+        part = df.agg(*[v.alias(k) for k, v in own.items()]).select(F.explode(rows).alias("r")).select("r.*")
+        out = part if out is None else out.unionByName(part)
+    label = customers.where("district_status = 'unresolved'").groupBy("district").agg(n.alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("double").alias("value"))
+    skus = products.where("sku not in ('', 'nan') and product_id <> ''").groupBy("sku").agg(F.count_distinct("product_id").alias("n")).agg(F.count_if(F.col("n") > 1).cast("double").alias("value"))
+    merged = customers.select(F.lit(1).alias("all"), F.lit(0).alias("left")).unionAll(surviving.select(F.lit(0), F.lit(1)))
+    if reviewed is not None:
+        merged = merged.unionAll(reviewed.select(F.lit(0), F.lit(-1)))
+    people = merged.agg(F.coalesce(F.round((F.sum("all") - F.sum("left")).cast("decimal(20,0)") * 100 / F.nullif(F.sum("all"), F.lit(0)), 4), F.lit(0)).cast("double").alias("value"))
+    for check, df in (("DQC-01", people), ("DQC-03-label", label), ("DQC-06", skus)):
+        out = out.unionByName(df.select(F.lit(check).alias("check_id"), "value"))
+    return out
+
+
 def monitor(measures: DataFrame) -> DataFrame:
     """measures (check_id, value) with status OK, ALERT or P1."""
     limits = measures.sparkSession.createDataFrame([(k, *v) for k, v in LIMITS.items()], "check_id string, side string, alert double, incident double")

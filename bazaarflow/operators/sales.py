@@ -70,8 +70,9 @@ def parse_sales(raw: DataFrame) -> DataFrame:
 
 def second_copies(parsed: DataFrame) -> DataFrame:
     """parsed with rule DUPLICATE on all but one of the good rows of each transaction."""
-    nth = F.row_number().over(Window.partitionBy("transaction_id", "rule").orderBy(F.xxhash64("raw")))
-    return parsed.withColumn("_n", nth).withColumn("rule", F.when(F.col("rule").isNull() & (F.col("_n") > 1), "DUPLICATE").otherwise(F.col("rule"))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("transaction_id").orderBy(F.xxhash64("raw"), F.to_json("raw")))
+    kept = parsed.where("rule is null").withColumn("_n", nth).withColumn("rule", F.when(F.col("_n") > 1, "DUPLICATE")).drop("_n")
+    return kept.unionByName(parsed.where("rule is not null"))  # rejects, often without any identifier, are not numbered
 
 
 def good(parsed: DataFrame) -> DataFrame:

@@ -19,13 +19,14 @@ class Grant:
     own_store: bool = False
 
 
-# Role, table, granted operations. What is not listed is denied.
+# Role, table, granted operations. What is not listed is denied. Payment references are restricted, so store roles
+# and analysts read sales through the masked view.
 POLICY: dict[str, dict[str, Grant]] = {
-    "store_cashier": {"sales": Grant("SI", own_store=True), "products": Grant("S"), "customers_masked": Grant("S")},
-    "store_manager": {"sales": Grant("SIU", own_store=True), "products": Grant("S"), "customers_masked": Grant("S"), "financial_reports": Grant("S", own_store=True)},
-    "data_analyst": {"sales": Grant("S"), "products": Grant("S"), "customers_masked": Grant("S"), "financial_reports": Grant("S", columns=tuple(FINANCE))},
-    "compliance_officer": {t: Grant("S") for t in ("sales", "customers", "products", "financial_reports", "customers_masked")},
-    "cdm_admin": {t: Grant("SIUD") for t in ("sales", "customers", "products", "financial_reports", "customers_masked")},
+    "store_cashier": {"sales": Grant("I", own_store=True), "sales_masked": Grant("S", own_store=True), "products": Grant("S"), "customers_masked": Grant("S")},
+    "store_manager": {"sales": Grant("IU", own_store=True), "sales_masked": Grant("S", own_store=True), "products": Grant("S"), "customers_masked": Grant("S"), "financial_reports": Grant("S", own_store=True)},
+    "data_analyst": {"sales_masked": Grant("S"), "products": Grant("S"), "customers_masked": Grant("S"), "financial_reports": Grant("S", columns=tuple(FINANCE))},
+    "compliance_officer": {t: Grant("S") for t in ("sales", "sales_masked", "customers", "products", "financial_reports", "customers_masked")},
+    "cdm_admin": {t: Grant("SIUD") for t in ("sales", "sales_masked", "customers", "products", "financial_reports", "customers_masked")},
 }
 
 
@@ -50,6 +51,14 @@ def secure(df: DataFrame, role: str, table: str, store: str | None = None, colum
     return out.select(*(columns or [c for c in df.columns if c in allowed]))
 
 
+def insertable(rows: DataFrame, role: str, table: str, store: str | None = None) -> DataFrame:
+    """rows that role may insert: of its own store where the grant says so, else the whole batch is denied."""
+    grant = authorise(role, table, "I")
+    if grant.own_store and not rows.where(~F.col("store_id").eqNullSafe(F.lit(store))).isEmpty():
+        raise AccessDenied(f"{role} may insert rows of store {store} only")
+    return rows
+
+
 def customers_masked(customers: DataFrame) -> DataFrame:
     return customers.select("customer_id", mask_name(F.col("full_name")).alias("full_name"), mask_phone(F.col("phone")).alias("phone"), mask_email(F.col("email")).alias("email"), "district")
 

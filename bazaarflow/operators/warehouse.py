@@ -74,11 +74,19 @@ def orphans(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     return facts.join(dimension.select(key), key, "left_anti")
 
 
-def load_checks(facts: DataFrame, customers: DataFrame, products: DataFrame, expected: Column, tolerance: float = 0.5) -> DataFrame:
-    """check, value, passed: orphans by dimension and the batch's own control total."""
-    lost = lambda d, k, n: orphans(facts, d, k).agg(F.count(F.lit(1)).cast("decimal(24,2)").alias("value")).select(F.lit(n).alias("check"), "value", (F.col("value") == 0).alias("passed"))
-    total = facts.agg(F.coalesce(F.sum("net_amount_ugx"), F.lit(0)).cast("decimal(24,2)").alias("value")).select(F.lit("control_total").alias("check"), "value", (F.abs(F.col("value") - expected) <= tolerance).alias("passed"))
-    return lost(customers, "customer_sk", "customer_orphans").unionByName(lost(products, "product_sk", "product_orphans")).unionByName(total)
+def load_checks(facts: DataFrame, customers: DataFrame, products: DataFrame, staged_total: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """check, value, passed: orphans by dimension, and the loaded amount against the batch's own staged total (one row, one column).
+
+    customers has the unknown member, which stands for walk-ins. One pass over the facts.
+    """
+    known = lambda d, k, n: d.select(F.col(k), F.lit(True).alias(n))
+    met = facts.join(known(customers, "customer_sk", "_c"), "customer_sk", "left").join(known(products, "product_sk", "_p"), "product_sk", "left")
+    amount = lambda c: c.cast("decimal(24,2)")
+    own = met.agg(amount(F.count_if(F.col("_c").isNull())).alias("c"), amount(F.count_if(F.col("_p").isNull())).alias("p"), amount(F.coalesce(F.sum("net_amount_ugx"), F.lit(0))).alias("t"))
+    both = own.unionByName(staged_total.toDF("staged"), allowMissingColumns=True)  # one row each
+    wide = both.agg(*[F.max(k).alias(k) for k in ("c", "p", "t", "staged")])
+    checks = [("customer_orphans", F.col("c"), F.col("c") == 0), ("product_orphans", F.col("p"), F.col("p") == 0), ("control_total", F.col("t"), F.abs(F.col("t") - F.coalesce("staged", F.lit(0))) <= tolerance)]
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), v.alias("value"), ok.alias("passed")) for n, v, ok in checks])).alias("r")).select("r.*")
 
 
 def dim_date(spark: SparkSession, first: str, last: str, holidays: dict[str, str] | None = None) -> DataFrame:

@@ -15,14 +15,15 @@ _DIGITS = "lpad(cast(c_custkey as string), 8, '0')"
 #: customer_id, full_name, phone_number, email, district, registration_date, gender: all text.
 DIRTY_CUSTOMERS = f"""
 select concat('CUST', cast(100000 + c_custkey as string)) as customer_id,
-  case c_custkey % 4 when 0 then upper(c_name) when 1 then concat('  ', c_name, ' ') when 2 then '' else concat(c_name, '  Junior') end as full_name,
+  case when c_custkey % 40 = 4 then 'Mary O-Akello' when c_custkey % 40 = 8 then ' Q ' else case c_custkey % 4 when 0 then upper(c_name) when 1 then concat('  ', c_name, ' ') when 2 then '' else concat(c_name, '  Junior') end end as full_name,
   case c_custkey % 9 when 0 then concat('+2567', {_DIGITS}) when 1 then concat('07', {_DIGITS}) when 2 then concat('2567', {_DIGITS})
     when 3 then concat('7', {_DIGITS}) when 4 then concat('07', substr({_DIGITS}, 1, 2), ' ', substr({_DIGITS}, 3, 3), '-', substr({_DIGITS}, 6, 3))
     when 5 then concat('+256 77 ', substr({_DIGITS}, 2, 7)) when 6 then 'N/A' when 7 then '' else concat('07', lpad(cast(c_custkey % 50 as string), 8, '0')) end as phone_number,
-  case c_custkey % 5 when 0 then concat('user', cast(c_custkey as string), '@mail.com') when 1 then concat(' USER', cast(c_custkey % 40 as string), '@Shop.co.ug ')
-    when 2 then 'broken.mail.com' when 3 then '' else concat('u', cast(c_custkey as string), '@host') end as email,
-  case c_custkey % 12 when 0 then 'Kampala' when 1 then 'kla' when 2 then 'KAMPALA ' when 3 then 'Jinja City' when 4 then 'Mbaraa' when 5 then 'Wakiso'
-    when 6 then 'Nowhere' when 7 then '' when 8 then 'FortPortal' when 9 then 'Gulu District' when 10 then 'Kumi' else 'null' end as district,
+  case when c_custkey % 35 = 9 then concat('a#', cast(c_custkey as string), '@x.com') when c_custkey % 35 = 11 then concat('é', cast(c_custkey as string), '@x.com') else case c_custkey % 5 when 0 then concat('user', cast(c_custkey as string), '@mail.com') when 1 then concat(' USER', cast(c_custkey % 40 as string), '@Shop.co.ug ')
+    when 2 then 'broken.mail.com' when 3 then '' else concat('u', cast(c_custkey as string), '@host') end end as email,
+  case c_custkey % 60 when 13 then 'Bushenyi District' when 14 then 'masindi district' when 15 then 'Mpigi District' when 16 then 'Mityanna' when 17 then 'kabarole district'
+    when 18 then 'Nakasongolla' when 19 then 'Mukonno' when 20 then 'kampala road' else case c_custkey % 12 when 0 then 'Kampala' when 1 then 'kla' when 2 then 'KAMPALA ' when 3 then 'Jinja City' when 4 then 'Mbaraa' when 5 then 'Wakiso'
+    when 6 then 'Nowhere' when 7 then '' when 8 then 'FortPortal' when 9 then 'Gulu District' when 10 then 'Kumi' else 'null' end end as district,
   case c_custkey % 6
     when 0 then concat(cast(2019 + c_custkey % 9 as string), '-', lpad(cast(1 + c_custkey % 12 as string), 2, '0'), '-', lpad(cast(1 + c_custkey % 28 as string), 2, '0'))
     when 1 then concat(lpad(cast(1 + c_custkey % 28 as string), 2, '0'), '/', lpad(cast(1 + c_custkey % 12 as string), 2, '0'), '/', cast(2019 + c_custkey % 6 as string))
@@ -38,7 +39,7 @@ select case when p_partkey % 33 = 0 then '' else concat('PRD', cast(200000 + p_p
   case when p_partkey % 19 = 0 then concat('SK', cast(p_partkey % 7 as string)) when p_partkey % 31 = 0 then 'bad sku' else concat('SKU', cast(p_partkey as string)) end as sku,
   p_name as product_name,
   case p_partkey % 9 when 0 then 'Beverages' when 1 then 'bevages' when 2 then 'Grains and Cereals' when 3 then ' SNACKS' when 4 then 'house hold'
-    when 5 then 'personalcare' when 6 then 'Stationary' when 7 then 'Unknown' else 'Toys' end as category,
+    when 5 then 'personalcare' when 6 then 'Stationary' when 7 then 'Unknown' else case when p_partkey % 2 = 0 then 'Toys' else 'Stationerys' end end as category,
   case p_partkey % 10 when 0 then 'kg' when 1 then 'KGS' when 2 then 'grams' when 3 then 'Piece' when 4 then 'boxes' when 5 then 'litre' when 6 then 'ML'
     when 7 then '' when 8 then 'dozen' else 'pcs' end as unit_of_measure,
   case p_partkey % 5 when 0 then concat('UGX ', cast(1000 + p_partkey % 700 as string)) else cast(1000 + p_partkey % 700 as string) end as cost_ugx,

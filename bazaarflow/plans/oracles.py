@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.reference_data import CATEGORIES, CONVERTED, DISTRICT_ALIASES, DISTRICTS, PAYMENTS, UNITS, spellings
+from ..functions.reference_data import CONVERTED, PAYMENTS, UNITS, spellings
 from .inputs import DIRTY_CUSTOMERS, DIRTY_PRODUCTS, DIRTY_SALES, SALE_LINES, plain
 
+OFFICIAL_CATEGORIES = "('Beverages', 'Grains & Cereals', 'Snacks', 'Household', 'Personal Care', 'Stationery')"
+MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 MOMO = "('MTN_MOMO', 'AIRTEL_MOMO')"
 
 
@@ -51,20 +53,50 @@ def unit(c: str) -> tuple[str, str]:
     return coded(c, spellings(UNITS), f"CASE WHEN lower({strip(c)}) IN {tuple(CONVERTED)} THEN 'converted' ELSE 'mapped' END")
 
 
-def category(c: str) -> tuple[str, str]:
+# What the labels of the dirty extracts must become; written out here, so a wrong table elsewhere shows.
+DISTRICT_ANSWERS = {
+    "kampala": ("Kampala", "exact"),
+    "kla": ("Kampala", "variant_mapped"),
+    "jinja city": ("Jinja", "exact_remapped"),
+    "mbaraa": ("Mbarara", "variant_mapped"),
+    "wakiso": ("Wakiso", "exact"),
+    "fortportal": ("Fort Portal", "variant_mapped"),
+    "gulu district": ("Gulu", "variant_mapped"),
+    "kumi": ("Kumi", "exact"),
+    "bushenyi district": ("Bushenyi", "variant_mapped"),
+    "masindi district": ("Masindi", "variant_mapped"),
+    "mpigi district": ("Mpigi", "variant_mapped"),
+    "mityanna": ("Mityana", "variant_mapped"),
+    "kabarole district": ("Fort Portal", "variant_mapped"),
+    "nakasongolla": ("Nakasongola", "fuzzy_mapped"),
+    "mukonno": ("Mukono", "fuzzy_mapped"),
+    "kampala road": ("Kampala", "fuzzy_mapped"),
+} | {x.lower(): (x, "exact") for x in ("Jinja", "Mbarara", "Fort Portal", "Gulu", "Bushenyi", "Masindi", "Mpigi", "Mityana", "Nakasongola", "Mukono")}
+CATEGORY_ANSWERS = {
+    "beverages": ("Beverages", "mapped"),
+    "bevages": ("Beverages", "mapped"),
+    "grains and cereals": ("Grains & Cereals", "mapped"),
+    "snacks": ("Snacks", "mapped"),
+    "house hold": ("Household", "mapped"),
+    "personalcare": ("Personal Care", "mapped"),
+    "stationary": ("Stationery", "mapped"),
+    "stationerys": ("Stationery", "fuzzy_mapped"),
+    "unknown": ("", "mapped"),
+}
+
+
+def answered(c: str, answers: dict[str, tuple[str, str]], missing: str) -> tuple[str, str]:
     key = f"lower({strip(c)})"
-    value, status = coded(c, spellings(CATEGORIES), "'mapped'", "('')")
-    return f"CASE WHEN {key} = 'unknown' THEN '' ELSE {value} END", f"CASE WHEN {key} = 'unknown' THEN 'mapped' ELSE {status} END"
+    value, status = (_case(key, {k: v[i] for k, v in answers.items()}) for i in (0, 1))
+    return f"CASE WHEN {key} IN {missing} THEN '' ELSE coalesce({value}, {strip(c)}) END", f"CASE WHEN {key} IN {missing} THEN 'missing' ELSE coalesce({status}, 'unresolved') END"
+
+
+def category(c: str) -> tuple[str, str]:
+    return answered(c, CATEGORY_ANSWERS, "('')")
 
 
 def district(c: str) -> tuple[str, str]:
-    key = f"lower({strip(c)})"
-    alias, official = _case(key, spellings(DISTRICT_ALIASES)), _case(key, {d.lower(): d for d in DISTRICTS})
-    missing = f"{key} IN ('', 'nan', 'none', 'null')"
-    return (
-        f"CASE WHEN {missing} THEN '' ELSE coalesce({alias}, {official}, {strip(c)}) END",
-        f"CASE WHEN {missing} THEN 'missing' WHEN {alias} IS NOT NULL THEN CASE WHEN {official} IS NULL THEN 'variant_mapped' WHEN {official} = {alias} THEN 'exact' ELSE 'exact_remapped' END WHEN {official} IS NOT NULL THEN 'exact' ELSE 'unresolved' END",
-    )
+    return answered(c, DISTRICT_ANSWERS, "('', 'nan', 'none', 'null')")
 
 
 def gender(c: str) -> tuple[str, str]:
@@ -144,7 +176,7 @@ ORACLES: dict[str, str] = {
     "location_quotient": LINES + ", o AS (SELECT city, CAST(sum(amount) AS DOUBLE) AS rev, count(DISTINCT CASE WHEN customer_sk > 0 THEN customer_sk END) AS customers, count(DISTINCT store_id) AS stores FROM s GROUP BY 1) SELECT city, customers, stores, round((rev / sum(rev) OVER ()) / (customers / sum(customers) OVER ()), 6) AS quotient, round((rev / sum(rev) OVER ()) / (stores / sum(stores) OVER ()), 6) AS productivity FROM o",
     "pending_ageing": LINES + f", x AS (SELECT amount, (epoch(TIMESTAMP '1997-01-01 00:00:00') - epoch(sold_at)) / 3600 AS h FROM s WHERE payment_ref IS NULL AND payment_method IN {MOMO}) SELECT CASE WHEN h < 24 THEN '0-24' WHEN h <= 72 THEN '24-72' ELSE '>72' END AS age_bucket, count(*) AS line_count, sum(amount) AS value FROM x GROUP BY 1",
     "repeated_references": LINES + "SELECT payment_ref, count(DISTINCT store_id) AS stores, count(*) AS uses FROM s WHERE payment_ref IS NOT NULL GROUP BY 1 HAVING count(DISTINCT store_id) > 1",
-    "unusual_amounts": LINES + ", k AS (SELECT store_id, hour(sold_at) AS h, CAST(amount AS DOUBLE) AS x FROM s), b AS (SELECT store_id, h, avg(x) AS m, stddev_samp(x) AS d FROM k GROUP BY 1, 2) SELECT store_id, count(*) AS line_count, round(max(x), 4) AS largest FROM k JOIN b USING (store_id, h) WHERE x > m + 2 * d GROUP BY 1",
+    "unusual_amounts": LINES + ", k AS (SELECT store_id, hour(sold_at) AS h, CAST(amount AS DOUBLE) AS x FROM s), b AS (SELECT store_id, h, avg(x) AS m, stddev_samp(x) AS d FROM k GROUP BY 1, 2) SELECT store_id, count(*) AS line_count, round(max(x), 4) AS largest FROM k JOIN b USING (store_id, h) WHERE x > m + 1.5 * d GROUP BY 1",
     "refund_days": LINES + "SELECT store_id, CAST(CAST(sold_at AS DATE) AS VARCHAR) AS day, count(*) AS refunds FROM s WHERE is_return GROUP BY 1, 2 HAVING count(*) > 3",
     "walk_in_high_value": LINES + "SELECT store_id, count(*) AS line_count, sum(amount) AS value FROM s WHERE customer_sk = 0 AND amount >= 50000 GROUP BY 1",
     "month_growth": LINES + ", r AS (SELECT month, sum(amount) AS revenue FROM s GROUP BY 1) SELECT month, revenue, revenue - lag(revenue) OVER (ORDER BY month) AS delta FROM r",
@@ -168,15 +200,21 @@ ORACLES: dict[str, str] = {
         f=f"SELECT CASE WHEN {strip('phone_number')} IN ('', 'nan', 'None') THEN 'missing' WHEN regexp_full_match({strip('phone_number')}, '\\+2567\\d{{8}}') THEN 'e164' WHEN regexp_full_match({strip('phone_number')}, '07\\d{{8}}') THEN 'national' WHEN regexp_full_match({strip('phone_number')}, '2567\\d{{8}}') THEN 'no_plus' WHEN regexp_full_match({strip('phone_number')}, '7\\d{{8}}') THEN 'no_zero' WHEN regexp_full_match({strip('phone_number')}, '[\\d\\s-]+') AND regexp_matches({strip('phone_number')}, '[\\s-]') THEN 'spaced' ELSE 'other' END AS format FROM d",
     )
     + "SELECT format, CAST(round(CAST(n AS DECIMAL(20, 0)) * 100 / total, 2) AS DOUBLE) AS share_pct FROM (SELECT format, count(*) AS n, sum(count(*)) OVER () AS total FROM f GROUP BY 1) WHERE format <> 'missing' ORDER BY n DESC, format DESC LIMIT 1",
-    "rule_violations": _cte(**CUSTOMERS)
-    + "SELECT * FROM (SELECT 'VR-001' AS rule, 'high' AS severity, count(*) FILTER (phone_status NOT IN ('valid', 'missing')) AS violations FROM c UNION ALL SELECT 'VR-002', 'medium', count(*) FILTER (district_status = 'unresolved') FROM c UNION ALL SELECT 'VR-003', 'medium', count(*) FILTER (NOT (email = '' OR regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[A-Za-z]{2,}$'))) FROM c UNION ALL SELECT 'VR-004', 'critical', count(*) FILTER (customer_id = '') FROM c UNION ALL SELECT 'VR-005', 'medium', count(*) FILTER (NOT coalesce(TRY_CAST(registration_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2026-10-05', false)) FROM c UNION ALL SELECT 'VR-006', 'high', count(*) FILTER (NOT length(trim(full_name)) > 0) FROM c)",
     "parse_sales": _cte(**SALES) + "SELECT * FROM parsed WHERE rule IS NULL",
     "quarantine_summary": _cte(**SALES) + "SELECT 'sales' AS entity, rule AS error_rule, count(*) AS n FROM parsed WHERE rule IS NOT NULL GROUP BY 2",
     "fact_sales": _cte(**FACTS) + "SELECT transaction_id, sale_sk, customer_sk, product_sk, quantity, net_amount_ugx FROM f WHERE product_sk IS NOT NULL",
     "product_orphans": _cte(**FACTS) + "SELECT transaction_id, product_id FROM f WHERE product_sk IS NULL",
-    "load_checks": _cte(**FACTS)
-    + "SELECT 'customer_orphans' AS check, CAST(count(*) FILTER (customer_sk = 0) AS DECIMAL(24, 2)) AS value, count(*) FILTER (customer_sk = 0) = 0 AS passed FROM f WHERE product_sk IS NOT NULL UNION ALL SELECT 'product_orphans', 0, true UNION ALL SELECT 'control_total', sum(net_amount_ugx), abs(sum(net_amount_ugx) - 1000000) <= 0.5 FROM f WHERE product_sk IS NOT NULL",
-    "idempotent_load": _cte(**FACTS) + "SELECT count(*) AS n, sum(net_amount_ugx) AS total FROM f WHERE product_sk IS NOT NULL",
+    "load_checks": _cte(
+        **FACTS,
+        cd=f"SELECT 0 AS sk UNION ALL SELECT {_sk(strip('customer_id'))} FROM d WHERE {strip('customer_id')} <> ''",
+        pd=f"SELECT {strip('product_id')} AS id FROM p WHERE lower({strip('product_id')}) NOT IN ('', 'nan')",
+        staged="SELECT sum(CAST(unit_price_ugx * quantity AS DECIMAL(18, 2))) AS t FROM parsed WHERE rule IS NULL AND product_id IN (SELECT id FROM pd)",
+        loaded="SELECT * FROM f WHERE product_sk IS NOT NULL",
+    )
+    + """SELECT 'customer_orphans' AS check, CAST(count(*) AS DECIMAL(24, 2)) AS value, count(*) = 0 AS passed FROM loaded WHERE customer_sk NOT IN (SELECT sk FROM cd)
+UNION ALL SELECT 'product_orphans', count(*), count(*) = 0 FROM loaded WHERE product_id NOT IN (SELECT id FROM pd)
+UNION ALL SELECT 'control_total', sum(net_amount_ugx), abs(sum(net_amount_ugx) - (SELECT t FROM staged)) <= 0.5 FROM loaded""",
+    "idempotent_load": _cte(**FACTS) + "SELECT count(*) AS n, sum(net_amount_ugx + CASE WHEN sale_sk % 3 <> 1 THEN 1 ELSE 0 END) AS total FROM f WHERE product_sk IS NOT NULL",
     "denormalised": _cte(**FACTS, c=CLEAN, pc=PRODUCTS_CLEAN) + "SELECT pc.category AS category_label, c.district AS customer_district, count(*) AS n FROM f JOIN pc ON pc.product_id = f.product_id LEFT JOIN c ON c.customer_id = f.customer_id WHERE f.product_sk IS NOT NULL GROUP BY 1, 2",
     "phone_clusters": _cte(**CUSTOMERS) + "SELECT customer_id AS id, CASE WHEN phone_status = 'valid' THEN min(customer_id) OVER (PARTITION BY phone_status, phone_e164) ELSE customer_id END AS cluster FROM c",
     "survivors": _cte(
@@ -194,28 +232,36 @@ ORACLES: dict[str, str] = {
     + ", ".join(
         f"('{r}', '{t}', '{o}')"
         for r, own in {
-            "store_cashier": {"sales": "SI", "products": "S", "customers_masked": "S"},
-            "store_manager": {"sales": "SIU", "products": "S", "customers_masked": "S", "financial_reports": "S"},
-            "data_analyst": {"sales": "S", "products": "S", "customers_masked": "S", "financial_reports": "S"},
-            "compliance_officer": {"sales": "S", "customers": "S", "products": "S", "financial_reports": "S", "customers_masked": "S"},
-            "cdm_admin": {"sales": "SIUD", "customers": "SIUD", "products": "SIUD", "financial_reports": "SIUD", "customers_masked": "SIUD"},
+            "store_cashier": {"sales": "I", "sales_masked": "S", "products": "S", "customers_masked": "S"},
+            "store_manager": {"sales": "IU", "sales_masked": "S", "products": "S", "customers_masked": "S", "financial_reports": "S"},
+            "data_analyst": {"sales_masked": "S", "products": "S", "customers_masked": "S", "financial_reports": "S"},
+            "compliance_officer": {"sales": "S", "sales_masked": "S", "customers": "S", "products": "S", "financial_reports": "S", "customers_masked": "S"},
+            "cdm_admin": {"sales": "SIUD", "sales_masked": "SIUD", "customers": "SIUD", "products": "SIUD", "financial_reports": "SIUD", "customers_masked": "SIUD"},
         }.items()
         for t, o in own.items()
     )
     + ") t(role, object_name, operations)",
-    "footfall_windows": "SELECT 'U' || CAST(user_id % 24 AS VARCHAR) AS store_id, CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS VARCHAR) AS window_start, count(*) AS events, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY 1, 2",
+    "footfall_windows": """SELECT store_id, CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS VARCHAR) AS window_start, count(*) AS events,
+  CAST(sum(CASE WHEN n % 3 <> 0 AND event_type = 'click' THEN n % 4 ELSE 0 END) AS BIGINT) AS entered, CAST(sum(CASE WHEN n % 3 <> 0 AND event_type <> 'click' THEN n % 4 ELSE 0 END) AS BIGINT) AS "left",
+  CAST(sum(n % 4) AS BIGINT) AS moves, CAST(sum(n % 90) AS BIGINT) AS dwell_seconds
+FROM (SELECT 'U' || CAST(user_id % 24 AS VARCHAR) AS store_id, ts, event_type, event_id AS n FROM events) GROUP BY 1, 2""",
     "event_gaps": "SELECT user_id, after_seq, event_id AS next_seq, event_id - after_seq - 1 AS missing FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after_seq FROM events) WHERE event_id > after_seq + 1",
     "distinct_events": "SELECT user_id, CAST(floor(value) AS INT) AS v, min(event_id) AS event_id FROM events GROUP BY 1, 2",
     "sliding_24h": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM events",
     "trade_area": LINES + f", d AS ({plain(DIRTY_CUSTOMERS)}), h AS (SELECT CAST(substr(customer_id, 5) AS BIGINT) - 100000 AS customer_sk, {district('district')[0]} AS district FROM d) SELECT district, city, sum(amount) AS revenue, count(DISTINCT customer_sk) AS customers FROM s JOIN h USING (customer_sk) WHERE customer_sk > 0 GROUP BY 1, 2",
-    "repeated_reference_windows": "SELECT payment_ref, count(DISTINCT store_id) AS stores FROM (SELECT 'R' || CAST(user_id % 300 AS VARCHAR) AS payment_ref, 'U' || CAST(event_id % 24 AS VARCHAR) AS store_id FROM events) GROUP BY 1 HAVING count(DISTINCT store_id) > 1",
+    "repeated_reference_windows": """SELECT payment_ref, CAST(start AS VARCHAR) AS window_start, count(DISTINCT store_id) AS stores
+FROM (SELECT 'R' || CAST(user_id % 300 AS VARCHAR) AS payment_ref, 'U' || CAST(event_id % 24 AS VARCHAR) AS store_id, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(unnest(range(24))) AS start FROM events)
+GROUP BY 1, 2 HAVING count(DISTINCT store_id) > 1""",
     "on_hand": "SELECT p_partkey, greatest(100 - coalesce(q, 0) + p_size, 0) AS on_hand FROM part LEFT JOIN (SELECT l_partkey, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey",
 }
 
 
+def _values(base: str, measures: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{d}' AS dimension, '{m}' AS metric, CAST({v} AS DOUBLE) AS value FROM {base}" for d, m, v in measures)
+
+
 def _measures(base: str, measures: list[tuple[str, str, str]]) -> str:
-    parts = " UNION ALL ".join(f"SELECT '{d}' AS dimension, '{m}' AS metric, CAST({v} AS DOUBLE) AS value FROM x" for d, m, v in measures)
-    return _cte(x=base) + parts
+    return _cte(x=base) + _values("x", measures)
 
 
 def _pct(condition: str) -> str:
@@ -225,38 +271,56 @@ def _pct(condition: str) -> str:
 _FORMAT = f"""CASE WHEN {strip("phone_number")} IN ('', 'nan', 'None') THEN NULL WHEN regexp_full_match({strip("phone_number")}, '\\+2567\\d{{8}}') THEN 'e164' WHEN regexp_full_match({strip("phone_number")}, '07\\d{{8}}') THEN 'national'
   WHEN regexp_full_match({strip("phone_number")}, '2567\\d{{8}}') THEN 'no_plus' WHEN regexp_full_match({strip("phone_number")}, '7\\d{{8}}') THEN 'no_zero' WHEN regexp_full_match({strip("phone_number")}, '[\\d\\s-]+') AND regexp_matches({strip("phone_number")}, '[\\s-]') THEN 'spaced' ELSE 'other' END"""
 _FIELDS = ["full_name", "phone_number", "email", "district", "registration_date", "gender"]
-_PROFILED = f"SELECT *, {_FORMAT} AS fmt, {date('registration_date')[0]} AS dv, {date('registration_date')[1]} AS ds, TRY_CAST(CASE WHEN {date('registration_date')[1]} NOT IN ('missing', 'unparseable') THEN {date('registration_date')[0]} END AS DATE) AS dd, {phone('phone_number')[1]} AS ps, {district('district')[1]} AS xs FROM ({plain(DIRTY_CUSTOMERS)})"
-_E164, _MAIL = f"regexp_full_match({strip('phone_number')}, '\\+2567\\d{{8}}')", f"({strip('email')} = '' OR regexp_full_match({strip('email')}, '[^@\\s]+@[^@\\s]+\\.[A-Za-z]{{2,}}'))"
+
+
+def _profiled(base: str) -> str:
+    return f"SELECT *, {_FORMAT} AS fmt, {date('registration_date')[0]} AS dv, {date('registration_date')[1]} AS ds, TRY_CAST(CASE WHEN {date('registration_date')[1]} NOT IN ('missing', 'unparseable') THEN {date('registration_date')[0]} END AS DATE) AS dd, {phone('phone_number')[1]} AS ps, {district('district')[1]} AS xs, count(*) OVER (PARTITION BY {', '.join(_FIELDS)}) AS copies, CASE WHEN {_FORMAT} IS NOT NULL THEN count(*) OVER (PARTITION BY {_FORMAT}) END AS of_format FROM ({base})"
+
+
+_E164, _MAIL = f"regexp_full_match({strip('phone_number')}, '\\+2567\\d{{8}}')", f"({strip('email')} = '' OR regexp_full_match({strip('email')}, '{MAIL}'))"
 _SEX = f"{strip('gender')} IN ('M', 'F', 'Male', 'Female')"
-ORACLES["profile_customers"] = _measures(
-    _PROFILED,
-    [
-        ("Uniqueness", "unique_customer_id_pct", "round(CAST(count(DISTINCT customer_id) AS DECIMAL(20, 0)) * 100 / nullif(count(*), 0), 2)"),
-        *[("Completeness", f"present_{c}_pct", _pct(f"{strip(c)} <> ''")) for c in _FIELDS],
-        ("Completeness", "cells_pct", "round(CAST(" + " + ".join(f"count(*) FILTER ({strip(c)} <> '')" for c in _FIELDS) + " AS DECIMAL(20, 0)) * 100 / nullif(count(*) * 6, 0), 2)"),
-        ("Consistency", "phone_formats", "count(DISTINCT fmt)"),
-        ("Consistency", "date_formats", "count(DISTINCT nullif(ds, 'missing'))"),
-        ("Consistency", "iso_dates_pct", _pct("ds = '%Y-%m-%d'")),
-        ("Consistency", "district_labels", f"count(DISTINCT nullif({strip('district')}, ''))"),
-        ("Consistency", "gender_labels", f"count(DISTINCT nullif({strip('gender')}, ''))"),
-        ("Timeliness", "date_parseable_pct", _pct("dd IS NOT NULL")),
-        ("Timeliness", "not_in_future_pct", _pct("dd <= DATE '2026-10-05'")),
-        ("Timeliness", "last_four_years_pct", _pct("dd >= DATE '2026-10-05' - 1461 AND dd <= DATE '2026-10-05'")),
-        ("Accuracy", "district_official_pct", _pct("xs IN ('exact', 'exact_remapped')")),
-        ("Accuracy", "phone_plausible_pct", _pct("ps = 'valid'")),
-        ("Accuracy", "gender_canonical_pct", _pct(f"{strip('gender')} IN ('M', 'F', '')")),
-        ("Validity", "phone_e164_pct", _pct(_E164)),
-        ("Validity", "email_pct", _pct(_MAIL)),
-        ("Validity", "date_pct", _pct("dv <> ''")),
-        ("Validity", "date_strict_pct", _pct("dd IS NOT NULL")),
-        ("Validity", "gender_pct", _pct(_SEX)),
-        ("Validity", "composite_pct", _pct(f"{_E164} AND {_MAIL} AND dv <> '' AND {_SEX}")),
-    ],
+_CUSTOMER_MEASURES = [
+    ("Uniqueness", "unique_customer_id_pct", "round(CAST(count(DISTINCT customer_id) AS DECIMAL(20, 0)) * 100 / nullif(count(*), 0), 2)"),
+    *[("Completeness", f"present_{c}_pct", _pct(f"{strip(c)} <> ''")) for c in _FIELDS],
+    ("Completeness", "cells_pct", "round(CAST(" + " + ".join(f"count(*) FILTER ({strip(c)} <> '')" for c in _FIELDS) + " AS DECIMAL(20, 0)) * 100 / nullif(count(*) * 6, 0), 2)"),
+    ("Consistency", "phone_formats", "count(DISTINCT fmt)"),
+    ("Consistency", "date_formats", "count(DISTINCT nullif(ds, 'missing'))"),
+    ("Consistency", "iso_dates_pct", _pct("ds = '%Y-%m-%d'")),
+    ("Consistency", "district_labels", f"count(DISTINCT nullif({strip('district')}, ''))"),
+    ("Consistency", "gender_labels", f"count(DISTINCT nullif({strip('gender')}, ''))"),
+    ("Timeliness", "date_parseable_pct", _pct("dd IS NOT NULL")),
+    ("Timeliness", "not_in_future_pct", _pct("dd <= DATE '2026-10-05'")),
+    ("Timeliness", "last_four_years_pct", _pct("dd >= DATE '2026-10-05' - 1461 AND dd <= DATE '2026-10-05'")),
+    ("Accuracy", "district_official_pct", _pct("xs IN ('exact', 'exact_remapped')")),
+    ("Accuracy", "phone_plausible_pct", _pct("ps = 'valid'")),
+    ("Accuracy", "gender_canonical_pct", _pct(f"{strip('gender')} IN ('M', 'F', '')")),
+    ("Validity", "phone_e164_pct", _pct(_E164)),
+    ("Validity", "email_pct", _pct(_MAIL)),
+    ("Validity", "date_pct", _pct("dv <> ''")),
+    ("Validity", "date_strict_pct", _pct("dd IS NOT NULL")),
+    ("Validity", "gender_pct", _pct(_SEX)),
+    ("Validity", "composite_pct", _pct(f"{_E164} AND {_MAIL} AND dv <> '' AND {_SEX}")),
+    ("Uniqueness", "exact_duplicates_pct", "coalesce(round(CAST(count(*) FILTER (copies > 1) AS DECIMAL(20, 0)) * 100 / nullif(count(*), 0), 2), 0)"),
+    ("Consistency", "dominant_phone_format_pct", "coalesce(round(CAST(max(of_format) AS DECIMAL(20, 0)) * 100 / nullif(count(*), 0), 2), 0)"),
+]
+ORACLES["profile_customers"] = _measures(_profiled(plain(DIRTY_CUSTOMERS)), _CUSTOMER_MEASURES)
+ORACLES["compare_profiles"] = (
+    _cte(
+        **CUSTOMERS,
+        x=_profiled("SELECT * FROM d"),
+        y=_profiled("SELECT customer_id, full_name, phone_e164 AS phone_number, email, district, registration_date, gender FROM c"),
+        b=_values("x", _CUSTOMER_MEASURES),
+        a=_values("y", _CUSTOMER_MEASURES),
+        m="SELECT dimension, metric, b.value AS before, a.value AS after, round(a.value - b.value, 2) AS delta FROM b JOIN a USING (dimension, metric)",
+        g="SELECT *, CASE WHEN regexp_matches(metric, 'labels|formats|below_cost|currency|duplicate') THEN delta < 0 ELSE delta > 0 END AS better FROM m",
+    )
+    + """SELECT dimension, metric, before, after, delta, CASE WHEN metric LIKE '%below_cost%' THEN 'Flagged (manual)' WHEN metric LIKE '%four_years%' THEN 'Monitored'
+  WHEN metric LIKE '%sku%' AND delta = 0 THEN 'Flagged (stewardship)' WHEN delta = 0 THEN 'No change' WHEN NOT better AND abs(delta) < 0.5 AND metric LIKE '%_pct' THEN 'Stable' WHEN better THEN 'Improved' ELSE 'Regressed' END AS status FROM g"""
 )
-_UNIT_OK, _CATEGORY_OK = f"{strip('unit_of_measure')} IN {tuple(UNITS)}", f"{strip('category')} IN {tuple(CATEGORIES)}"
+_UNIT_OK, _CATEGORY_OK = f"{strip('unit_of_measure')} IN ('kg', 'pcs', 'liters')", f"{strip('category')} IN {OFFICIAL_CATEGORIES}"
 _SKU_OK = f"regexp_full_match({strip('sku')}, '[A-Z0-9]{{3,10}}')"
 ORACLES["profile_products"] = _measures(
-    f"SELECT *, {price('cost_ugx')[0]} AS cost, {price('selling_price_ugx')[0]} AS sell FROM ({plain(DIRTY_PRODUCTS)})",
+    f"SELECT *, {price('cost_ugx')[0]} AS cost, {price('selling_price_ugx')[0]} AS sell, count(*) OVER (PARTITION BY {strip('sku')}) AS of_sku, count(*) OVER (PARTITION BY sku, product_name, category, unit_of_measure, cost_ugx, selling_price_ugx) AS copies, min(product_name) OVER (PARTITION BY {strip('sku')}) AS least, max(product_name) OVER (PARTITION BY {strip('sku')}) AS most FROM ({plain(DIRTY_PRODUCTS)})",
     [
         ("Uniqueness", "product_id_present_pct", _pct(f"{strip('product_id')} NOT IN ('', 'nan')")),
         *[("Completeness", f"present_{c}_pct", _pct(f"{strip(c)} <> ''")) for c in ("sku", "product_name", "category", "unit_of_measure", "cost_ugx", "selling_price_ugx")],
@@ -271,5 +335,56 @@ ORACLES["profile_products"] = _measures(
         ("Validity", "category_pct", _pct(_CATEGORY_OK)),
         ("Validity", "sku_pct", _pct(_SKU_OK)),
         ("Validity", "composite_pct", _pct(f"{_UNIT_OK} AND {_CATEGORY_OK} AND {_SKU_OK} AND sell IS NOT NULL")),
+        ("Completeness", "cells_pct", "round(CAST(" + " + ".join(f"count(*) FILTER ({strip(c)} <> '')" for c in ("sku", "product_name", "category", "unit_of_measure", "cost_ugx", "selling_price_ugx")) + " AS DECIMAL(20, 0)) * 100 / nullif(count(*) * 6, 0), 2)"),
+        ("Uniqueness", "duplicate_sku_rows", f"count(*) FILTER (of_sku > 1 AND {strip('sku')} NOT IN ('', 'nan'))"),
+        ("Consistency", "sku_multi_name", f"count(DISTINCT CASE WHEN least <> most AND {strip('sku')} <> '' THEN {strip('sku')} END)"),
+        ("Uniqueness", "exact_duplicates_pct", _pct("copies > 1")),
     ],
 )
+
+_CHECKED = CUSTOMERS | SALES | {
+    "p": plain(DIRTY_PRODUCTS),
+    "pc": PRODUCTS_CLEAN,
+    "k": "SELECT *, CASE WHEN phone_status = 'valid' THEN min(customer_id) OVER (PARTITION BY phone_status, phone_e164) ELSE customer_id END AS cluster FROM c",
+    "r": "SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY (full_name <> '')::INT + (phone_e164 <> '')::INT + (email <> '')::INT + (district <> '')::INT + (registration_date <> '')::INT + (gender <> '')::INT DESC, CASE WHEN registration_date = '' THEN '9999-12-31' ELSE registration_date END, customer_id) AS n FROM k",
+    "golden": "SELECT * FROM r WHERE n = 1",
+}
+_LATE_DAY = "NOT coalesce(TRY_CAST(registration_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2026-10-05', false)"
+# Rule, severity, number of rows that fail.
+_RULES = [
+    ("VR-001", "high", "SELECT count(*) FROM c WHERE phone_status NOT IN ('valid', 'missing')"),
+    ("VR-002", "medium", "SELECT count(*) FROM c WHERE district_status = 'unresolved'"),
+    ("VR-003", "medium", f"SELECT count(*) FROM c WHERE NOT (email = '' OR regexp_full_match(email, '{MAIL}'))"),
+    ("VR-004", "critical", "SELECT count(*) FROM (SELECT customer_id, count(*) OVER (PARTITION BY customer_id) AS n FROM c) WHERE n > 1 OR customer_id = ''"),
+    ("VR-005", "high", f"SELECT count(*) FROM c WHERE {_LATE_DAY}"),
+    ("VR-006", "medium", "SELECT count(*) FROM c WHERE NOT (length(trim(full_name)) >= 2 AND regexp_full_match(full_name, '[A-Za-z .-]+'))"),
+    ("VR-007", "critical", "SELECT count(*) FROM (SELECT count(*) OVER (PARTITION BY phone_e164) AS times FROM golden WHERE phone_status = 'valid') WHERE times > 1"),
+    ("VR-008", "critical", "SELECT count(*) FROM pc WHERE lower(sku) IN ('', 'nan') OR duplicate_sku"),
+    ("VR-009", "high", "SELECT count(*) FROM pc WHERE unit_of_measure NOT IN ('kg', 'pcs', 'liters')"),
+    ("VR-010", "high", f"SELECT count(*) FROM pc WHERE category NOT IN {OFFICIAL_CATEGORIES}"),
+    ("VR-011", "medium", "SELECT count(*) FROM pc WHERE margin_anomaly"),
+    ("VR-012", "high", f"SELECT count(*) FROM parsed WHERE rule IS NULL AND payment_method IN {MOMO} AND payment_ref IN ('', 'nan', 'None', 'PENDING_RECON') AND reconciliation_status <> 'PENDING'"),
+]
+ORACLES["rule_violations"] = _cte(**_CHECKED) + " UNION ALL ".join(f"SELECT '{r}' AS rule, '{w}' AS severity, ({q}) AS violations" for r, w, q in _RULES)
+
+_SHARE = "coalesce(round(CAST(count(*) FILTER ({0}) AS DECIMAL(20, 0)) * 100 / nullif(count(*) FILTER ({1}), 0), 4), 100)"
+# Check, value, what raises an alert, what raises an incident.
+_MONITORED = [
+    ("DQC-01", "SELECT round(CAST((SELECT count(*) FROM c) - (SELECT count(*) FROM golden) AS DECIMAL(20, 0)) * 100 / (SELECT count(*) FROM c), 4)", "> 1", "> 2"),
+    ("DQC-02", "SELECT " + _SHARE.format("regexp_full_match(phone_e164, '\\+2567\\d{8}')", "phone_status <> 'missing'") + " FROM c", "< 99", ""),
+    ("DQC-03", "SELECT " + _SHARE.format("district_status NOT IN ('missing', 'unresolved')", "district_status <> 'missing'") + " FROM c", "< 99.5", ""),
+    ("DQC-03-label", "SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM c WHERE district_status = 'unresolved' GROUP BY district)", "> 50", ""),
+    ("DQC-04-phone", "SELECT " + _SHARE.format("phone_status <> 'missing'", "true") + " FROM c", "< 92", ""),
+    ("DQC-04-email", "SELECT " + _SHARE.format("email <> ''", "true") + " FROM c", "< 85", ""),
+    ("DQC-04-district", "SELECT " + _SHARE.format("district_status <> 'missing'", "true") + " FROM c", "< 99", ""),
+    ("DQC-05", "SELECT " + _SHARE.format(f"unit_of_measure IN ('kg', 'pcs', 'liters') AND category IN {OFFICIAL_CATEGORIES}", "true") + " FROM pc", "< 99", ""),
+    ("DQC-06", "SELECT count(*) FROM (SELECT sku FROM pc WHERE sku NOT IN ('', 'nan') AND product_id <> '' GROUP BY sku HAVING count(DISTINCT product_id) > 1)", "> 0", ""),
+    ("DQC-07", "SELECT round(CAST(count(*) FILTER (rule IS NOT NULL) AS DECIMAL(20, 0)) * 100 / count(*), 4) FROM parsed", "> 0.5", ""),
+    ("DQC-07-rows", "SELECT count(*) FILTER (rule IS NOT NULL) FROM parsed", "> 100", ""),
+    ("DQC-08", "SELECT count(*) FROM parsed WHERE rule IS NULL AND reconciliation_status = 'PENDING' AND sold_at < TIMESTAMP '2026-10-04 00:00:00'", "> 0", "> 50"),
+    ("DQC-09", f"SELECT count(*) FROM c WHERE {_LATE_DAY}", "> 0", ""),
+    ("DQC-10", "SELECT count(*) FROM pc WHERE margin_anomaly", "> 0", "> 25"),
+]
+ORACLES["monitoring"] = _cte(**_CHECKED) + " UNION ALL ".join(
+    f"SELECT '{k}' AS check_id, value, CASE {f"WHEN value {incident} THEN 'P1'" if incident else ''} WHEN value {alert} THEN 'ALERT' ELSE 'OK' END AS status FROM (SELECT CAST(({q}) AS DOUBLE) AS value)" for k, q, alert, incident in _MONITORED
+)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masking
 from ..functions import standardize as S
+from ..functions.reference_data import CATEGORIES, DISTRICTS
 from ..operators import analytics as A
 from ..operators import cleanse, cube, quality, resolve, sales, security, warehouse
 from ..streaming import footfall
@@ -25,10 +26,11 @@ def on_lines(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: report(sale_lines(spark, d))
 
 
-def standard(sql: str, keys: list[str], column: str, function) -> Query:
+def standard(sql: str, keys: list[str], column: str, function, near: tuple[list[str], float] | None = None) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = function(F.col(column))
-        return load(spark, d, sql).select(*keys, F.col(column).alias("raw"), out["value"].alias("value"), out["status"].alias("status"))
+        done = load(spark, d, sql).select(*keys, F.col(column).alias("raw"), out["value"].alias("value"), out["status"].alias("status"))
+        return cleanse.with_near_labels(done, "value", "status", *near) if near else done
 
     return run
 
@@ -62,13 +64,20 @@ def mask_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def load_checks(spark: SparkSession, d: str) -> DataFrame:
-    customers, products = warehouse.customer_dimension(clean_customers(spark, d)), warehouse.product_dimension(cleanse.split(clean_products(spark, d), "bad_key")[0])
-    return warehouse.load_checks(facts(spark, d)[0], customers, products, F.lit(1_000_000))
+    customers = warehouse.with_unknown_member(warehouse.customer_dimension(clean_customers(spark, d)), "customer_sk", full_name="Walk-in")
+    products = warehouse.product_dimension(cleanse.split(clean_products(spark, d), "bad_key")[0])
+    loaded, orphans = facts(spark, d)
+    staged = loaded.select("net_amount_ugx").unionAll(orphans.select(F.lit(0).cast("decimal(18,2)"))).agg(F.sum("net_amount_ugx"))
+    return warehouse.load_checks(loaded, customers, products, staged)
 
 
 def idempotent_load(spark: SparkSession, d: str) -> DataFrame:
-    own = facts(spark, d)[0]
-    return warehouse.replace_facts(own, own).agg(F.count(F.lit(1)).alias("n"), F.sum("net_amount_ugx").alias("total"))
+    """Two batches that overlap, the second loaded twice: amounts of the second count where both have a transaction."""
+    own = facts(spark, d)[0].select("sale_sk", "transaction_id", "net_amount_ugx")
+    first = own.where("sale_sk % 3 <> 0")
+    second = own.where("sale_sk % 3 <> 1").withColumn("net_amount_ugx", (F.col("net_amount_ugx") + 1).cast("decimal(18,2)"))
+    loaded = warehouse.replace_facts(warehouse.replace_facts(first, second), second)
+    return loaded.agg(F.count(F.lit(1)).alias("n"), F.sum("net_amount_ugx").alias("total"))
 
 
 def denormalised(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +94,26 @@ def survivors(spark: SparkSession, d: str) -> DataFrame:
     return resolve.survivors(clean_customers(spark, d), phone_clusters(spark, d)).select("cluster", "customer_id", "merged_customer_ids")
 
 
+def surviving(customers: DataFrame) -> DataFrame:
+    return resolve.survivors(customers, resolve.clusters(customers.select(F.col("customer_id").alias("id")), resolve.phone_edges(customers)))
+
+
+def rule_violations(spark: SparkSession, d: str) -> DataFrame:
+    own = clean_customers(spark, d)
+    return quality.catalogue_violations(own, clean_products(spark, d), parsed_sales(spark, d).where("rule is null"), surviving(own), TODAY)
+
+
+def monitoring(spark: SparkSession, d: str) -> DataFrame:
+    own = clean_customers(spark, d)
+    return quality.monitor(quality.measures(own, clean_products(spark, d), parsed_sales(spark, d), surviving(own), TODAY))
+
+
+def compare_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Customers before and after cleansing, by the same profile."""
+    after = clean_customers(spark, d).withColumn("phone_number", F.col("phone_e164"))
+    return quality.compare_profiles(quality.profile_customers(raw_customers(spark, d), TODAY), quality.profile_customers(after, TODAY))
+
+
 def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return resolve.fuzzy_pairs(clean_customers(spark, d).withColumn("full_name", F.regexp_replace("full_name", "[0-9]{5}$", "")))
 
@@ -123,10 +152,16 @@ def role_store_rows(spark: SparkSession, d: str) -> DataFrame:
     return security.secure(sale_lines(spark, d), "store_cashier", "sales", store="ST07").groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sensor_events(spark: SparkSession, d: str) -> DataFrame:
+    way = F.when(F.col("event_type") == "click", "in").otherwise("out")
+    zone = F.when(F.col("event_id") % 3 == 0, "aisle").when(way == "in", "entrance").otherwise("exit")
+    return table(spark, d, "events").select(
+        F.concat(F.lit("U"), (F.col("user_id") % 24).cast("string")).alias("store_id"), F.col("ts").cast("timestamp").alias("ts"), zone.alias("zone"), way.alias("direction"), (F.col("event_id") % 4).cast("int").alias("count"), (F.col("event_id") % 90).cast("int").alias("dwell_seconds")
+    )
+
+
 def footfall_windows(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "events").select(F.concat(F.lit("U"), (F.col("user_id") % 24).cast("string")).alias("store_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    w = own.groupBy("store_id", F.window("ts", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "click").alias("clicks"))
-    return w.select("store_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "events", "clicks")
+    return footfall.windows(sensor_events(spark, d)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 def distinct_events(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +180,8 @@ def trade_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_reference_windows(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "events").select(F.concat(F.lit("R"), (F.col("user_id") % 300).cast("string")).alias("payment_ref"), F.concat(F.lit("U"), (F.col("event_id") % 24).cast("string")).alias("store_id"))
-    return A.repeated_references(own).select("payment_ref", "stores")
+    own = table(spark, d, "events").select(F.concat(F.lit("R"), (F.col("user_id") % 300).cast("string")).alias("payment_ref"), F.concat(F.lit("U"), (F.col("event_id") % 24).cast("string")).alias("store_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return footfall.shared_references(own).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 def on_hand(spark: SparkSession, d: str) -> DataFrame:
@@ -178,18 +213,18 @@ QUERIES: dict[str, Query] = {
     "location_quotient": on_lines(A.location_quotient),
     "pending_ageing": on_lines(lambda s: A.pending_ageing(s, "1997-01-01")),
     "repeated_references": on_lines(A.repeated_references),
-    "unusual_amounts": on_lines(lambda s: A.unusual_amounts(s, 2.0)),
+    "unusual_amounts": on_lines(lambda s: A.unusual_amounts(s, 1.5)),
     "refund_days": on_lines(A.refund_days),
     "walk_in_high_value": on_lines(A.walk_in_high_value),
     "month_growth": on_lines(A.month_growth),
     "growth_decomposition": on_lines(A.growth_decomposition),
     "kpi_tree": on_lines(A.kpi_tree),
     "std_phone": standard(DIRTY_CUSTOMERS, ["customer_id"], "phone_number", S.phone),
-    "std_district": standard(DIRTY_CUSTOMERS, ["customer_id"], "district", S.district),
+    "std_district": standard(DIRTY_CUSTOMERS, ["customer_id"], "district", S.district, (DISTRICTS, cleanse.NEAR_DISTRICT)),
     "std_date": standard(DIRTY_CUSTOMERS, ["customer_id"], "registration_date", S.date),
     "std_gender": standard(DIRTY_CUSTOMERS, ["customer_id"], "gender", S.gender),
     "std_unit": standard(DIRTY_PRODUCTS, ["product_id", "product_name"], "unit_of_measure", S.unit),
-    "std_category": standard(DIRTY_PRODUCTS, ["product_id", "product_name"], "category", S.category),
+    "std_category": standard(DIRTY_PRODUCTS, ["product_id", "product_name"], "category", S.category, (list(CATEGORIES), cleanse.NEAR_CATEGORY)),
     "std_price": standard(DIRTY_PRODUCTS, ["product_id", "product_name"], "selling_price_ugx", S.price),
     "mask_all": mask_all,
     "cleanse_customers": lambda spark, d: clean_customers(spark, d).select(*CUSTOMER_COLUMNS),
@@ -200,8 +235,9 @@ QUERIES: dict[str, Query] = {
     "dominant_phone_format": lambda spark, d: quality.dominant_phone_format(raw_customers(spark, d)),
     "profile_customers": lambda spark, d: quality.profile_customers(raw_customers(spark, d), TODAY),
     "profile_products": lambda spark, d: quality.profile_products(load(spark, d, DIRTY_PRODUCTS)),
-    "rule_violations": lambda spark, d: quality.violations(clean_customers(spark, d), TODAY),
-    "rule_catalogue": lambda spark, d: quality.catalogue_violations(clean_customers(spark, d), clean_products(spark, d), parsed_sales(spark, d).where("rule is null"), resolve.survivors(clean_customers(spark, d), phone_clusters(spark, d)), TODAY),
+    "rule_violations": rule_violations,
+    "monitoring": monitoring,
+    "compare_profiles": compare_profiles,
     "parse_sales": lambda spark, d: parsed_sales(spark, d).where("rule is null").drop("raw"),
     "quarantine_summary": lambda spark, d: sales.quarantine_summary(sales.quarantined(parsed_sales(spark, d))),
     "fact_sales": lambda spark, d: facts(spark, d)[0].select("transaction_id", "sale_sk", "customer_sk", "product_sk", "quantity", "net_amount_ugx"),
