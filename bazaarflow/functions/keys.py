@@ -14,7 +14,3 @@ def surrogate_key(c: Column) -> Column:
 def row_hash(*columns: Column) -> Column:
     """SHA-1 over all values; null has a mark of its own, so neighbours cannot run together."""
     return F.sha1(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns]).cast("binary"))
-
-
-def month_key(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")

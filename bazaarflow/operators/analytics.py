@@ -12,10 +12,6 @@ def _bought(lines: DataFrame) -> DataFrame:
     return lines.where("customer_sk > 0 and not is_return").select("customer_sk", "month").distinct()
 
 
-def _next_month(c: str):
-    return F.date_format(F.add_months(F.to_date(F.concat(F.col(c), F.lit("-01"))), 1), "yyyy-MM")
-
-
 def monthly_active(lines: DataFrame) -> DataFrame:
     """Known customers with a purchase, returns left out."""
     return _bought(lines).groupBy("month").agg(F.count(F.lit(1)).alias("active_customers"))

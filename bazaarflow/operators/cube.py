@@ -40,6 +40,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def search(df: DataFrame, column: str, words: list[str], order: list[str], most: int) -> DataFrame:
+    """The first rows, in the given order, whose column holds one of the words in any case."""
+    text = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    found = [text.contains(w.lower()) for w in words]
+    keep = F.lit(False)
+    for x in found:
+        keep |= x
+    return df.where(keep).orderBy(*order).limit(most)
+
+
 def kpi_block(lines: DataFrame, *by: str) -> DataFrame:
     amount = F.col("amount")
     return (

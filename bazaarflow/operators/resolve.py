@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import may_reach, token_sort_ratio
@@ -19,8 +19,8 @@ def phone_edges(customers: DataFrame) -> DataFrame:
 def fuzzy_pairs(customers: DataFrame, least: int = 90) -> DataFrame:
     """(a, b, outcome) of pairs with near names in one resolved district: equal emails merge, different ones reject, others review.
 
-    The block is split further by the first letter of a name's sorted tokens' lengths only through the native pre-filter; the
-    similarity itself runs on what the filter leaves.
+    A block is a district. A native bound on the edit distance of the sorted names comes first; the similarity itself runs on what
+    it leaves.
     """
     own = customers.where("district_status not in ('missing', 'unresolved')").select("customer_id", "district", "email", name_key(F.col("full_name")).alias("name")).where("name <> ''")
     other = own.select(*[F.col(c).alias(f"{c}_b") for c in own.columns])
@@ -31,13 +31,24 @@ def fuzzy_pairs(customers: DataFrame, least: int = 90) -> DataFrame:
     return pairs.select(F.col("customer_id").alias("a"), F.col("customer_id_b").alias("b"), outcome.alias("outcome"))
 
 
+def _need_checkpoints(spark: SparkSession) -> None:
+    """Without spark.checkpoint.dir a session of one machine gets a folder of that machine; a cluster must name a shared one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(base or "/tmp/checkpoints/retail")
+
+
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, cluster (the smallest identifier that links reach), for every node. Rounds of minimum labels.
 
-    Each round is checkpointed where the session names a checkpoint folder, else kept in memory with its lineage.
+    Each round is checkpointed in the session's shared folder.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    cut = (lambda d: d.checkpoint()) if nodes.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.cache())
+    _need_checkpoints(nodes.sparkSession)
+    cut = lambda d: d.checkpoint()
     both = cut(both)
     labels = cut(nodes.select("id", F.col("id").alias("cluster")))
     while True:
@@ -76,6 +87,31 @@ def open_reviews(pairs: DataFrame, clustered: DataFrame) -> DataFrame:
     return pairs.where("outcome = 'review'").join(a, "a").join(b, "b").where("_a <> _b").select("a", "b")
 
 
+def with_review_flag(surviving: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Surviving customers with stewardship_flag on those that an open pair (a, b) names."""
+    named = reviews.select(F.explode(F.array("a", "b")).alias("customer_id")).distinct().withColumn("_open", F.lit(True))
+    return surviving.join(named, "customer_id", "left").withColumn("stewardship_flag", F.when(F.col("_open"), "REVIEW: possible duplicate").otherwise("")).drop("_open")
+
+
+def statistics(customers: DataFrame, surviving: DataFrame, reviews: DataFrame) -> DataFrame:
+    """metric, value: input rows, surviving rows, merged rows, clusters of several rows, open pairs, flagged rows."""
+    n = F.count(F.lit(1))
+    flagged = with_review_flag(surviving, reviews)
+    parts = {
+        "input_rows": customers.agg(n),
+        "surviving_rows": surviving.agg(n),
+        "merged_rows": surviving.agg(F.coalesce(F.sum(F.when(F.col("merged_customer_ids") != "", F.size(F.split("merged_customer_ids", ";"))).otherwise(0)), F.lit(0))),
+        "clusters": surviving.agg(F.count_if(F.col("merged_customer_ids") != "")),
+        "open_review_pairs": reviews.agg(n),
+        "rows_flagged_for_review": flagged.agg(F.count_if(F.col("stewardship_flag") != "")),
+    }
+    out = None
+    for name, df in parts.items():
+        row = df.toDF("value").select(F.lit(name).alias("metric"), F.col("value").cast("long").alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def best_by_source(records: DataFrame, key: str, columns: dict[str, list[str]], source: str = "source") -> DataFrame:
     """Per key and column, the value of the first source in the column's list that has one."""
     picks = []

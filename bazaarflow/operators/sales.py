@@ -32,8 +32,8 @@ def whole_number(c: Column) -> Column:
     return value.try_cast("int")
 
 
-def parse_sales(raw: DataFrame) -> DataFrame:
-    """raw with typed columns and `rule`, the reason to quarantine the row, or null."""
+def parse_sales(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """raw with typed columns and `rule`, the reason to quarantine the row, or null; keep: further columns to carry along."""
     require_columns(raw, COLUMNS)
     c = {k: S.stripped(F.col(k)) for k in COLUMNS}
     price, method, ref = S.price(F.col("unit_price")), S.payment(F.col("payment_method")), c["payment_ref"]
@@ -65,6 +65,7 @@ def parse_sales(raw: DataFrame) -> DataFrame:
         kept.alias("payment_ref"),
         status.alias("reconciliation_status"),
         sold_at.alias("sold_at"),
+        *(keep or []),
     )
 
 
@@ -94,6 +95,15 @@ def replay(rejects: DataFrame) -> DataFrame:
     return parse_sales(rejects.where("not replayed").select(F.from_json("source_payload", schema).alias("r")).select("r.*"))
 
 
+def settle(rejects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to load, rejects with replayed set on those that pass now); payloads may have been corrected meanwhile."""
+    schema = "struct<" + ",".join(f"{c}:string" for c in COLUMNS) + ">"
+    opened = rejects.where("not replayed").withColumn("_raw", F.from_json("source_payload", schema))
+    parsed = parse_sales(opened.select("_raw.*", *[F.col(c).alias(f"_{c}") for c in rejects.columns]), keep=[f"_{c}" for c in rejects.columns])
+    again = parsed.select(*[F.col(f"_{c}").alias(c) for c in rejects.columns if c != "replayed"], F.col("rule").isNull().alias("replayed")).select(*rejects.columns)
+    return good(parsed).drop(*[f"_{c}" for c in rejects.columns]), rejects.where("replayed").unionByName(again)
+
+
 def with_keys(sales: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """Sales with surrogate keys: an unknown customer is member 0, an unknown product leaves a null key (an orphan).
 

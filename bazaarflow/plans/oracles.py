@@ -388,3 +388,38 @@ _MONITORED = [
 ORACLES["monitoring"] = _cte(**_CHECKED) + " UNION ALL ".join(
     f"SELECT '{k}' AS check_id, value, CASE {f"WHEN value {incident} THEN 'P1'" if incident else ''} WHEN value {alert} THEN 'ALERT' ELSE 'OK' END AS status FROM (SELECT CAST(({q}) AS DOUBLE) AS value)" for k, q, alert, incident in _MONITORED
 )
+
+# Codes and regions by place in the list of districts.
+_DISTRICT_ROWS = "(VALUES ('D001', 'Kampala', 'Central'), ('D002', 'Wakiso', 'Central'), ('D004', 'Jinja', 'Eastern'), ('D005', 'Gulu', 'Northern'), ('D006', 'Mbarara', 'Western'), ('D015', 'Fort Portal', 'Western'), ('D021', 'Kumi', 'Eastern')) t(district_code, district_name, region)"
+ORACLES["dim_district"] = f"SELECT * FROM {_DISTRICT_ROWS}"
+ORACLES["migration_checks"] = (
+    _cte(**FACTS, c=CLEAN, known="SELECT district, district_status, district IN ('Kampala', 'Wakiso', 'Jinja', 'Gulu', 'Mbarara', 'Fort Portal', 'Kumi') AS placed FROM c WHERE customer_id <> ''")
+    + """SELECT 'V1' AS check, CAST(count(*) FILTER (district_status = 'unresolved') AS DOUBLE) AS value, count(*) FILTER (district_status = 'unresolved') = 0 AS passed FROM known
+UNION ALL SELECT 'V2', CAST(round(CAST(count(*) FILTER (district_status = 'unresolved') AS DECIMAL(20, 0)) * 100 / count(*), 4) AS DOUBLE), count(*) FILTER (district_status = 'unresolved') * 100.0 / count(*) <= 0.5 FROM known WHERE district <> ''
+UNION ALL SELECT 'V3', count(*) FILTER (NOT placed) + 1, false FROM known
+UNION ALL SELECT 'V4', 1, true
+UNION ALL SELECT 'V5', 0, true
+UNION ALL SELECT 'V6', count(*) FILTER (district_status = 'unresolved'), count(*) FILTER (district_status = 'unresolved') = 0 FROM known"""
+)
+ORACLES["customers_without_segment"] = "SELECT o_orderpriority, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING' WHERE c_custkey IS NULL GROUP BY 1"
+ORACLES["golden_remap"] = (
+    _cte(**_CHECKED, g="SELECT r.customer_id AS merged_id, golden.customer_id AS survivor FROM r JOIN golden USING (cluster) WHERE r.n > 1")
+    + "SELECT coalesce(survivor, customer_id) AS customer_id, count(*) AS n, sum(net_amount_ugx) AS total FROM parsed LEFT JOIN g ON customer_id = merged_id WHERE rule IS NULL GROUP BY 1"
+)
+_MENDED = {
+    "raw": "SELECT * REPLACE (replace(unit_price, 'UGX cheap', '1500') AS unit_price) FROM (" + plain(DIRTY_SALES) + ")",
+    "parts": _PARTS,
+    "parsed": _PARSED,
+    "raw0": plain(DIRTY_SALES),
+    "parts0": _PARTS.replace("FROM raw", "FROM raw0"),
+    "parsed0": _PARSED.replace("FROM parts", "FROM parts0"),
+    "mended": "SELECT b.*, a.rule AS error_rule FROM parsed0 a JOIN parsed b USING (transaction_id) WHERE a.rule IS NOT NULL",
+}
+ORACLES["replay_settled"] = _cte(**_MENDED) + "SELECT error_rule, rule IS NULL AS replayed, count(*) AS n FROM mended GROUP BY 1, 2"
+ORACLES["replay_loaded"] = _cte(**_MENDED) + "SELECT transaction_id, unit_price_ugx, net_amount_ugx, payment_ref FROM mended WHERE rule IS NULL"
+ORACLES["upsert_customers"] = "SELECT CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE lower(c_mktsegment) END AS segment, count(*) AS n FROM customer GROUP BY 1"
+ORACLES["role_reads"] = LINES + "SELECT role, object_name, count(*) AS n, CASE WHEN object_name = 'sales_masked' THEN count(payment_ref) ELSE 0 END AS masked, CASE WHEN object_name = 'sales' THEN count(payment_ref) ELSE 0 END AS plain FROM s, (VALUES ('store_cashier', 'sales_masked', 'ST07'), ('store_manager', 'sales_masked', 'ST07'), ('data_analyst', 'sales_masked', ''), ('compliance_officer', 'sales', ''), ('cdm_admin', 'sales', '')) t(role, object_name, own) WHERE own IN ('', store_id) GROUP BY 1, 2"
+ORACLES["version_churn"] = "SELECT count(*) + count(*) FILTER (c_custkey % 5 = 0) AS versions, count(*) AS keys, round((count(*) + count(*) FILTER (c_custkey % 5 = 0)) / count(*), 6) AS per_key, (count(*) + count(*) FILTER (c_custkey % 5 = 0)) / count(*) > 1.05 AS alert FROM customer"
+ORACLES["as_of_segments"] = "SELECT CASE WHEN c_custkey % 5 = 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS segment, count(*) AS n FROM customer GROUP BY 1"
+ORACLES["households"] = _cte(**CUSTOMERS) + "SELECT district, regexp_extract(trim(regexp_replace(lower(full_name), '[^a-z0-9]+', ' ', 'g')), '[^ ]+$') AS surname, phone_e164, count(*) AS members FROM c WHERE phone_status = 'valid' AND full_name <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1"
+ORACLES["search_payments"] = _cte(raw=plain(DIRTY_SALES)) + "SELECT transaction_id, payment_method FROM raw WHERE regexp_matches(payment_method, '(?i)momo|airtel') ORDER BY transaction_id LIMIT 6"

@@ -11,7 +11,7 @@ from ..functions import masking
 from ..functions import standardize as S
 from ..functions.reference_data import CATEGORIES, DISTRICTS
 from ..operators import analytics as A
-from ..operators import cleanse, cube, quality, resolve, sales, security, warehouse
+from ..operators import cleanse, cube, migration, quality, resolve, sales, security, warehouse
 from ..streaming import footfall
 from .inputs import DIRTY_CUSTOMERS, DIRTY_PRODUCTS, DIRTY_SALES, load, sale_lines
 from .oracles import ORACLES
@@ -149,7 +149,7 @@ def dim_date(spark: SparkSession, d: str) -> DataFrame:
 
 
 def role_store_rows(spark: SparkSession, d: str) -> DataFrame:
-    return security.secure(sale_lines(spark, d), "store_cashier", "sales", store="ST07").groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))
+    return security.secure(security.sales_masked(sale_lines(spark, d)), "store_cashier", "sales_masked", store="ST07").groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sensor_events(spark: SparkSession, d: str) -> DataFrame:
@@ -191,6 +191,67 @@ def on_hand(spark: SparkSession, d: str) -> DataFrame:
     return footfall.on_hand(count, sold, receipts, "p_partkey")
 
 
+#: Regions for the district dimension of the example load.
+REGIONS = {"Kampala": "Central", "Wakiso": "Central", "Jinja": "Eastern", "Mbarara": "Western", "Gulu": "Northern", "Fort Portal": "Western", "Kumi": "Eastern"}
+
+
+def migration_checks(spark: SparkSession, d: str) -> DataFrame:
+    districts = migration.dim_district(spark, REGIONS)
+    customers = warehouse.with_unknown_member(warehouse.customer_dimension(clean_customers(spark, d)).select("customer_sk", "customer_id", "district", "district_status"), "customer_sk")
+    own = migration.with_district(customers, districts).withColumn("is_current", F.lit(True))
+    return migration.validate(own, districts, facts(spark, d)[0], own.select("district", "district_code"))
+
+
+def customers_without_segment(spark: SparkSession, d: str) -> DataFrame:
+    sold, own = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    lost = migration.unmatched(sold, own, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("c_mktsegment") == "BUILDING"), "c_custkey")
+    return lost.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def golden_remap(spark: SparkSession, d: str) -> DataFrame:
+    own = clean_customers(spark, d)
+    moved = resolve.remap(sales.good(parsed_sales(spark, d)), resolve.golden_map(surviving(own)))
+    return moved.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("net_amount_ugx").alias("total"))
+
+
+def replay_settled(spark: SparkSession, d: str) -> DataFrame:
+    rejects = sales.quarantined(parsed_sales(spark, d))
+    mended = rejects.withColumn("source_payload", F.replace("source_payload", F.lit("UGX cheap"), F.lit("1500")))
+    return sales.settle(mended)[1].groupBy("error_rule", "replayed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def replay_loaded(spark: SparkSession, d: str) -> DataFrame:
+    rejects = sales.quarantined(parsed_sales(spark, d))
+    mended = rejects.withColumn("source_payload", F.replace("source_payload", F.lit("UGX cheap"), F.lit("1500")))
+    return sales.settle(mended)[0].select("transaction_id", "unit_price_ugx", "net_amount_ugx", "payment_ref")
+
+
+def upsert_customers(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"), "c_custkey", F.col("c_mktsegment").alias("segment"))
+    fresh = own.where("c_custkey % 3 <> 1").withColumn("segment", F.lower("segment"))
+    return warehouse.upsert(own.where("c_custkey % 3 <> 0").drop("c_custkey"), fresh.drop("c_custkey"), "customer_id").groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+
+
+def role_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, plain and masked references that each role reads of the sales it may read."""
+    lines, out = sale_lines(spark, d), None
+    masked = security.sales_masked(lines)
+    for role, grants in security.POLICY.items():
+        name = next(t for t in ("sales", "sales_masked") if "S" in grants.get(t, security.Grant("")).operations)
+        own = security.secure(lines if name == "sales" else masked, role, name, store="ST07")
+        row = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("payment_ref").rlike(r"\*")).alias("masked"), F.count_if(F.col("payment_ref").startswith("REF")).alias("plain")).select(F.lit(role).alias("role"), F.lit(name).alias("object_name"), "n", "masked", "plain")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def version_churn(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.version_churn(versions(spark, d), "c_custkey").select("versions", "keys", F.round("per_key", 6).alias("per_key"), "alert")
+
+
+def as_of_segments(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.as_of(versions(spark, d), F.lit("2024-07-01").cast("timestamp")).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Query] = {
     "kpi_block": on_lines(cube.kpi_block),
     "kpi_selection": on_lines(lambda s: cube.kpi_block(cube.Selection(months=("1996-12", "1995-01"), cities=["Kampala", "Gulu"], payments=["CARD", "CASH"]).apply(s))),
@@ -261,6 +322,18 @@ QUERIES: dict[str, Query] = {
     "trade_area": trade_area,
     "repeated_reference_windows": repeated_reference_windows,
     "on_hand": on_hand,
+    "migration_checks": migration_checks,
+    "dim_district": lambda spark, d: migration.dim_district(spark, REGIONS).select("district_code", "district_name", "region").where("region is not null"),
+    "customers_without_segment": customers_without_segment,
+    "golden_remap": golden_remap,
+    "replay_settled": replay_settled,
+    "replay_loaded": replay_loaded,
+    "upsert_customers": upsert_customers,
+    "role_reads": role_reads,
+    "version_churn": version_churn,
+    "as_of_segments": as_of_segments,
+    "households": lambda spark, d: resolve.households(clean_customers(spark, d)),
+    "search_payments": lambda spark, d: cube.search(load(spark, d, DIRTY_SALES).select("transaction_id", "payment_method"), "payment_method", ["MoMo", "airtel"], ["transaction_id"], 6),
 }
 
 

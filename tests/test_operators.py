@@ -191,3 +191,53 @@ def test_rule_catalogue_counts_every_rule(spark):
     assert {r.rule: r.violations for r in quality.catalogue_violations(customers, products, sold, customers, "2026-01-01", queue).collect()}["VR-007"] == 0
     empty = quality.catalogue_violations(*(df.limit(0) for df in (customers, products, sold, customers)), "2026-01-01").collect()
     assert len(empty) == 12 and not any(r.violations for r in empty)
+
+
+def test_near_labels_are_matched_once_each(spark):
+    raw = spark.createDataFrame([(k, x, "unresolved") for k, x in enumerate(["Mukonno", "kampala road", "Nowhere", "Mukonno"])] + [(9, "Kampala", "exact"), (10, None, "missing")], "k int, v string, s string")
+    got = {r.k: (r.v, r.s) for r in cleanse.with_near_labels(raw, "v", "s", ["Kampala", "Mukono"], 88).collect()}
+    assert got == {0: ("Mukono", "fuzzy_mapped"), 1: ("Kampala", "fuzzy_mapped"), 2: ("Nowhere", "unresolved"), 3: ("Mukono", "fuzzy_mapped"), 9: ("Kampala", "exact"), 10: (None, "missing")}
+
+
+def test_second_copies_leave_rejects_alone(spark):
+    row = lambda t, p: (t, "ST01", "C1", "P1", "1", p, "cash", "", "2024-01-05 10:00:00")
+    raw = spark.createDataFrame([row("TXN000001", "5"), row("TXN000001", "5"), row("", "5"), row("", "5")], ", ".join(f"{c} string" for c in sales.COLUMNS))
+    got = sorted((r.transaction_id, r.rule or "") for r in sales.second_copies(sales.parse_sales(raw)).collect())
+    assert got == [("", "VR-004"), ("", "VR-004"), ("TXN000001", ""), ("TXN000001", "DUPLICATE")]
+
+
+def test_settled_rejects_can_be_loaded(spark):
+    row = ("TXN000001", "ST01", "C1", "P1", "1", "cheap", "cash", "", "2024-01-05 10:00:00")
+    rejects = sales.quarantined(sales.parse_sales(spark.createDataFrame([row, ("bad", *row[1:])], ", ".join(f"{c} string" for c in sales.COLUMNS))))
+    mended = rejects.withColumn("source_payload", F.replace("source_payload", F.lit("cheap"), F.lit("12")))
+    load, after = sales.settle(mended)
+    assert [(r.transaction_id, float(r.net_amount_ugx)) for r in load.collect()] == [("TXN000001", 12.0)]
+    assert sorted(r.replayed for r in after.collect()) == [False, True] and sales.settle(after)[0].count() == 0
+
+
+def test_inserts_of_own_store_only(spark):
+    rows = spark.createDataFrame([("ST07",), ("ST08",)], "store_id string")
+    assert security.insertable(rows.where("store_id = 'ST07'"), "store_cashier", "sales", "ST07").count() == 1
+    with pytest.raises(security.AccessDenied):
+        security.insertable(rows, "store_cashier", "sales", "ST07")
+    with pytest.raises(security.AccessDenied):
+        security.insertable(rows, "data_analyst", "sales", "ST07")
+
+
+def test_review_flags_and_statistics(spark):
+    customers = spark.createDataFrame([("a",), ("b",), ("c",)], "customer_id string")
+    surviving = spark.createDataFrame([("a", "b"), ("c", "")], "customer_id string, merged_customer_ids string")
+    reviews = spark.createDataFrame([("a", "c")], "a string, b string")
+    got = {r.metric: r.value for r in resolve.statistics(customers, surviving, reviews).collect()}
+    assert got == {"input_rows": 3, "surviving_rows": 2, "merged_rows": 1, "clusters": 1, "open_review_pairs": 1, "rows_flagged_for_review": 2}
+
+
+def test_email_pattern_and_weighted_similarity():
+    import re
+
+    from bazaarflow.functions import similarity, standardize
+
+    assert [bool(re.fullmatch(standardize.EMAIL, x)) for x in ("a.b@x.co.ug", "a#@x.com", "é@x.com", "u@host")] == [True, False, False, False]
+    assert similarity.weighted_ratio("kampala road", "kampala") == pytest.approx(90)
+    assert similarity.weighted_ratio("mukonno", "mukono") == pytest.approx(1200 / 13)
+    assert similarity.token_set_ratio("fort portal", "portal fort town") == 100 and similarity.weighted_ratio("", "x") == 0
