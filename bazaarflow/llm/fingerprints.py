@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 K, S, PIECE, SIZE, BITS = 5, 2, 16, 64, 40
-#: Rows that a chunk of neighbouring identifiers should hold, and chunks at most.
-CHUNK, MAX_CHUNKS, FAN = 1000, 4096, 64
+#: Rows that a chunk of neighbouring identifiers should hold, ranges and chunks of a range at most, bounds looked at together.
+CHUNK, COARSE, FINE, FAN = 1000, 1024, 1024, 32
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -85,33 +87,46 @@ def compared(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumns({f"anchors_{out}": share(F.size(shifts)), f"placed_{out}": share(F.aggregate(shifts, none, longest)["best"])}).drop(every, firsts, shifts)
 
 
-def _chunked(df: DataFrame) -> tuple[DataFrame, list[int]]:
-    """df with a chunk number that falls with the identifier, by quantiles; null identifiers come last."""
+def _below(bounds: Column, x: Column) -> Column:
+    """Number of ascending bounds below x: first among every FAN-th, then among those between."""
+    size = F.size(bounds)
+    coarse = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((size - 1) / FAN), F.lit(0)).cast("int")), lambda k: F.get(bounds, k * FAN))
+    group = F.greatest(F.size(F.filter(coarse, lambda b: b < x)) - 1, F.lit(0)) * FAN
+    return F.when(size > 0, group + F.size(F.filter(F.slice(bounds, group + 1, F.lit(FAN)), lambda b: b < x))).otherwise(0)
+
+
+def _chunked(df: DataFrame) -> DataFrame:
+    """df with a chunk number that falls with the identifier; null identifiers come last.
+
+    Quantiles of all rows cut them into at most COARSE ranges, and quantiles of each range cut that into at most FINE chunks.
+    """
     n = df.count()
-    chunks = max(1, min(MAX_CHUNKS, -(-n // CHUNK)))
-    points = [k / chunks for k in range(1, chunks)]
-    bounds = (df.agg(F.percentile_approx("doc_id", points, 100 * chunks)).first()[0] or []) if points else []
-    bounds = sorted(set(bounds))
-    top = len(bounds)
-    below = lambda array, x: F.size(F.filter(array, lambda b: b < x))
-    if not bounds:
-        number = F.lit(0)
-    else:  # first among every FAN-th bound, then among those between
-        coarse = F.array(*[F.lit(b) for b in bounds[::FAN]])
-        fine = F.array(*[F.lit(b) for b in bounds])
-        group = F.greatest(below(coarse, F.col("doc_id")) - 1, F.lit(0)) * FAN
-        number = F.lit(top) - (group + below(F.slice(fine, group + 1, F.lit(FAN)), F.col("doc_id")))
-    return df.withColumn("chunk", F.when(F.col("doc_id").isNull(), F.lit(top + 1)).otherwise(number)), bounds
+    chunks = max(1, -(-n // CHUNK))
+    coarse = min(COARSE, chunks)
+    fine = min(FINE, -(-chunks // coarse))
+    points = lambda k: [i / k for i in range(1, k)]
+    bounds = sorted(set((df.agg(F.percentile_approx("doc_id", points(coarse), 100 * coarse)).first()[0] or []) if coarse > 1 else []))  # fewer than COARSE numbers
+    none = F.col("doc_id").isNull()
+    every = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    ranged = df.withColumn("range", F.when(none, F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - _below(every, F.col("doc_id"))))
+    if fine == 1:
+        return ranged.withColumnRenamed("range", "chunk")
+    cuts = F.array_distinct(F.coalesce(F.percentile_approx("doc_id", points(fine), 100 * fine), F.array().cast("array<bigint>")))
+    inner = materialize(ranged.groupBy("range").agg(cuts.alias("bounds")))  # approximate, so read and never made twice
+    met = ranged.join(F.broadcast(inner), "range")  # at most COARSE + 1 rows of FINE numbers
+    place = F.when(none, F.lit(0)).otherwise(F.size("bounds") - _below(F.col("bounds"), F.col("doc_id")))
+    return met.withColumn("chunk", (F.col("range") * FINE + place).cast("int")).drop("range", "bounds")
 
 
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     """df (doc_id, mark and columns) with next_<column> of the row that follows by falling identifier; the first follows the last."""
-    numbered, _ = _chunked(df)
+    numbered = _chunked(df)
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), -F.col("mark").cast("decimal(20,0)"))
-    firsts = numbered.groupBy("chunk").agg(F.max(place).alias("place"), F.max_by(F.struct("doc_id", "mark"), place).alias("first"))
-    rows = sorted(firsts.select("chunk", "first.*").collect())  # one per chunk, at most MAX_CHUNKS
-    table = [(c, i, m, rows[k - 1][0]) for k, (c, i, m) in enumerate(rows)]
-    heads = df.sparkSession.createDataFrame(table, "chunk int, first_id bigint, first_mark bigint, before int")
+    firsts = numbered.groupBy("chunk").agg(F.max_by(F.struct("doc_id", "mark"), place).alias("first"))
+    # one row per chunk, COARSE * FINE at most
+    around = Window.orderBy("chunk")
+    last = F.last("chunk").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = firsts.select("chunk", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.coalesce(F.lag("chunk").over(around), last).alias("before"))
     known = numbered.join(F.broadcast(heads), "chunk")
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
     # a chunk's first row also stands, as a follower, at the end of the chunk before
