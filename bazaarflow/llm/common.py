@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Used only where a session of one machine names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/bazaarflow"
@@ -59,6 +60,18 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
     return [next(x for x in (f"__{w}{k or ''}" for k in itertools.count()) if x not in taken) for w in wanted]
 
 
+def map_whole(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) whatever the columns are called; run finds them by place."""
+    plain = [f"c{k}" for k in range(len(schema))]
+    fields = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(plain, schema, strict=True)])
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield batch.rename_columns(plain)
+
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(renamed, fields).toDF(*schema.names)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

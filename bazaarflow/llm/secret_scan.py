@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize
+from .common import free_names, map_whole, materialize
 from .textkernel import LOWER, texts
 
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -179,10 +179,11 @@ def redact(docs: DataFrame, repo: Column | None = None, owner: Column | None = N
     spans = find_secrets(scanned, F.col("repo"), F.col("owner"))
     hits = spans.where("spans <> ''").groupBy(F.col("doc_id").alias(key)).agg(F.first("spans").alias(hit))
 
+    at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, chars = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
-            marks = batch.column(batch.schema.get_field_index(hit))
+            marks = batch.column(batch.num_columns - 1)
             text_, n = batch.column(at), None
             if marks.null_count < len(marks):
                 new = text_.to_pylist()
@@ -201,4 +202,4 @@ def redact(docs: DataFrame, repo: Column | None = None, owner: Column | None = N
             columns = [text_ if k == at else pa.array(n, c.type) if k == chars and n else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns[:-1], batch.schema.names[:-1])
 
-    return keyed.join(hits, key, "left").select(*columns, hit).mapInArrow(cut, docs.schema)
+    return keyed.join(hits, key, "left").select(*columns, hit).transform(map_whole, cut, docs.schema)

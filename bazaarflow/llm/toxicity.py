@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import fold, map_whole, materialize
 from .labelled import MAX_FIT, adam, sigmoid, training_texts
 from .textkernel import LOWER, MASKS, mix, texts, word_hashes
 
@@ -257,11 +257,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int =
     """docs without the rows that score at the threshold or above; all columns stay. source: the labelled texts, if not docs."""
     model = fit(docs if source is None else source, labels, "toxic", fold(F.col("_id"), modulus) == held)
 
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, j, b, off in texts(batch.column(batch.schema.get_field_index("text"))):
+            for i, j, b, off in texts(batch.column(at)):
                 keep[i:j] = model.scores(b, off) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole(docs, run, docs.schema)

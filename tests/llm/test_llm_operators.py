@@ -64,6 +64,25 @@ def test_exact_duplicates(spark):
     assert exact_dedup.exact_duplicates(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_exact_duplicates_keep_clashing_columns_and_merge_in_rounds(spark):
+    rows = [(1, "A b"), (2, "a B"), (2, "a B"), (3, None), (4, "")]
+    names = ("_keep", "_proof", "_nth", "__id", "__nth", "digest", "run", "a.b")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({c: F.lit(c) for c in names})
+    got = exact_dedup.drop_exact_duplicates(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [2, 4]
+    assert {tuple(r[2:]) for r in got.collect()} == {names}
+    near = jaccard_join.drop_near_duplicates(docs.withColumns({c: F.lit(c) for c in ("__keep", "__one", "__text")}))
+    assert near.columns[-3:] == ["__keep", "__one", "__text"] and sorted(r.doc_id for r in near.collect()) == [1, 3, 4]
+    masked = secret_scan.redact(docs.withColumn("text", F.lit("password = hunter22x")))
+    assert masked.columns == docs.columns and {r.text for r in masked.collect()} == {"[secret]"}
+    leaves = exact_dedup.leaves(exact_dedup._digests(docs, 8), "max")
+    plan = exact_dedup.merge_tree(leaves, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") >= 3 and plan.count("Sort [run") >= 3  # three rounds of eight runs
+    for keep, want in (("max", 2), ("min", 1)):
+        tops = exact_dedup.merge_tree(exact_dedup.leaves(exact_dedup._digests(docs, 8), keep), 8, keep, fan_in=4).collect()
+        assert sorted((r.keep_id, r.group_size) for r in tops) == [(want, 3), ({"max": 4, "min": 3}[keep], 2)]
+
+
 def near_brute(rows):
     sets = []
     for _, t in rows:
@@ -204,8 +223,9 @@ def sketch_brute(text):
     return sorted({x & (1 << 40) - 1 for x in anchors})[:64]
 
 
-@pytest.mark.parametrize("chunk", [1000, 3])
-def test_fingerprints(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "coarse"), [(1000, 1024), (3, 1024), (3, 2)])
+def test_fingerprints(spark, monkeypatch, chunk, coarse):
+    monkeypatch.setattr(fingerprints, "COARSE", coarse)
     monkeypatch.setattr(fingerprints, "CHUNK", chunk)
     rows = ODD + families(2, [6, 40, 300])
     order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), spark_hash([x[1]])))
@@ -286,6 +306,27 @@ def test_packing_keeps_every_token_and_pads_nothing(spark):
     assert packing.pack(frame(spark, rows).limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_packer_takes_the_level_of_the_least_sum_of_squares():
+    rng, packer = random.Random(9), packing.Packer(32)
+    fills: list[int] = []  # of open sequences
+    for k in range(600):
+        size = rng.choice([1, 2, 3, 5, 8, 13, 21, 30])
+        squares = lambda own: sum(n * n for n in Counter(own).values())
+
+        def after(level):
+            own = list(fills)
+            if level:
+                own.remove(level)
+            return own + [level + size] if level + size < 32 else own
+
+        levels = [0, *sorted({f for f in fills if f + size <= 32})]
+        best = min(squares(after(level)) for level in levels)
+        ties = [level for level in levels if squares(after(level)) == best]
+        packer.place(((k, size), 0, np.zeros(size, np.uint32)))
+        fills = after(max(ties))  # of equal ones the fullest
+        assert Counter(fills) == {level: int(n) for level, n in enumerate(packer.levels) if n}
+
+
 def test_packer_levels_count_open_sequences():
     packer, rng = packing.Packer(64), random.Random(0)
     closed = [x for k in range(400) if (x := packer.place(((k, 1), 0, np.arange(rng.randrange(1, 65)))))]
@@ -344,6 +385,37 @@ def test_secret_scan(spark):
     assert secret_scan.find_secrets(df.limit(0), **where).count() == 0
 
 
+def test_further_candidates_and_ownership_equal_brute_force(spark):
+    rng, alphabet = random.Random(3), "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"
+    values = ["".join(rng.choice(alphabet) for _ in range(28)) + "7a8" for _ in range(90)]
+    rows = []
+    for k in range(150):
+        value = values[min(int(rng.expovariate(0.3)), 89)]
+        rows.append((k, f"see {value} and {rng.choice(values)} there", f"repo{rng.randrange(5)}", f"owner{rng.randrange(4)}" if value != values[0] else "owner0"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    held = defaultdict(set)
+    for _, text, repo, owner in rows:
+        for a, _, z, value, live in secret_scan.further_spans(text, secret_scan.base_spans(text)):
+            held[value].add((repo, owner))
+    want = {}
+    for d, text, _, _ in rows:
+        spans = [(a, r, z) for a, r, z, v, live in secret_scan.further_spans(text, []) if live and len({o for _, o in held[v]}) <= 2 and len({x for x, _ in held[v]}) <= 3]
+        want[d] = ",".join(f"{secret_scan.KINDS[r]}:{a}:{z}" for a, r, z in sorted(spans))
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs, F.col("source"), F.col("lang")).collect()}
+    assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_further_spans_never_overlap():
+    rng = random.Random(6)
+    for _ in range(60):
+        text = " ".join(rng.choice(["token=Abc123Def456Ghi789Jkl012", "ghp_" + "a1B2" * 10, "Zx9Qw8Er7Ty6Ui5Op4As3D", "plain words", "deadbeef" * 4, "AKIA" + "Q1" * 10]) for _ in range(8))
+        base = secret_scan.base_spans(text)
+        taken = [(a, z) for a, _, z in base]
+        for a, _, z, _, _ in secret_scan.further_spans(text, base):
+            assert not any(a < y and x < z for x, y in taken)
+            taken.append((a, z))
+
+
 def labelled(spark, make, n=400):
     rng = random.Random(7)
     rows, marks = [], []
@@ -509,6 +581,30 @@ def test_language_id(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_bit_sliced_filters_equal_sets(spark):
+    """Without false positives the counts are those of plain sets of n-grams; the query takes the largest."""
+    from bazaarflow.llm.textkernel import buffers
+
+    rng = random.Random(2)
+    words = {x: ["".join(rng.choice(c) for _ in range(rng.randrange(1, 8))) for _ in range(80)] for x, c in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "uvwxy"))}
+    rows = [(k, " ".join(rng.choice(words[x]) for _ in range(30)), x) for k, x in enumerate(["aa", "bb", "cc"] * 30)] + [(None, "x" * 40_000, "aa"), (7, rows_text := "same same", "bb"), (7, rows_text, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = language_id.fit(docs, F.lit(False))
+    known = defaultdict(Counter)
+    for _, text, lang in rows:
+        h, _ = language_id.grams(*buffers(pa.array([text])))
+        known[lang].update(h.tolist())
+    rate = lambda x, g: known[x][g] / sum(n for n in known[x].values() if n > 1) if known[x][g] > 1 else 0.0
+    keep = {x: {g for g in known[x] if rate(x, g) and rate(x, g) >= language_id.USUAL * max(rate(y, g) for y in known)} for x in known}
+    counts = own.counts(*buffers(pa.array([t for _, t, _ in rows])))
+    for k, (_, text, _) in enumerate(rows):
+        h, _ = language_id.grams(*buffers(pa.array([text])))
+        for j, x in enumerate(own.languages):
+            assert abs(counts[k, j] - sum(g in keep[x] for g in h.tolist())) <= 1 + 0.01 * len(h)
+    got = language_id.identify(docs).collect()
+    assert len(got) == len(rows) and len({(r.lang_pred, r.score) for r in got if r.doc_id == 7 and r.held_out is not None}) <= 2
+
+
 def test_language_id_of_very_short_texts(spark):
     rng = random.Random(3)
     words = {"xx": ["hola", "no", "y", "casa"], "yy": ["und", "im", "ü", "haus"]}
