@@ -147,6 +147,15 @@ def swapped(b: np.ndarray, off: np.ndarray, keys: np.ndarray, has: np.ndarray, w
                     yield (has[to] & ~kept).astype(np.int8) - (has[a] & ~kept).astype(np.int8)
 
 
+def swap_slope(w: np.ndarray, line: np.ndarray, moved: np.ndarray, sign: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Slope at w of the squared score changes of all swaps, each weighed by its strength.
+
+    line, moved, sign: which swap moves which feature in which direction.
+    """
+    moves = 2 * strength * np.bincount(line, sign * w[moved], len(strength))
+    return np.bincount(moved, sign * moves[line], len(w))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers of texts of label 1 and 0 that have each feature."""
     for batch in batches:
@@ -226,8 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_fi
         error = sigmoid(bias + np.bincount(row, w[which], len(y))) - y
         g = np.bincount(which, error[row], len(w)) + RIDGE * len(y) / 100 * (w - prior)
         if len(line):
-            moves = 2 * strength * np.bincount(line, sign * w[moved], len(strength))
-            g += np.bincount(moved, sign * moves[line], len(w))
+            g += swap_slope(w, line, moved, sign, strength)
         return np.append(g, error.sum()) / len(y)
 
     x = adam(slope, np.append(prior, model.bias), 300, 0.05)

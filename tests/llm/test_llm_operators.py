@@ -480,7 +480,19 @@ def test_toxicity_moves_no_score_when_a_term_is_swapped(spark):
     swapped = [f"w1 w2 the {t} family bakes bread w3" for t in toxicity.IDENTITY[2]]
     scores = model.scores(*buffers(pa.array(swapped)))
     logits = np.log(scores / (1 - scores))
-    assert np.ptp(logits) < 0.5 and (scores < 0.5).all()
+    assert np.ptp(logits) < 0.5 and np.ptp(scores) < 0.05 and (scores < 0.5).all()
+    empty, share = model.scores(*buffers(pa.array(["", None, " ., "]))), model.share
+    assert np.allclose(empty, share) and 0.2 < share < 0.3
+
+
+def test_swap_slope_equals_differences_of_the_penalty():
+    rng = np.random.default_rng(1)
+    change, strength, w = rng.integers(-1, 2, (7, 9)), rng.random(7) * 5, rng.normal(size=9)
+    loss = lambda v: (strength * (change @ v) ** 2).sum()
+    line, moved = np.nonzero(change)
+    got = toxicity.swap_slope(w, line, moved, change[line, moved].astype(float), strength)
+    step = 1e-6
+    assert np.allclose(got, [(loss(w + step * e) - loss(w - step * e)) / (2 * step) for e in np.eye(9)], atol=1e-5)
 
 
 def test_swaps_equal_the_features_of_written_copies():
@@ -551,6 +563,24 @@ def test_chain_sums_add_up_over_pieces():
     assert np.allclose(whole, np.sum(parts, axis=0))
 
 
+def test_quality_scores_weigh_each_documents_lines_by_length():
+    from bazaarflow.llm.textkernel import buffers
+
+    rng = np.random.default_rng(3)
+    texts = ["Plain words here.\nMore of them, in a row.\n\n1234 ### | $$\n", "", "one", "A b c\n" * 70, None]
+    model = quality.Model(rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2)), 3.0, -0.5, 0.4)
+    want = []
+    for t in texts:
+        x, size, first = quality.lines(*buffers(pa.array([t or ""])))
+        if not len(size):
+            want.append(0.4)
+            continue
+        assert size.tolist() == [len(w.strip()) for w in t.split("\n") if w.strip()]
+        good, _ = quality.forward_backward(x @ model.weights, np.array([0, len(size)]), model.turn)
+        want.append(1 / (1 + np.exp(-(3.0 * ((good * size).sum() / size.sum() - 0.5) - 0.5))))
+    assert np.allclose(model.scores(*buffers(pa.array(texts))), want)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     unary, turn = rng.normal(size=5), rng.normal(size=(2, 2))
@@ -645,3 +675,23 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("doc_id = 502").first().text.startswith("[secret]")
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == seen[3]
+
+
+def test_pipeline_stages_take_odd_input(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(d, t, "en", f"s{k % 2}", 1, "x") for k, (d, t) in enumerate(ODD)] + [(20, "long " * 60_000, "en", None, None, None), (21, "vileword " * 9, None, "s1", 2, "y")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.__keep` string")
+    odd.drop("a.__keep").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, int(k == 21)) for k in (1, 3, 4, 5, 6, 7, 20, 21)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd.columns and stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.schema(odd.schema).parquet(str(tmp_path / name))
+    left = docs.collect()
+    assert len([r for r in left if not (r.text or "").strip()]) == 2  # "" with null, and the blanks
+    assert sum(r.doc_id == 20 for r in left) == 1 and sum((r.text or "").lower() == "a b" for r in left) == 1 and sum(r.text == "q w e r t y" for r in left) == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len({(r.doc_id, r.doc_tokens) for r in packed}) >= len(left) - 2 and corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), str(tmp_path)).count() == 0
