@@ -24,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .textkernel import P_INVERSE, P, mix, texts, word_hashes
 
@@ -281,3 +282,81 @@ def encode_decode(docs: DataFrame, model: str, kind: str = "bpe", with_ids: bool
 
     schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
+
+
+def piece_table(spark: SparkSession, model: str) -> DataFrame:
+    """piece, id, score of a model, as many rows as its vocabulary has."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=model)
+    rows = [(own.id_to_piece(k).replace("▁", " "), k, float(own.get_score(k))) for k in range(own.vocab_size()) if not (own.is_byte(k) or own.is_control(k) or own.is_unknown(k))]
+    return spark.createDataFrame(rows, "piece string, id int, score double")
+
+
+def relational_units(units: DataFrame, pieces: DataFrame, longest: int, kind: str = "bpe") -> DataFrame:
+    """unit, spans (first and last character and id of each piece; a null id where a character has none) for distinct units.
+
+    The lattice as relations: substrings up to the longest piece are exploded, joined to the piece table, grouped by unit and
+    folded by a higher-order aggregate, Viterbi for a unigram model, best merges first for a byte-pair model.
+    """
+    starts = units.select("unit", F.length("unit").alias("n"), F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("a"))
+    subs = starts.select("unit", "n", "a", F.explode(F.sequence(F.col("a"), F.least(F.col("n"), F.col("a") + longest - 1))).alias("z")).withColumn("piece", F.substring("unit", F.col("a"), F.col("z") - F.col("a") + 1))
+    met = subs.join(F.broadcast(pieces), "piece", "left")  # a vocabulary has a fixed size
+    edge = F.struct("z", "a", "score", "id")
+    lattice = met.where("id is not null or a = z").groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    worst = F.lit(-1e9)
+    if kind == "unigram":
+        state = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("a"), F.lit(None).cast("int").alias("id")))
+
+        def step(acc: Column, e: Column) -> Column:
+            worth = F.get(acc, e["a"] - 1)["best"] + F.coalesce(e["score"], worst)
+            here = F.struct(worth.alias("best"), e["a"].alias("a"), e["id"].alias("id"))
+            known = F.get(acc, e["z"])
+            return F.when(known.isNull(), F.array_append(acc, here)).when(worth > known["best"], F.concat(F.slice(acc, F.lit(1), e["z"]), F.array(here))).otherwise(acc)
+
+        folded = lattice.withColumn("nodes", F.aggregate("edges", state, step))
+        none = F.struct(F.col("n").alias("at"), F.array().cast("array<struct<a:int,z:int,id:int>>").alias("spans"))
+
+        def back(acc: Column, _: Column) -> Column:
+            node = F.get(F.col("nodes"), acc["at"])
+            span = F.struct(node["a"].alias("a"), acc["at"].alias("z"), node["id"].alias("id"))
+            return F.when(acc["at"] == 0, acc).otherwise(F.struct((node["a"] - 1).alias("at"), F.concat(F.array(span), acc["spans"]).alias("spans")))
+
+        return folded.select("unit", F.aggregate(F.sequence(F.lit(1), F.col("n")), none, back)["spans"].alias("spans"))
+    table = F.map_from_entries(F.transform("edges", lambda e: F.struct((e["a"] * 100_000 + e["z"]).alias("k"), F.struct(e["score"].alias("score"), e["id"].alias("id")).alias("v"))))
+    found = lattice.withColumn("table", table)
+    look = lambda a, z: F.try_element_at(F.col("table"), a * 100_000 + z)
+
+    def merge(cuts: Column, _: Column) -> Column:
+        """cuts: last characters of the segments, 0 in front; the best pair of neighbours, of equal ones the leftmost, loses the cut between them."""
+        spots = F.when(F.size(cuts) > 2, F.sequence(F.lit(1), F.size(cuts) - 2)).otherwise(F.array().cast("array<int>"))
+        best = F.array_max(F.transform(spots, lambda i: F.when(look(F.get(cuts, i - 1) + 1, F.get(cuts, i + 1))["id"].isNotNull(), F.struct(look(F.get(cuts, i - 1) + 1, F.get(cuts, i + 1))["score"].alias("score"), (-i).alias("i")))))
+        return F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda c, k: k != -best["i"]))
+
+    cuts = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.sequence(F.lit(0), F.col("n")), merge)
+    span = lambda z, k: F.struct((F.get(F.col("cuts"), k - 1) + 1).alias("a"), z.alias("z"), look(F.get(F.col("cuts"), k - 1) + 1, z)["id"].alias("id"))
+    return found.withColumn("cuts", cuts).select("unit", F.filter(F.transform("cuts", span), lambda x: x["a"].isNotNull()).alias("spans"))
+
+
+def encode_relational(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
+    """doc_id, ids for every row of docs that has text, by joins over distinct units; the form that the README measures.
+
+    Other rows, equal identifiers and U+2581 are treated as in encode_decode.
+    """
+    import sentencepiece
+
+    own, pieces = sentencepiece.SentencePieceProcessor(model_file=model), piece_table(docs.sparkSession, model)
+    longest = pieces.agg(F.max(F.length("piece"))).first()[0]
+    by_byte = F.array(*[F.lit(own.piece_to_id(f"<0x{k:02X}>")) for k in range(256)])
+    text = F.concat(F.lit(" "), F.replace("text", F.lit("▁"), F.lit(" ")))
+    occurrences = docs.where("text <> ''").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.regexp_extract_all(text, F.lit(r"\n| *[^ \n]+| +"), F.lit(0))).alias("pos", "unit"))
+    spans = relational_units(occurrences.select("unit").distinct(), pieces, longest, kind)
+
+    def ids(x: Column) -> Column:
+        raw = F.hex(F.encode(F.substring(F.col("unit"), x["a"], F.lit(1)), "utf-8"))
+        byte = lambda k: F.get(by_byte, F.conv(F.substring(raw, k * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+        return F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(F.transform(F.sequence(F.lit(1), (F.length(raw) / 2).cast("int")), byte))
+
+    coded = spans.select("unit", F.flatten(F.transform("spans", ids)).alias("ids"))
+    met = occurrences.join(coded, "unit").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    return met.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))

@@ -349,6 +349,18 @@ def test_sentencepieces_match_the_library_and_round_trip(spark):
     assert sentencepieces.encode_decode(frame(spark, rows).limit(0), tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_relational_lattice_gives_the_same_ids(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    texts = ["The quick brown fox  jumps\nover  déjà vu", " a", "x\n\n y  ", "日本 ÿ☃ ok", "mississippi banana", "e" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(9, None), (10, "")], "doc_id long, text string")
+    want = {r.doc_id: r.ids for r in sentencepieces.encode_decode(docs, path).collect() if r.ids}
+    assert {r.doc_id: r.ids for r in sentencepieces.encode_relational(docs, path).collect()} == want
+    pieces = spark.createDataFrame([("ab", 1, -1.0), ("abc", 2, -5.0), ("c", 3, -1.0), ("a", 4, -0.9), ("b", 5, -0.9)], "piece string, id int, score double")
+    units = spark.createDataFrame([("abc",), ("cab",), ("xab",)], "unit string")
+    got = {r.unit: [(x.a, x.z, x.id) for x in r.spans] for r in sentencepieces.relational_units(units, pieces, 3, "unigram").collect()}
+    assert got == {"abc": [(1, 2, 1), (3, 3, 3)], "cab": [(1, 1, 3), (2, 3, 1)], "xab": [(1, 1, None), (2, 3, 1)]}
+
+
 def test_viterbi_fold_takes_the_best_path():
     scores = np.array([-1.0, -1.0, -1.0, -1.5, -5.0])
     edges = np.full((3, 3), -1, np.int32)
