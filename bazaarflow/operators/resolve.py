@@ -126,3 +126,16 @@ def households(customers: DataFrame) -> DataFrame:
     last = F.element_at(F.split(name_key(F.col("full_name")), " "), -1)
     own = customers.where("phone_status = 'valid' and full_name <> ''").groupBy("district", last.alias("surname"), "phone_e164").agg(F.count(F.lit(1)).alias("members"))
     return own.where("members > 1")
+
+
+def household_scores(customers: DataFrame, activity: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+    """households() with at least one member active in the last days, and a score from 0 to 1; activity: customer_id, last_day.
+
+    Chosen weights: 0.5 for the shared keys, 0.1 for each member beyond two up to 0.3, 0.2 for the share of active members.
+    """
+    last = F.element_at(F.split(name_key(F.col("full_name")), " "), -1)
+    own = customers.where("phone_status = 'valid' and full_name <> ''").select("customer_id", "district", last.alias("surname"), "phone_e164")
+    recent = activity.where(F.datediff(F.lit(as_of).cast("date"), F.to_date("last_day")).between(0, days)).select("customer_id", F.lit(1).alias("_a")).distinct()
+    met = own.join(recent, "customer_id", "left").groupBy("district", "surname", "phone_e164").agg(F.count(F.lit(1)).alias("members"), F.count("_a").alias("active"))
+    score = 0.5 + F.least((F.col("members") - 2) * 0.1, F.lit(0.3)) + 0.2 * F.col("active") / F.col("members")
+    return met.where("members > 1 and active > 0").withColumn("score", F.round(score, 4))

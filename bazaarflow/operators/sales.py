@@ -80,13 +80,15 @@ def good(parsed: DataFrame) -> DataFrame:
     return parsed.where("rule is null").drop("rule", "raw")
 
 
-def quarantined(parsed: DataFrame, entity: str = "sales", run_id: str = "") -> DataFrame:
-    """The rejects with their raw row as JSON, ready to be replayed."""
-    return parsed.where("rule is not null").select(F.lit(run_id).alias("run_id"), F.lit(entity).alias("entity"), F.col("rule").alias("error_rule"), F.to_json("raw", {"ignoreNullFields": "false"}).alias("source_payload"), F.lit(False).alias("replayed"))
+def quarantined(parsed: DataFrame, entity: str = "sales", run_id: str = "", at: str | None = None) -> DataFrame:
+    """The rejects with their raw row as JSON, ready to be replayed; at: the time of the run."""
+    return parsed.where("rule is not null").select(F.lit(run_id).alias("run_id"), F.lit(entity).alias("entity"), F.col("rule").alias("error_rule"), F.to_json("raw", {"ignoreNullFields": "false"}).alias("source_payload"), F.lit(False).alias("replayed"), F.lit(at).cast("timestamp").alias("quarantined_at"))
 
 
 def quarantine_summary(rejects: DataFrame) -> DataFrame:
-    return rejects.where("not replayed").groupBy("entity", "error_rule").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+    """Open rejects by entity and rule, with the first and last time they were seen."""
+    seen = F.col("quarantined_at")
+    return rejects.where("not replayed").groupBy("entity", "error_rule").agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen")).orderBy(F.desc("n"))
 
 
 def replay(rejects: DataFrame) -> DataFrame:

@@ -71,3 +71,17 @@ def matrix(df_spark) -> DataFrame:
     """role, object_name, operations: the whole policy as a table."""
     rows = [(r, t, g.operations) for r, own in POLICY.items() for t, g in own.items()]
     return df_spark.createDataFrame(rows, "role string, object_name string, operations string")
+
+
+def audited(rows: DataFrame, role: str, table: str, log: str, at: str, user: str, store: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """secure(), with one row appended to the Parquet log for the attempt, allowed or denied."""
+    spark, out, denied = rows.sparkSession, None, None
+    try:
+        out = secure(rows, role, table, store, columns)
+    except AccessDenied as e:
+        denied = e
+    entry = [(at, user, role, table, "S", ",".join(columns or []), denied is None)]
+    spark.createDataFrame(entry, "event_time string, app_user string, role string, table_name string, operation string, columns string, allowed boolean").coalesce(1).write.mode("append").parquet(log)
+    if denied:
+        raise denied
+    return out

@@ -135,3 +135,8 @@ def single_writer(path: str) -> Iterator[None]:
 def run_record(spark: SparkSession, run_id: str, status: str, read: int, loaded: int, rejected: int, total: str, detail: str = "") -> DataFrame:
     schema = "run_id string, status string, rows_read long, rows_loaded long, rows_quarantined long, control_total string, error_detail string"
     return spark.createDataFrame([(run_id, status, read, loaded, rejected, total, detail)], schema).withColumn("finished_at", F.current_timestamp())
+
+
+def latest_run(log: DataFrame) -> DataFrame:
+    """The last successful run of a log of run_record() rows."""
+    return log.where("status = 'SUCCESS'").orderBy(F.desc("finished_at"), F.desc("run_id")).limit(1)

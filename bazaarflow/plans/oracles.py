@@ -201,7 +201,7 @@ ORACLES: dict[str, str] = {
     )
     + "SELECT format, CAST(round(CAST(n AS DECIMAL(20, 0)) * 100 / total, 2) AS DOUBLE) AS share_pct FROM (SELECT format, count(*) AS n, sum(count(*)) OVER () AS total FROM f GROUP BY 1) WHERE format <> 'missing' ORDER BY n DESC, format DESC LIMIT 1",
     "parse_sales": _cte(**SALES) + "SELECT * FROM parsed WHERE rule IS NULL",
-    "quarantine_summary": _cte(**SALES) + "SELECT 'sales' AS entity, rule AS error_rule, count(*) AS n FROM parsed WHERE rule IS NOT NULL GROUP BY 2",
+    "quarantine_summary": _cte(**SALES) + "SELECT 'sales' AS entity, rule AS error_rule, count(*) AS n, '2026-10-05 02:00:00' AS first_seen, '2026-10-05 02:00:00' AS last_seen FROM parsed WHERE rule IS NOT NULL GROUP BY 2",
     "fact_sales": _cte(**FACTS) + "SELECT transaction_id, sale_sk, customer_sk, product_sk, quantity, net_amount_ugx FROM f WHERE product_sk IS NOT NULL",
     "product_orphans": _cte(**FACTS) + "SELECT transaction_id, product_id FROM f WHERE product_sk IS NULL",
     "load_checks": _cte(
@@ -423,3 +423,75 @@ ORACLES["version_churn"] = "SELECT count(*) + count(*) FILTER (c_custkey % 5 = 0
 ORACLES["as_of_segments"] = "SELECT CASE WHEN c_custkey % 5 = 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS segment, count(*) AS n FROM customer GROUP BY 1"
 ORACLES["households"] = _cte(**CUSTOMERS) + "SELECT district, regexp_extract(trim(regexp_replace(lower(full_name), '[^a-z0-9]+', ' ', 'g')), '[^ ]+$') AS surname, phone_e164, count(*) AS members FROM c WHERE phone_status = 'valid' AND full_name <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1"
 ORACLES["search_payments"] = _cte(raw=plain(DIRTY_SALES)) + "SELECT transaction_id, payment_method FROM raw WHERE regexp_matches(payment_method, '(?i)momo|airtel') ORDER BY transaction_id LIMIT 6"
+
+_M = FIRST_MONTH.format("month")
+ORACLES["cohort_segments"] = LINES + f""", b AS (SELECT * FROM s WHERE customer_sk > 0 AND NOT is_return),
+f AS (SELECT customer_sk, city, CASE WHEN store_id = 'ECOM01' THEN 'online' ELSE 'store' END AS channel, month AS cohort FROM b QUALIFY row_number() OVER (PARTITION BY customer_sk ORDER BY sold_at, o_orderkey, store_id) = 1),
+m AS (SELECT DISTINCT customer_sk, month FROM b)
+SELECT cohort, city, channel, {_M} - ({FIRST_MONTH.format("cohort")}) AS age, count(*) AS customers FROM m JOIN f USING (customer_sk) GROUP BY ALL"""
+ORACLES["growth_drivers"] = LINES + f""", b AS (SELECT customer_sk, {_M} AS m, sum(amount) AS rev, count(*) AS k, sum(quantity) AS u FROM s WHERE customer_sk > 0 AND NOT is_return GROUP BY 1, 2),
+months AS (SELECT DISTINCT m FROM b WHERE m > (SELECT min(m) FROM b)),
+new AS (SELECT m, sum(rev) AS v FROM b WHERE NOT EXISTS (SELECT 1 FROM b e WHERE e.customer_sk = b.customer_sk AND e.m < b.m) GROUP BY 1),
+back AS (SELECT m, sum(rev) AS v FROM b WHERE EXISTS (SELECT 1 FROM b e WHERE e.customer_sk = b.customer_sk AND e.m < b.m - 1) AND NOT EXISTS (SELECT 1 FROM b e WHERE e.customer_sk = b.customer_sk AND e.m = b.m - 1) GROUP BY 1),
+lost AS (SELECT m + 1 AS m, -sum(rev) AS v FROM b WHERE NOT EXISTS (SELECT 1 FROM b e WHERE e.customer_sk = b.customer_sk AND e.m = b.m + 1) GROUP BY 1),
+st AS (SELECT b.m, CAST(sum(b.rev) AS DOUBLE) AS r1, CAST(sum(b.k) AS DOUBLE) AS k1, CAST(sum(b.u) AS DOUBLE) AS u1, CAST(sum(e.rev) AS DOUBLE) AS r0, CAST(sum(e.k) AS DOUBLE) AS k0, CAST(sum(e.u) AS DOUBLE) AS u0 FROM b JOIN b e ON e.customer_sk = b.customer_sk AND e.m = b.m - 1 GROUP BY 1)
+SELECT printf('%04d-%02d', (months.m - 1) // 12, (months.m - 1) % 12 + 1) AS month, coalesce(new.v, 0) AS by_new, coalesce(back.v, 0) AS by_back, coalesce(lost.v, 0) AS by_lost,
+  round(coalesce((k1 - k0) * (r0 / k0), 0), 2) AS by_frequency, round(coalesce((u1 - k1 * (u0 / k0)) * (r0 / u0), 0), 2) AS by_basket, round(coalesce(r1 - u1 * (r0 / u0), 0), 2) AS by_price_mix
+FROM months LEFT JOIN new USING (m) LEFT JOIN back USING (m) LEFT JOIN lost USING (m) LEFT JOIN st USING (m)"""
+ORACLES["pending_register"] = LINES + f"SELECT CAST(CAST(sold_at AS DATE) AS VARCHAR) AS day, store_id, count(*) AS line_count, sum(amount) AS value, count(*) FILTER (sold_at < TIMESTAMP '1998-08-01' - INTERVAL 48 HOUR) AS escalated FROM s WHERE payment_ref IS NULL AND payment_method IN {MOMO} AND sold_at <= TIMESTAMP '1998-08-01' GROUP BY 1, 2"
+ORACLES["rounding_clusters"] = LINES + "SELECT store_id, payment_method, count(*) FILTER (amount % 5 = 0) AS round_lines, count(*) AS line_count, round(count(*) FILTER (amount % 5 = 0) / count(*), 6) AS share FROM s GROUP BY 1, 2 HAVING round(count(*) FILTER (amount % 5 = 0) / count(*), 6) >= 0.001"
+ORACLES["kpi_targets"] = LINES + f""", b AS (SELECT DISTINCT customer_sk, month FROM s WHERE customer_sk > 0 AND NOT is_return), o AS (SELECT * FROM s WHERE month = '1997-03'),
+v AS (SELECT 'new_customers' AS measure, CAST(count(*) AS DOUBLE) AS value FROM (SELECT customer_sk FROM b GROUP BY 1 HAVING min(month) = '1997-03')
+UNION ALL SELECT 'churn', round(1 - count(*) FILTER (customer_sk IN (SELECT customer_sk FROM b WHERE month = '1997-04')) / count(*), 6) FROM b WHERE month = '1997-03'
+UNION ALL SELECT 'pending_share', round(count(*) FILTER (payment_ref IS NULL) / count(*), 6) FROM o WHERE payment_method IN {MOMO}
+UNION ALL SELECT 'walk_in_revenue_share', round(CAST(sum(CASE WHEN customer_sk = 0 THEN amount END) AS DOUBLE) / CAST(sum(amount) AS DOUBLE), 6) FROM o)
+SELECT measure, value, CAST(CASE measure WHEN 'new_customers' THEN 600 WHEN 'churn' THEN 0.5 WHEN 'pending_share' THEN 0.005 ELSE 0.03 END AS DOUBLE) AS target,
+  CASE measure WHEN 'new_customers' THEN value >= 600 WHEN 'churn' THEN value <= 0.5 WHEN 'pending_share' THEN value < 0.005 ELSE value < 0.03 END AS met FROM v"""
+ORACLES["delivery_zones"] = LINES + f""", d AS ({plain(DIRTY_CUSTOMERS)}), c AS ({CLEAN}), h AS (SELECT CAST(substr(customer_id, 5) AS BIGINT) - 100000 AS customer_sk, CASE district WHEN 'Kampala' THEN 'Central' WHEN 'Wakiso' THEN 'Central' WHEN 'Jinja' THEN 'Eastern' WHEN 'Kumi' THEN 'Eastern' WHEN 'Mbarara' THEN 'Western' WHEN 'Fort Portal' THEN 'Western' WHEN 'Gulu' THEN 'Northern' END AS region FROM c)
+SELECT coalesce(region, 'unassigned') AS zone, sum(amount) AS revenue, count(DISTINCT customer_sk) AS customers FROM s LEFT JOIN h USING (customer_sk) WHERE customer_sk > 0 GROUP BY 1"""
+ORACLES["stock_variance"] = """WITH p AS (SELECT p_partkey, CAST(p_size AS BIGINT) + 100 AS b, CAST(p_size AS BIGINT) + 100 - p_partkey % 7 AS n, CAST(p_retailprice AS DECIMAL(12, 2)) AS c FROM part WHERE p_partkey % 6 <> 0),
+w AS (SELECT 'returns' AS step, sum(CAST(l_quantity AS INT)) AS units, sum(CAST(l_quantity AS INT) * c) AS value FROM lineitem JOIN p ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_orderkey % 50 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'unit of measure', sum(-3), sum(-3 * c) FROM p WHERE p_partkey % 11 = 0 HAVING count(*) > 0)
+SELECT 'book' AS step, CAST(sum(b) AS BIGINT) AS units, CAST(sum(b * c) AS DECIMAL(24, 4)) AS value FROM p UNION ALL SELECT 'physical', CAST(sum(n) AS BIGINT), CAST(sum(n * c) AS DECIMAL(24, 4)) FROM p
+UNION ALL SELECT step, CAST(units AS BIGINT), CAST(value AS DECIMAL(24, 4)) FROM w
+UNION ALL SELECT 'unexplained', CAST((SELECT sum(n) - sum(b) FROM p) - (SELECT sum(units) FROM w) AS BIGINT), CAST((SELECT sum(n * c) - sum(b * c) FROM p) - (SELECT sum(value) FROM w) AS DECIMAL(24, 4))"""
+ORACLES["demand_potential"] = """WITH n AS (SELECT c_nationkey, CASE WHEN c_nationkey > 0 THEN count(*) * greatest(avg(c_acctbal), 0) / (c_nationkey * 5.0) ELSE 0 END AS v FROM customer GROUP BY 1)
+SELECT c_nationkey, round(CAST(v AS DOUBLE), 4) AS potential, round(v / (SELECT sum(v) FROM n), 6) AS share FROM n"""
+ORACLES["household_scores"] = _cte(**CUSTOMERS) + """, a AS (SELECT DISTINCT 'CUST' || CAST(o_custkey + 100000 AS VARCHAR) AS customer_id FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-01') BETWEEN 0 AND 90),
+h AS (SELECT district, regexp_extract(trim(regexp_replace(lower(full_name), '[^a-z0-9]+', ' ', 'g')), '[^ ]+$') AS surname, phone_e164, count(*) AS members, count(a.customer_id) AS active FROM c LEFT JOIN a USING (customer_id) WHERE phone_status = 'valid' AND full_name <> '' GROUP BY 1, 2, 3)
+SELECT *, round(CAST(0.5 AS DOUBLE) + least((members - 2) * CAST(0.1 AS DOUBLE), CAST(0.3 AS DOUBLE)) + CAST(0.2 AS DOUBLE) * active / members, 4) AS score FROM h WHERE members > 1 AND active > 0"""
+ORACLES["event_contract"] = """WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 17 = 0 THEN event_id - 500 ELSE event_id END AS q FROM events),
+t AS (SELECT *, max(q) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e)
+SELECT CASE WHEN event_id % 13 = 0 THEN 'NULL_COUNT' WHEN event_id % 19 = 0 OR event_id % 23 = 0 THEN 'QUALITY' WHEN q < top THEN 'NOT_MONOTONIC' END AS reason, count(*) AS n FROM t GROUP BY 1"""
+
+
+def _drawn(salt: str, below: int, row: str = "id") -> str:
+    return f"CAST(('0x' || substr(md5('20261005-{salt}-' || CAST({row} AS VARCHAR)), 1, 8)) AS BIGINT) % {below}"
+
+
+_TRUTH = {
+    "customers": ("(SELECT range AS id, CASE WHEN range >= 3850 THEN " + _drawn("copied", 3850, "range") + " ELSE range END AS src FROM range(5000))", {"duplicate_rows": "id >= 3850", "exact_copies": f"id >= 3850 AND {_drawn('copy', 100)} < 30", "fuzzy_name_variants": f"id >= 3850 AND {_drawn('copy', 100)} BETWEEN 30 AND 69", "phone_variants": f"id >= 3850 AND {_drawn('copy', 100)} >= 70", "null_phone": _drawn("no phone", 100, "src") + " < 10", "null_email": _drawn("no email", 100, "src") + " < 6", "null_gender": _drawn("no gender", 100, "src") + " < 15"}),
+    "products": ("(SELECT range AS id FROM range(1200))", {"null_key_rows": _drawn("no key", 100) + " < 3", "duplicate_sku_rows": f"id >= 10 AND {_drawn('sku', 100)} < 6", "currency_string_price": _drawn("currency", 100) + " < 4", "price_below_cost": _drawn("margin", 100) + " < 5"}),
+    "sales": ("(SELECT range AS id FROM range(10000))", {"negative_qty_rows": _drawn("return", 100) + " < 5", "null_payment_ref_rows": _drawn("no ref", 1000) + " < 113", "currency_string_unit_price": _drawn("sale currency", 1000) + " < 67", "blank_customer_rows": _drawn("walk-in", 100) + " < 8", "slash_timestamps": _drawn("style", 100) + " < 15"}),
+}
+ORACLES["injection_truth"] = " UNION ALL ".join(f"SELECT '{e}' AS entity, '{k}' AS defect, count(*) AS n FROM {rows} WHERE {test}" for e, (rows, tests) in _TRUTH.items() for k, test in ({"rows": "true"} | tests).items())
+_RULE = "SELECT '{}' AS table_name, '{}' AS column_name, '{}' AS kind, CAST(coalesce(({}), 0) AS BIGINT) AS n"
+_BROKEN = [
+    ("dim_customer", "customer_sk", "unique", "0"),
+    ("dim_product", "product_sk", "unique", "SELECT count(*) FROM (SELECT product_id FROM pc WHERE NOT bad_key AND product_id <> '' GROUP BY 1 HAVING count(*) > 1)"),
+    ("dim_product", "unit_of_measure", "within", "SELECT count(*) FROM pc WHERE NOT bad_key AND product_id <> '' AND (unit_of_measure IS NULL OR unit_of_measure NOT IN ('kg', 'pcs', 'liters'))"),
+    ("dim_store", "store_bk", "unique", "0"),
+    ("dim_store", "store_type", "within", "0"),
+    ("dim_date", "calendar_date", "unique", "0"),
+    ("dim_payment_method", "payment_bk", "unique", "0"),
+    ("dim_payment_method", "channel", "within", "0"),
+    ("fact_sales", "transaction_id", "unique", "SELECT count(*) FROM (SELECT transaction_id FROM own GROUP BY 1 HAVING count(*) > 1)"),
+    ("fact_sales", "transaction_id", "present", "0"),
+    ("fact_sales", "reconciliation_status", "within", "SELECT count(*) FROM own WHERE reconciliation_status NOT IN ('MATCHED', 'PENDING', 'MISSING', 'NOT_REQUIRED')"),
+    ("fact_sales", "store_sk", "known", "SELECT count(*) FROM own WHERE store_id = 'UNKNOWN_STORE'"),
+    ("fact_sales", "customer_sk", "known", "0"),
+    ("fact_sales", "product_sk", "known", "0"),
+    ("fact_sales", "date_sk", "known", "SELECT count(*) FROM own WHERE CAST(sold_at AS DATE) NOT BETWEEN DATE '2024-01-01' AND DATE '2024-07-31'"),
+    ("fact_sales", "payment_sk", "known", "0"),
+]
+ORACLES["star_constraints"] = _cte(**FACTS, pc=PRODUCTS_CLEAN, own="SELECT * FROM f WHERE product_sk IS NOT NULL") + " UNION ALL ".join(_RULE.format(*r) for r in _BROKEN)

@@ -11,7 +11,9 @@ from ..functions import masking
 from ..functions import standardize as S
 from ..functions.reference_data import CATEGORIES, DISTRICTS
 from ..operators import analytics as A
-from ..operators import cleanse, cube, migration, quality, resolve, sales, security, warehouse
+from ..functions.keys import surrogate_key
+from ..operators import board, cleanse, cube, migration, quality, resolve, sales, security, star, warehouse
+from ..sources import generate
 from ..streaming import footfall
 from .inputs import DIRTY_CUSTOMERS, DIRTY_PRODUCTS, DIRTY_SALES, load, sale_lines
 from .oracles import ORACLES
@@ -252,6 +254,75 @@ def as_of_segments(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.as_of(versions(spark, d), F.lit("2024-07-01").cast("timestamp")).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
 
 
+def delivery_zones(spark: SparkSession, d: str) -> DataFrame:
+    homes = clean_customers(spark, d).select((F.substring("customer_id", 5, 12).cast("bigint") - 100_000).alias("customer_sk"), "district")
+    return board.delivery_zones(sale_lines(spark, d), homes, migration.dim_district(spark, REGIONS))
+
+
+def stock_variance(spark: SparkSession, d: str) -> DataFrame:
+    """Book stock of the parts, counts of five in six of them, and returns and wrong units as causes."""
+    parts = table(spark, d, "part").selectExpr("p_partkey", "cast(p_size as bigint) + 100 as quantity", "cast(p_retailprice as decimal(12, 2)) as unit_cost")
+    counted = parts.where("p_partkey % 6 <> 0").selectExpr("p_partkey", "quantity - p_partkey % 7 as quantity")
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_orderkey % 50 = 0").selectExpr("l_partkey as p_partkey", "'returns' as cause", "cast(cast(l_quantity as int) as bigint) as quantity")
+    units = parts.where("p_partkey % 11 = 0").selectExpr("p_partkey", "'unit of measure' as cause", "-cast(3 as bigint) as quantity")
+    return board.stock_variance(parts, counted, returned.unionByName(units), "p_partkey")
+
+
+def demand_potential(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as places: customers as population, mean balance as purchasing power, a travel time by key."""
+    own = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).cast("double").alias("population"), F.avg("c_acctbal").alias("purchasing"))
+    return board.demand_potential(own.withColumn("travel_minutes", F.col("c_nationkey") * 5.0), "c_nationkey")
+
+
+def household_scores(spark: SparkSession, d: str) -> DataFrame:
+    active = table(spark, d, "orders").select(F.concat(F.lit("CUST"), (F.col("o_custkey") + 100_000).cast("string")).alias("customer_id"), F.col("o_orderdate").alias("last_day"))
+    return resolve.household_scores(clean_customers(spark, d), active, "1998-08-01")
+
+
+def event_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Reasons to refuse events: users as sensors, numbers that run back now and then."""
+    events = table(spark, d, "events").selectExpr("event_id", "user_id as sensor_id", "ts", "case when event_id % 17 = 0 then event_id - 500 else event_id end as edge_seq", "case when event_id % 13 = 0 then null else 1 end as count", "case when event_id % 19 = 0 then 'suspect' when event_id % 23 = 0 then null else 'ok' end as quality")
+    return footfall.with_reason(events).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def injection_truth(spark: SparkSession, d: str) -> DataFrame:
+    """What the generator injected into 5,000 customers, 1,200 products and 10,000 sales."""
+    made = {"customers": generate.customers(spark, 5000, 1150), "products": generate.products(spark, 1200), "sales": generate.sales(spark, 10_000, 5000, 1200)}
+    first, *rest = [generate.truth(k, v) for k, v in made.items()]
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+def star_constraints(spark: SparkSession, d: str) -> DataFrame:
+    """Constraints of the star schema over the example load; its stores lack the unknown one, its dates end in July."""
+    sold = facts(spark, d)[0]
+    stores = spark.range(24).select(F.when(F.col("id") == 0, "ECOM01").otherwise(F.concat(F.lit("ST"), F.lpad(F.col("id").cast("string"), 2, "0"))).alias("store_bk"))
+    stores = stores.select(surrogate_key(F.col("store_bk")).alias("store_sk"), "store_bk", F.when(F.col("store_bk") == "ECOM01", "ECOMMERCE").otherwise("PHYSICAL").alias("store_type"))
+    payments = spark.createDataFrame([("MTN_MOMO", "MOBILE_MONEY"), ("AIRTEL_MOMO", "MOBILE_MONEY"), ("CARD", "CARD"), ("CASH", "CASH")], "payment_bk string, channel string")
+    products = warehouse.product_dimension(cleanse.split(clean_products(spark, d), "bad_key")[0]).select("product_sk", "unit_of_measure")
+    customers = warehouse.with_unknown_member(warehouse.customer_dimension(clean_customers(spark, d)).select("customer_sk"), "customer_sk")
+    keys = {"store_sk": surrogate_key(F.col("store_id")), "payment_sk": surrogate_key(F.col("payment_method")), "date_sk": F.date_format("sold_at", "yyyyMMdd"), "event_ts": F.col("sold_at")}
+    return star.violations(
+        {
+            "dim_customer": customers,
+            "dim_product": products,
+            "dim_store": stores,
+            "dim_date": warehouse.dim_date(spark, "2024-01-01", "2024-07-31"),
+            "dim_payment_method": payments.withColumn("payment_sk", surrogate_key(F.col("payment_bk"))),
+            "fact_sales": star.conform(sold, "fact_sales", **keys),
+        }
+    )
+
+
+RUN_AT = "2026-10-05 02:00:00"
+
+
+def quarantine_summary(spark: SparkSession, d: str) -> DataFrame:
+    rejects = sales.quarantined(parsed_sales(spark, d), at=RUN_AT)
+    return sales.quarantine_summary(rejects).withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_seen")})
+
+
 QUERIES: dict[str, Query] = {
     "kpi_block": on_lines(cube.kpi_block),
     "kpi_selection": on_lines(lambda s: cube.kpi_block(cube.Selection(months=("1996-12", "1995-01"), cities=["Kampala", "Gulu"], payments=["CARD", "CASH"]).apply(s))),
@@ -300,7 +371,7 @@ QUERIES: dict[str, Query] = {
     "monitoring": monitoring,
     "compare_profiles": compare_profiles,
     "parse_sales": lambda spark, d: parsed_sales(spark, d).where("rule is null").drop("raw"),
-    "quarantine_summary": lambda spark, d: sales.quarantine_summary(sales.quarantined(parsed_sales(spark, d))),
+    "quarantine_summary": quarantine_summary,
     "fact_sales": lambda spark, d: facts(spark, d)[0].select("transaction_id", "sale_sk", "customer_sk", "product_sk", "quantity", "net_amount_ugx"),
     "product_orphans": lambda spark, d: facts(spark, d)[1].select("transaction_id", "product_id"),
     "load_checks": load_checks,
@@ -334,6 +405,18 @@ QUERIES: dict[str, Query] = {
     "as_of_segments": as_of_segments,
     "households": lambda spark, d: resolve.households(clean_customers(spark, d)),
     "search_payments": lambda spark, d: cube.search(load(spark, d, DIRTY_SALES).select("transaction_id", "payment_method"), "payment_method", ["MoMo", "airtel"], ["transaction_id"], 6),
+    "cohort_segments": on_lines(board.cohort_segments),
+    "growth_drivers": on_lines(board.growth_drivers),
+    "pending_register": on_lines(lambda s: board.pending_register(s, "1998-08-01")),
+    "rounding_clusters": on_lines(lambda s: board.rounding_clusters(s, 5, 0.001)),
+    "kpi_targets": on_lines(lambda s: board.kpi_targets(s, "1997-03")),
+    "delivery_zones": delivery_zones,
+    "stock_variance": stock_variance,
+    "demand_potential": demand_potential,
+    "household_scores": household_scores,
+    "event_contract": event_contract,
+    "injection_truth": injection_truth,
+    "star_constraints": star_constraints,
 }
 
 

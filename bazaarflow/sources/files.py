@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import tempfile
 from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +52,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return reader.load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, parts: int = 8) -> None:
+    """Append to a table of a relational database over a bounded number of connections."""
+    df.coalesce(parts).write.mode("append").option("batchsize", "5000").jdbc(url, table)
+
+
 def read_stream_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A stream of text extracts that arrive in a folder."""
     return spark.readStream.schema(", ".join(f"`{c}` string" for c in columns)).csv(path, header=True)
@@ -80,3 +88,11 @@ def to_html(df: DataFrame, title: str) -> str:
     head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r.values()) + "</tr>" for r in report_rows(df))
     return f"<!doctype html><title>{escape(title)}</title><table><tr>{head}</tr>{body}</table>"
+
+
+def publish(template: str, tokens: dict[str, str], path: str) -> None:
+    """Fill the {{tokens}} of a page and put it in place at once: readers see the old page or the new one. A token without value is an error."""
+    page = re.sub(r"\{\{(\w+)\}\}", lambda m: tokens[m[1]], template)
+    with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(os.path.abspath(path)), suffix=".part", delete=False, encoding="utf-8") as f:
+        f.write(page)
+    os.replace(f.name, path)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "event_id string, sensor_id string, store_id string, site string, ts string, zone string, direction string, count int, dwell_seconds int, edge_seq long, quality string"
 
@@ -28,6 +32,56 @@ def rejected(events: DataFrame) -> DataFrame:
     return events.where("count is null or quality <> 'ok' or quality is null")
 
 
+def with_reason(events: DataFrame) -> DataFrame:
+    """events with the first reason to refuse each: no count, quality, or a number below one that its sensor sent before; else null.
+
+    A repeated number is no break of the order: distinct_events leaves it out. Streams keep each sensor's highest number as state.
+    """
+    if events.isStreaming:
+        return _numbered_stream(events)
+    before = Window.partitionBy("sensor_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("_top", F.max("edge_seq").over(before)).withColumn("reason", _reason(F.col("edge_seq") < F.col("_top"))).drop("_top")
+
+
+def _reason(behind: Column) -> Column:
+    quality = F.coalesce(F.col("quality"), F.lit(""))
+    return F.when(F.col("count").isNull(), "NULL_COUNT").when(quality != "ok", "QUALITY").when(behind, "NOT_MONOTONIC")
+
+
+def _numbered_stream(events: DataFrame) -> DataFrame:
+    schema = ", ".join(f"`{c}` {t}" for c, t in events.dtypes) + ", _behind boolean"
+
+    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        top = state.get[0] if state.exists else None
+        own = pd.concat(batches).sort_values(["ts", "event_id"], kind="stable")
+        behind = []
+        for seq in own["edge_seq"].tolist():
+            known = not pd.isna(seq)
+            behind.append(bool(known and top is not None and seq < top))
+            if known:
+                top = int(seq) if top is None else max(top, int(seq))
+        if top is not None:
+            state.update((top,))
+        yield own.assign(_behind=behind)
+
+    marked = events.groupBy("sensor_id").applyInPandasWithState(run, schema, "top long", "append", GroupStateTimeout.NoTimeout)
+    return marked.withColumn("reason", _reason(F.col("_behind"))).drop("_behind")
+
+
+def route(events: DataFrame, kept: str, refused: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream of with_reason() to two folders, one per outcome; a batch that is repeated replaces its own files."""
+
+    def both(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        batch.where("reason is not null").write.mode("overwrite").parquet(f"{refused}/batch={number}")
+        batch.unpersist()
+
+    query = events.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def distinct_events(events: DataFrame, late: str = "3 hours") -> DataFrame:
     """One event for each sensor and sequence number; a stream remembers them for `late`."""
     keys = ["sensor_id", "edge_seq"]
