@@ -115,8 +115,9 @@ def gaps(events: DataFrame, key: str = "store_id", seq: str = "edge_seq") -> Dat
 
 
 def sliding_counts(events: DataFrame, key: str, ts: str, seconds: int) -> Column:
-    """Events of the same key in the seconds up to each event, as a window expression."""
-    return F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(F.unix_timestamp(F.col(ts).cast("timestamp"))).rangeBetween(-seconds, 0))
+    """Events of the same key in the seconds up to each event, as a window expression; times are rounded to the nearest second, halves to even."""
+    second = F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).cast("bigint")
+    return F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(second).rangeBetween(-seconds, 0))
 
 
 def on_hand(last_count: DataFrame, sales: DataFrame, receipts: DataFrame, key: str) -> DataFrame:
