@@ -1,10 +1,62 @@
+import random
+from collections import Counter
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
+from bazaarflow.functions.similarity import indel_ratio
+from bazaarflow.operators import near, resolve
 from bazaarflow.streaming import footfall
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_sliding_counts_round_to_the_nearest_second(spark):
     times = {1: "2024-01-01 00:00:00.400", 2: "2024-01-01 00:00:00.600", 3: "2024-01-02 00:00:00.700", 4: "2024-01-03 00:00:01.400", 5: "2024-01-04 00:00:01.500"}
     own = spark.createDataFrame([(k, 1, t) for k, t in times.items()], "event_id int, user_id int, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r.event_id: r.n for r in own.select("event_id", footfall.sliding_counts(own, "user_id", "ts", 86_400).alias("n")).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 2, 5: 1}
+
+
+def odd_names(seed, n):
+    draw = random.Random(seed)
+    words = ["okello", "akello", "junior", "é", "naïve", "x", "customer", "", "a" * 45]
+    return ["".join(draw.choices("01é", k=draw.randrange(9))) if k % 2 else " ".join(draw.choices(words, k=draw.randrange(1, 5))) for k in range(n)]
+
+
+def test_near_keys_are_all_pairs_within_two_edits(spark):
+    for start in ("", "Supplier#"):
+        rows = [(k % 2 if k % 41 else None, k, start + x) for k, x in enumerate(odd_names(1, 300))] + [(0, 900, None), (5, 901, "alone"), (6, 902, "same"), (6, 903, "same")]
+        want = Counter((a[1], b[1], d) for a, b in combinations(rows, 2) if a[0] is not None and a[0] == b[0] and None not in (a[2], b[2]) and (d := edits(a[2], b[2])) <= 2)
+        got = resolve.near_keys(spark.createDataFrame(rows, "g int, k int, s string"), "g", "k", "s")
+        assert Counter(map(tuple, got.collect())) == want
+
+
+def test_fuzzy_links_count_all_pairs_without_making_them(spark):
+    names, mails = odd_names(2, 260), ["", None, "a@x.co", "b@x.co", "c@x.co"]
+    rows = [(f"C{k:03}", x, mails[k % 5], "Gulu" if k % 3 else "Kumi", "exact" if k % 20 else "unresolved") for k, x in enumerate(names)]
+    own = spark.createDataFrame(rows, "customer_id string, full_name string, email string, district string, district_status string")
+    kept = resolve._named(own).collect()
+    want = set()
+    for a, b in combinations(kept, 2):
+        if a.district == b.district and indel_ratio(a.name, b.name) >= 90:
+            want.add((*sorted((a.customer_id, b.customer_id)), "review" if "" in (a.email, b.email) else "merge" if a.email == b.email else "reject"))
+    pairs = [tuple(r) for r in resolve.fuzzy_pairs(own).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+    links = resolve.fuzzy_links(own).collect()
+    count = Counter((end, outcome) for a, b, outcome in want for end in (a, b))
+    assert {(r.customer_id, k): r[k] for r in links for k in ("merge", "reject", "review") if r[k]} == dict(count)
+    assert len(links) == len(kept) and all(r.links == r.merge + r.reject + r.review for r in links)
+
+
+def test_near_candidates_grow_with_the_names(spark):
+    draw = random.Random(3)
+    names = spark.createDataFrame([(1, x) for x in {f"{draw.randrange(10**9):09} customer junior" for _ in range(1500)}], "block int, name string")
+    assert near.candidates(names, lambda a, b: F.ceil((a + b) * 90 / 200)).count() < 1500 * 1499 / 2 / 50
