@@ -128,8 +128,11 @@ def repeated_references(lines: DataFrame) -> DataFrame:
 
 
 def unusual_amounts(lines: DataFrame, deviations: float = 3.0) -> DataFrame:
-    """Lines far above their store's and hour's mean; means are joined back, the lines are not regrouped."""
-    keyed = lines.withColumn("hour", F.hour("sold_at")).withColumn("x", F.col("amount").cast("double"))
+    """Lines far above their store's and hour's mean; means are joined back, the lines are not regrouped.
+
+    Rows that no mean can be joined to go first, from both uses of the lines alike, so that one shuffle serves both.
+    """
+    keyed = lines.select("store_id", F.hour("sold_at").alias("hour"), F.col("amount").cast("double").alias("x")).where("store_id is not null and hour is not null and x is not null")
     base = keyed.groupBy("store_id", "hour").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("deviation"))
     far = keyed.join(base, ["store_id", "hour"]).where(F.col("x") > F.col("mean") + deviations * F.col("deviation"))
     return far.groupBy("store_id").agg(F.count(F.lit(1)).alias("line_count"), F.round(F.max("x"), 4).alias("largest"))
