@@ -72,11 +72,17 @@ def revenue_by(lines: DataFrame, *by: str) -> DataFrame:
 
 def dense_months(lines: DataFrame, *by: str) -> DataFrame:
     """Revenue of every month of the table for every value of `by`, zero where nothing was sold."""
-    low, high = lines.agg(F.min("month"), F.max("month")).first()
-    day = lambda month: F.to_date(F.lit(f"{month}-01"))
-    calendar = F.explode(F.sequence(day(low), day(high), F.expr("interval 1 month"))) if low else F.explode(F.array().cast("array<date>"))
-    spine = lines.select(*by).distinct().select(*by, calendar.alias("_d")).select(*by, F.date_format("_d", "yyyy-MM").alias("month"))
-    return spine.join(revenue_by(lines, "month", *by), ["month", *by], "left").select("month", *by, money(F.col("revenue")).alias("revenue"))
+    sums = revenue_by(lines, "month", *by)
+    sold = F.when(F.col("month").isNotNull(), F.struct("month", "revenue"))
+    own = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(sold)).alias("_sold"), F.min("month").alias("_low"), F.max("month").alias("_high"))
+    whole = Window.partitionBy()  # one row per value of `by`
+    day = lambda month: F.to_date(F.concat(month, F.lit("-01")))
+    calendar = F.sequence(day(F.min("_low").over(whole)), day(F.max("_high").over(whole)), F.expr("interval 1 month"))
+    spine = own.withColumn("_days", calendar).select(*by, "_sold", F.explode("_days").alias("_d")).withColumn("month", F.date_format("_d", "yyyy-MM"))
+    known = F.lit(True)
+    for c in by:
+        known &= F.col(c).isNotNull()
+    return spine.select("month", *by, money(F.when(known, F.try_element_at("_sold", F.col("month")))).alias("revenue"))
 
 
 def with_share(df: DataFrame, value: str = "revenue", out: str = "share") -> DataFrame:

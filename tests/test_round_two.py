@@ -1,11 +1,14 @@
+import os
 import random
 from collections import Counter
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.similarity import indel_ratio
-from bazaarflow.operators import near, resolve
+from bazaarflow.operators import cube, near, resolve
+from bazaarflow.plans import inputs, queries
 from bazaarflow.streaming import footfall
 
 
@@ -60,3 +63,40 @@ def test_near_candidates_grow_with_the_names(spark):
     draw = random.Random(3)
     names = spark.createDataFrame([(1, x) for x in {f"{draw.randrange(10**9):09} customer junior" for _ in range(1500)}], "block int, name string")
     assert near.candidates(names, lambda a, b: F.ceil((a + b) * 90 / 200)).count() < 1500 * 1499 / 2 / 50
+
+
+DATA = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+
+
+def scans(df):
+    """How often the executed plan reads lines anew; what a reused exchange gives is not read again."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0].count("lineitem.parquet")
+
+
+@needs_data
+def test_narrow_lines_are_the_lines(spark):
+    wide, narrow = inputs.load(spark, DATA, inputs.SALE_LINES), inputs.sale_lines(spark, DATA)
+    assert wide.dtypes == narrow.dtypes
+    assert wide.exceptAll(narrow).isEmpty() and narrow.exceptAll(wide).isEmpty()
+
+
+@needs_data
+def test_unusual_amounts_and_months_read_the_lines_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert scans(queries.QUERIES["unusual_amounts"](spark, DATA)) == 1
+        assert scans(queries.QUERIES["revenue_month_city"](spark, DATA)) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_months_of_odd_lines(spark):
+    rows = [("2024-01", "a", 5.0), ("2024-04", "b", 7.0), (None, "c", 9.0), ("2024-02", None, 3.0)]
+    got = cube.dense_months(spark.createDataFrame(rows, "month string, city string, amount double"), "city").collect()
+    want = {(f"2024-0{m}", c): 0.0 for m in range(1, 5) for c in ("a", "b", "c", None)} | {("2024-01", "a"): 5.0, ("2024-04", "b"): 7.0}
+    assert {(r.month, r.city): float(r.revenue) for r in got} == want and len(got) == len(want)
+    assert cube.dense_months(spark.createDataFrame([], "month string, city string, amount double"), "city").count() == 0
