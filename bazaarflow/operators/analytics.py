@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cube import money, ratio, revenue_by
+from .resolve import need_checkpoints
 
 
 def _bought(lines: DataFrame) -> DataFrame:
@@ -82,9 +83,11 @@ def cohorts(lines: DataFrame) -> DataFrame:
 def pareto(lines: DataFrame, key: str, share: float = 0.8, cuts: tuple[float, float] = (0.8, 0.95)) -> DataFrame:
     """Revenue by key, largest first, with running share and ABC class; vital marks the few that make up `share`.
 
-    The running sum is taken in value order inside ranges of revenue, ranges are summed apart.
+    The running sum is taken in value order inside ranges of revenue, ranges are summed apart. The lines are read once: what they
+    sum up to is checkpointed in the session's shared folder.
     """
-    sums = revenue_by(lines, key).where("revenue > 0").select(key, "revenue")
+    need_checkpoints(lines.sparkSession)
+    sums = revenue_by(lines, key).where("revenue > 0").select(key, "revenue").checkpoint()
     bounds = sums.agg(percentiles("revenue")).first()[0]
     parts = sums.withColumn("_part", range_of(F.col("revenue").cast("double"), bounds))
     totals = parts.groupBy("_part").agg(F.sum("revenue").alias("_sum"))
