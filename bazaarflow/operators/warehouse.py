@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import row_hash, surrogate_key
+from .resolve import need_checkpoints
 
 OPEN_END = "9999-12-31 00:00:00"
 
@@ -26,6 +27,12 @@ def with_unknown_member(dimension: DataFrame, sk: str, **values: str) -> DataFra
     return dimension.where(F.col(sk) != 0).unionByName(row)
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, computed once and read again from the session's shared checkpoint folder, for what uses them several times."""
+    need_checkpoints(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def replace_facts(current: DataFrame, batch: DataFrame, key: str = "sale_sk") -> DataFrame:
     """current with the batch's rows in place of those of the same key: loading a batch twice changes nothing."""
     return current.join(batch.select(key), key, "left_anti").unionByName(batch)

@@ -100,3 +100,9 @@ def test_months_of_odd_lines(spark):
     want = {(f"2024-0{m}", c): 0.0 for m in range(1, 5) for c in ("a", "b", "c", None)} | {("2024-01", "a"): 5.0, ("2024-04", "b"): 7.0}
     assert {(r.month, r.city): float(r.revenue) for r in got} == want and len(got) == len(want)
     assert cube.dense_months(spark.createDataFrame([], "month string, city string, amount double"), "city").count() == 0
+
+
+@needs_data
+def test_idempotent_load_makes_its_facts_once(spark):
+    plan = queries.QUERIES["idempotent_load"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "customer_id" not in plan and "LogicalRDD" in plan
