@@ -106,3 +106,9 @@ def test_months_of_odd_lines(spark):
 def test_idempotent_load_makes_its_facts_once(spark):
     plan = queries.QUERIES["idempotent_load"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "customer_id" not in plan and "LogicalRDD" in plan
+
+
+@needs_data
+def test_pareto_reads_the_lines_once(spark):
+    plan = queries.QUERIES["pareto_parts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "LogicalRDD" in plan
