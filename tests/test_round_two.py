@@ -59,6 +59,13 @@ def test_fuzzy_links_count_all_pairs_without_making_them(spark):
     assert len(links) == len(kept) and all(r.links == r.merge + r.reject + r.review for r in links)
 
 
+def test_fuzzy_pairs_reads_whole_names(spark, tmp_path):
+    names = {12: "Customer#000012345", 24: "Customer#000067890", 36: "Customer#000067891"}
+    spark.createDataFrame([(k, x) for k, x in names.items()], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.customer_id: (r.class_size, r.links) for r in queries.QUERIES["fuzzy_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {"CUST100012": (1, 0), "CUST100024": (1, 1), "CUST100036": (1, 1)}
+
+
 def test_near_candidates_grow_with_the_names(spark):
     draw = random.Random(3)
     names = spark.createDataFrame([(1, x) for x in {f"{draw.randrange(10**9):09} customer junior" for _ in range(1500)}], "block int, name string")
