@@ -66,6 +66,50 @@ def test_fuzzy_pairs_reads_whole_names(spark, tmp_path):
     assert got == {"CUST100012": (1, 0), "CUST100024": (1, 1), "CUST100036": (1, 1)}
 
 
+@pytest.mark.parametrize(("keys", "pairs"), [(near.KEYS, near.PAIRS), (10_000, 64), (500, 7)])
+def test_near_rows_are_all_near_pairs(monkeypatch, keys, pairs):
+    monkeypatch.setattr(near, "KEYS", keys)
+    monkeypatch.setattr(near, "PAIRS", pairs)
+    draw = random.Random(4)
+    short = sorted({f"{draw.randrange(3000) * 997:09} customer" for _ in range(700)})
+    mixed = sorted({x for x in odd_names(5, 200) if x} | {"".join(draw.choices("ab é", k=130)) + "z" * 70, "b" * 64, "b" * 65, "b" * 66})
+    for names in (short, mixed):
+        ones = near.np.ones((len(names), 1), near.np.int64)
+        half = len(names) // 3
+        want = Counter(x for a, b in combinations(range(len(names)), 2) if indel_ratio(names[a], names[b]) >= 90 for x in (a, b))
+        got = near.cell_sums(names, None, (ones, ones), 90)[0][:, 0]
+        assert dict(enumerate(map(int, got))) == {k: want[k] for k in range(len(names))}
+        parts = names[:half], names[half:]
+        got = near.cell_sums(*parts, (ones[:half], ones[half:]), 90)
+        assert [list(map(int, x[:, 0])) for x in got] == [[sum(indel_ratio(x, y) >= 90 for y in other) for x in own] for own, other in (parts, parts[::-1])]
+
+
+def test_near_sums_of_tiles_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near, "SUM_TILES", (40, 11))
+    rows = sorted({(f"b{k % 3}" if k % 7 else f"c{k % 40}", k % 2, x) for k, x in enumerate(odd_names(6, 400)) if x})
+    rows = [(*r, k + 1, k % 5) for k, r in enumerate(rows)]
+    want = Counter()
+    for a, b in combinations(rows, 2):
+        if a[:2] == b[:2] and indel_ratio(a[2], b[2]) >= 90:
+            for x, y in ((a, b), (b, a)):
+                want[(*x[:3], "v")] += y[3]
+                want[(*x[:3], "w")] += y[4]
+    got = near.near_sums(spark.createDataFrame(rows, "g string, h long, name string, v long, w long"), ["g", "h"], ["v", "w"]).collect()
+    assert {(r.g, r.h, r.name, k): r[k] for r in got for k in "vw" if r[k]} == {k: n for k, n in want.items() if n}
+
+
+def test_fuzzy_links_shuffle_no_pairs(spark):
+    rows = [(f"C{k}", f"Customer#{k:09}  Junior", "a@x.co" if k % 2 else "", "Gulu", "exact") for k in range(2000)]
+    own = spark.createDataFrame(rows, "customer_id string, full_name string, email string, district string, district_status string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    java = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters
+    stages = lambda: java.asJava(store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")()))
+    before = {s.stageId() for s in stages()}
+    links = resolve.fuzzy_links(own).collect()
+    assert sum(r.links for r in links) > 500_000
+    assert sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before) < 100_000
+
+
 def test_near_candidates_grow_with_the_names(spark):
     draw = random.Random(3)
     names = spark.createDataFrame([(1, x) for x in {f"{draw.randrange(10**9):09} customer junior" for _ in range(1500)}], "block int, name string")
